@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour of a vertex is tied to the vertex's smallest neighbour
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         big = (
             both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
