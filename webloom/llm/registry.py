@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe
+from webloom.llm import bpe, packing, secrets
 
 QUERIES = {
+    "op7_packing": packing.op7_packing,
+    "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
 
