@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, packing, secrets
+from webloom.llm import bpe, langid, packing, secrets, urlfilter
 
 QUERIES = {
+    "op4_langid": langid.op4_langid,
+    "op6_urls": urlfilter.op6_urls,
     "op7_packing": packing.op7_packing,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_urls": urlfilter.sql()}
