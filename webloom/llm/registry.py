@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, langid, packing, secrets, urlfilter
+from webloom.llm import bpe, langid, packing, pii, secrets, urlfilter
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op4_langid": langid.op4_langid,
     "op6_urls": urlfilter.op6_urls,
     "op7_packing": packing.op7_packing,
