@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, langid, packing, pii, secrets, urlfilter
+from webloom.llm import bpe, langid, ngramjoin, packing, pii, secrets, urlfilter
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op4_langid": langid.op4_langid,
+    "op5_jaccard": ngramjoin.op5_jaccard,
     "op6_urls": urlfilter.op6_urls,
     "op7_packing": packing.op7_packing,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_urls": urlfilter.sql()}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard": ngramjoin.SQL, "op6_urls": urlfilter.sql()}
