@@ -383,20 +383,19 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
      s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
                  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM w),
      n AS MATERIALIZED (SELECT doc_id, len(s) AS n, s FROM s),
      e AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS g FROM n),
      f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
-     r AS (SELECT e.doc_id, e.n, e.g, row_number() OVER (PARTITION BY e.doc_id ORDER BY f.df, e.g) AS at FROM e JOIN f USING (g)),
-     p AS (SELECT doc_id, n, g FROM r WHERE at <= n - (80 * n + 99) // 100 + 1),
+     r AS (SELECT e.doc_id, e.n, e.g, row_number() OVER (PARTITION BY e.doc_id ORDER BY f.df, e.g) AS pos FROM e JOIN f USING (g)),
+     p AS (SELECT doc_id, n, g FROM r WHERE pos <= n - (80 * n + 99) // 100 + 1),
      c AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
      i AS (SELECT a, b, x.n AS na, y.n AS nb, len(list_intersect(x.s, y.s)) AS i FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b),
      l AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * i >= 80 * (na + nb - i)),
-     b AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l)
-     , reach AS (
-       WITH RECURSIVE r(a, z) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, b.b FROM r JOIN b ON b.a = r.z)
-       SELECT a, min(z) AS component_id FROM r GROUP BY a)
+     b AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+     walk(a, z) AS (SELECT doc_id, doc_id FROM n UNION SELECT walk.a, b.b FROM walk JOIN b ON b.a = walk.z),
+     reach AS (SELECT a, min(z) AS component_id FROM walk GROUP BY a)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, reach.component_id FROM n JOIN reach ON reach.a = n.doc_id
 """
