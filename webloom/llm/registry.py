@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, langid, ngramjoin, packing, pii, secrets, urlfilter
+from webloom.llm import bpe, langid, ngramjoin, packing, pii, secrets, urlfilter, wrappers
 
 QUERIES = {
+    "op1_html": wrappers.op1_html,
     "op2_pii": pii.op2_pii,
     "op4_langid": langid.op4_langid,
     "op5_jaccard": ngramjoin.op5_jaccard,
