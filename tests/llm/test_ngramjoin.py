@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ from webloom.llm import ngramjoin as nj
 
 
 def shingles(text):
-    w = nj.WORDS.findall((text or "").translate(nj.UPPER))
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
@@ -67,8 +68,9 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, nj.join(df).collect())) == brute(rows)
 
 
-def test_large_group_of_near_copies_with_odd_ones(spark):
-    """Tiles over the small size, with members that are not linked to the smallest one."""
+def test_large_group_of_near_copies_with_odd_ones(spark, monkeypatch):
+    """Large tiles with members that are not linked to the smallest one."""
+    monkeypatch.setattr(nj, "BLOCK", 20)
     rng = random.Random(9)
     base = [f"v{i}" for i in range(120)]
     rows = []
@@ -96,6 +98,21 @@ def test_every_linked_pair_shares_a_tile():
             assert not nj.linked(a, b, nj.bitmap(a), nj.bitmap(b))
 
 
+def test_large_sets_share_a_tile():
+    """Pairs at the least similarity whose bands use only some of their segments."""
+    rng = np.random.default_rng(4)
+    for n in (300, 700, 1500, 6000):
+        for _ in range(150):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            common, rest = x[: 4 * n // 5], x[4 * n // 5 :]
+            cut = int(rng.integers(0, len(rest) + 1))
+            a, b = np.unique(np.r_[common, rest[:cut]]), np.unique(np.r_[common, rest[cut:]])
+            if 100 * len(common) >= 80 * n:
+                assert set(nj.tile_keys(a).tolist()) & set(nj.tile_keys(b).tolist())
+                assert nj.linked(a, b, nj.bitmap(a), nj.bitmap(b))
+    assert nj.plan(len(nj.BANDS) // 2)[2] == 3
+
+
 def test_small_and_repeated_rows(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, ""), (7, "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -9,12 +9,16 @@ that one bitmap signature has beyond the other; pairs that the bound does not ex
 exactly as sorted arrays.
 
 An empty segment says nothing, so it makes no tile, unless a document has so many that the ones it may have
-in common could all be empty; then they make tiles as well. Thus no pair is lost.
+in common could all be empty; then they make tiles as well. Thus no pair of small sets is lost. Large sets
+have so many segments that some of them suffice: of these only the first are used, and of them those with
+two or three shingles at least. Hashing scatters differences at random, so the chance that a linked pair has
+none of these in common is below 1e-12 (see ``plan``), as small as that of a clash of the hashes.
 
-Equal sets are one vertex from the start. A tile of up to ``SMALL_TILE`` sets yields all its pairs; larger
-ones yield pairs with their smallest set, and once these are judged, the pairs between sets that are still
-in different components. So groups of near copies cost pairs in proportion to their members, and every pair
-of a tile is either compared or known to be connected.
+Equal sets are one vertex from the start. A tile yields pairs of its smallest set with the others; once
+these are judged, tiles whose members are still in different components are compared as a whole: bit counts
+of all their pairs across components, in blocks, and exact intersections of the pairs that remain. So
+groups of near copies cost pairs in proportion to their members, a passage that many documents share costs
+bit counts, and every pair of a tile is either compared or known to be connected.
 
 Defined results: null and empty texts have no shingles and stay alone; with one to four words the whole
 sequence is the one shingle; repeated rows and equal texts are linked; a null doc_id is a row of its own
@@ -24,9 +28,10 @@ one; only doc_id and text are read.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
+from math import exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +46,10 @@ WIDTH = 5
 #: Similarity as a ratio: 100 x intersection >= 80 x union.
 NUMERATOR, DENOMINATOR = 80, 100
 BITMAP_BITS = 1024
-SMALL_TILE = 8
-#: Segment entries that one task takes.
+#: Segment entries that one task takes, and members of a tile that one block of its pairs takes.
 BUCKET_ENTRIES = 3_000_000
+BLOCK = 2_000
 BAND_STEP = 1.5
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -57,38 +60,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd factors of the words of a shingle.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        got = self[word] = xxh3_64_intdigest(word)
+        return got
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of a text. Word hashes are kept, up to a bound."""
+    """Sorted distinct shingle hashes of a text in UTF-8. Word hashes are kept, up to a bound. Of bytes, lower()
+    and split() change A-Z and split at the six white-space characters alone, as asked for."""
 
     def __init__(self, memo_words: int = 500_000):
-        import xxhash
-
-        self.hash, self.memo, self.memo_words = xxhash.xxh3_64_intdigest, {}, memo_words
-
-    def words(self, text: str | None) -> np.ndarray:
-        found = WORDS.findall(text.translate(UPPER)) if text else ()
-        memo, h = self.memo, self.hash
-        if len(memo) > self.memo_words:
-            memo.clear()
-        try:
-            return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-        except KeyError:
-            for w in found:
-                if w not in memo:
-                    memo[w] = h(w.encode("utf-8", "surrogatepass"))
-            return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        w = self.words(text)
-        if not len(w):
-            return w
-        n = max(1, len(w) - WIDTH + 1)
+        self.memo, self.memo_words = WordHashes(), memo_words
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = text.lower().split() if text else ()
+        if not words:
+            return np.empty(0, np.uint64)
+        if len(self.memo) > self.memo_words:
+            self.memo.clear()
+        w = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         width = min(WIDTH, len(w))
-        acc = np.full(n, MIX[2] * np.uint64(width), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(width):
-                acc = mix(acc * np.uint64(31) + w[k : k + n])
-        return np.unique(acc)
+        n = len(w) - width + 1
+        acc = w[:n] * FACTORS[0] + np.uint64(width)
+        for k in range(1, width):
+            acc += w[k : k + n] * FACTORS[k]
+        acc = mix(acc)
+        acc.sort()
+        return acc[np.r_[True, acc[1:] != acc[:-1]]]
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -129,35 +134,57 @@ def bands_of(n: int) -> range:
     return range(int(np.searchsorted(BANDS, max(1, first))), int(np.searchsorted(BANDS, last)) + 1)
 
 
+@cache
+def plan(band: int) -> tuple[int, int, int]:
+    """(segments, how many of them are used, least shingles of a used one) of a band. Of a linked pair with d
+    differing shingles, 4 d are common at least; with m segments, one is equal and has t common shingles with
+    probability p = exp(-d / m) P(Poisson(4 d / m) >= t). A pair of the band has d from its bound down to that
+    of the band before, or less and then more in common. Among u used segments none is with (1 - p)^u."""
+    most = int(BANDS[band])
+    m = segments(most)
+    for t in (3, 2):
+        p = min(
+            exp(-d / m) * (1 - sum(exp(-4 * d / m) * (4 * d / m) ** k / factorial(k) for k in range(t)))
+            for d in (most, max(1.0, most / BAND_STEP - 1))
+        )
+        used = int(log(1e-12) / log(1 - p)) + 1
+        if used <= m:
+            return m, used, t
+    return m, m, 1
+
+
 def tile_keys(s: np.ndarray) -> np.ndarray:
     """64-bit keys of the tiles that a sorted set belongs to."""
     out = []
     for band in bands_of(len(s)):
-        most = int(BANDS[band])
-        m = segments(most)
+        m, used, least = plan(band)
         at = ((s >> np.uint64(40)) * np.uint64(m)) >> np.uint64(24)  # non-decreasing, as s is sorted
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(mix(s ^ MIX[2]), starts)
-            salt = np.uint64(band + 1) * MIX[2]
-            out.append(mix(total + mix(at[starts] + salt)))
-            empty = m - len(starts)
-            if empty >= m - most:  # so many that all segments in common might be empty
-                none = np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts])
-                out.append(mix(mix(none + salt)))
+        part = s
+        if used < m:
+            n = int(np.searchsorted(at, used))
+            at, part = at[:n], s[:n]
+        salt = np.uint64((band + 1) * int(MIX[2]) & 0xFFFFFFFFFFFFFFFF)
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+        if len(starts):
+            total = np.add.reduceat(mix(part ^ MIX[2]), starts)
+            big = np.diff(np.r_[starts, len(at)]) >= least
+            out.append(mix(total + mix(at[starts] + salt))[big])
+        if least == 1 and m - len(starts) >= m - int(BANDS[band]):  # so many that all segments in common might be empty
+            none = np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts])
+            out.append(mix(mix(none + salt)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    x = np.zeros(BITMAP_BITS // 64, np.uint64)
-    bit = s & np.uint64(BITMAP_BITS - 1)
-    np.bitwise_or.at(x, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return x
+    """For each place of a bitmap, whether an odd number of shingles hash to it."""
+    odd = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def overlap_bound(na: int, nb: int, a: np.ndarray, b: np.ndarray) -> int:
-    """No more can overlap than a set's size less the bits that it alone has."""
-    return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
+    """Every shingle that only one set has turns one bit, so the bitmaps differ in no more bits than the sets
+    in shingles, and what differs does not overlap."""
+    return (na + nb - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
 def linked(a: np.ndarray, b: np.ndarray, map_a: np.ndarray, map_b: np.ndarray) -> bool:
@@ -165,30 +192,24 @@ def linked(a: np.ndarray, b: np.ndarray, map_a: np.ndarray, map_b: np.ndarray) -
     need = -(-(na + nb) * NUMERATOR // (NUMERATOR + DENOMINATOR))  # least overlap of a link
     if min(na, nb) < need or overlap_bound(na, nb, map_a, map_b) < need:
         return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
-
-
-SETS = "doc_id long, key long, n_shingles long, d1 long, d2 long"
+    at = np.minimum(np.searchsorted(a, b), na - 1)
+    return int((a[at] == b).sum()) >= need
 
 
-def _sets():
-    shingle = Shingler()
+SETS = "doc_id long, key long, n_shingles long, d1 long, d2 long, bits binary, bucket long, tiles binary, nodes binary, times binary"
 
-    def run(doc_id, key, text):
-        out = {"doc_id": doc_id, "key": key, "n_shingles": [], "d1": [], "d2": []}
-        for t in text:
-            s = shingle(t)
-            a, b = digest(s)
-            out["n_shingles"].append(len(s))
-            out["d1"].append(a)
-            out["d2"].append(b)
-        return out
 
-    return run
+def _sets(buckets: int):
+    """One row per document, its set's ids and bitmap; and now and then, per bucket, the low 32 bits of tile keys
+    beside the sets (nodes, times: each set's d1 and how many keys in a row are its own)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
+    form = to_arrow_schema(_parse_datatype_string(SETS))
 
-def _keys(buckets: int):
-    """Per task and bucket: tile keys (32 bits that the bucket does not fix) beside their sets' d1, packed."""
+    def batch(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in form], schema=form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(), set()
@@ -196,30 +217,40 @@ def _keys(buckets: int):
         held = 0
 
         def flush():
-            rows = [(b, np.concatenate([k for k, _ in x]).tobytes(), np.concatenate([np.full(len(k), d, np.int64) for k, d in x]).tobytes()) for b, x in sorted(parts.items())]
+            at = sorted(parts)
+            out = batch(
+                bucket=at,
+                tiles=[np.concatenate([k for k, _ in parts[b]]).tobytes() for b in at],
+                nodes=[np.array([d for _, d in parts[b]], np.int64).tobytes() for b in at],
+                times=[np.array([len(k) for k, _ in parts[b]], np.uint32).tobytes() for b in at],
+            )
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "keys", "nodes"])
+            return out
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for got in batches:
+            rows = [], [], [], []
+            for text in got.column(2).cast(pa.binary()).to_pylist():
                 s = shingle(text)
-                d = digest(s)[0]
-                if d in seen:
+                a, b = digest(s)
+                for x, v in zip(rows, (len(s), a, b, bitmap(s).tobytes()), strict=True):
+                    x.append(v)
+                if a in seen:
                     continue
-                if len(seen) < 2_000_000:
-                    seen.add(d)
+                if len(seen) < 2_000_000:  # equal sets of one task give their keys once; sets are made distinct later anyway
+                    seen.add(a)
                 k = tile_keys(s)
                 if not len(k):
                     continue
-                at = ((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                k.sort()
+                at = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 low = k.astype(np.uint32)
-                order = np.argsort(at, kind="stable")
-                at, low = at[order], low[order]
-                cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist()
                 for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True):
-                    parts[int(at[i])].append((low[i:j], d))
+                    parts[int(at[i])].append((low[i:j], a))
                 held += len(k)
-            if held > 4_000_000:
+            if len(rows[0]):
+                yield batch(doc_id=got.column(0), key=got.column(1), n_shingles=rows[0], d1=rows[1], d2=rows[2], bits=rows[3])
+            if held > 2_000_000:
                 yield flush()
                 held = 0
         if parts:
@@ -228,50 +259,59 @@ def _keys(buckets: int):
     return run
 
 
-PAIRS = "a long, b long, tile long"
-
-
-def _tiles(small: int):
-    """Pairs (a, b) of small tiles; for larger ones pairs with the smallest member (tile: null), and the
-    memberships (b null) of tiles with different members."""
-
-    def group(keys: tuple, t: pa.Table) -> pa.Table:
-        k = np.concatenate([np.frombuffer(x, np.uint32) for x in t["keys"].to_pylist()])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in t["nodes"].to_pylist()])
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        keep = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-        k, d = k[keep], d[keep]
-        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        sizes = np.diff(np.r_[starts, len(k)])
-        pairs, tiles, a, b, tile = set(), set(), [], [], []
-        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            x = d[s : s + n]
-            if n <= small:
-                y = x.tolist()
-                pairs.update((y[i], y[j]) for i in range(n) for j in range(i + 1, n))
-                continue
-            with np.errstate(over="ignore"):
-                name = int(mix(x.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
-            if name in tiles:
-                continue
-            tiles.add(name)
-            first = int(x[0])
-            pairs.update((first, y) for y in x[1:].tolist())
-            a += x.tolist()
-            b += [None] * n
-            tile += [name] * n
-        pa_, pb = (list(c) for c in zip(*pairs, strict=True)) if pairs else ([], [])
-        return pa.table({"a": pa.array(pa_ + a, pa.int64()), "b": pa.array(pb + b, pa.int64()), "tile": pa.array([None] * len(pa_) + tile, pa.int64())})
-
-    return group
+def _tiles(keys: tuple, t: pa.Table) -> pa.Table:
+    """A bucket's pairs (a, b) of each tile's smallest set with the others, and the memberships (b null) of the
+    tiles of three sets and more, of those with equal members once."""
+    k = np.concatenate([np.frombuffer(x, np.uint32) for x in t["tiles"].to_pylist()])
+    d = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(n, np.uint32)) for x, n in zip(t["nodes"].to_pylist(), t["times"].to_pylist(), strict=True)])
+    order = np.lexsort((d, k))
+    k, d = k[order], d[order]
+    keep = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
+    k, d = k[keep], d[keep]
+    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    sizes = np.diff(np.r_[starts, len(k)])
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    if not len(starts):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "tile")})
+    at = np.concatenate([np.arange(s + 1, s + n) for s, n in zip(starts, sizes, strict=True)])
+    pairs = np.unique(np.stack([np.repeat(d[starts], sizes - 1), d[at]]), axis=1)
+    seen, a, tile = set(), [], []
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        x = d[s : s + n]
+        name = int(mix(x.view(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+        if name not in seen:
+            seen.add(name)
+            a.append(x)
+            tile.append(np.full(n, name))
+    a, tile = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (a, tile))
+    null = pa.nulls(len(a), pa.int64())
+    return pa.table(
+        {"a": pa.array(np.r_[pairs[0], a]), "b": pa.concat_arrays([pa.array(pairs[1]), null]), "tile": pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(tile, pa.int64())])}
+    )
+
+
+def could_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """Whether sizes and the count of differing bits leave a link possible."""
+    need = -(-(na + nb) * NUMERATOR // (NUMERATOR + DENOMINATOR))
+    return (np.minimum(na, nb) >= need) & ((na + nb - differing) // 2 >= need)
+
+
+def _possible():
+    def run(a, b, na, nb, bits_a, bits_b):
+        if not a:
+            return {"a": [], "b": []}
+        x, y = (np.frombuffer(b"".join(z), np.uint64).reshape(len(a), -1) for z in (bits_a, bits_b))
+        ok = could_link(np.array(na), np.array(nb), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+        return {"a": np.array(a)[ok], "b": np.array(b)[ok]}
+
+    return run
 
 
 def _verify():
     shingle = Shingler()
 
     def run(a, b, text_a, text_b):
-        """Candidates that are links. Rows come sorted by a, so its set is often at hand."""
+        """Candidates that are links; rows come sorted by a, so its set is mostly at hand."""
         out = {"a": [], "b": []}
         last, s, m = None, None, None
         for x, y, ta, tb in zip(a, b, text_a, text_b, strict=True):
@@ -287,53 +327,35 @@ def _verify():
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are linked; texts has (id, text), one row a set at least."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return map_rows(both, ["a", "b", "text_a", "text_b"], "a long, b long", _verify).distinct()
+def _block(keys: tuple, t: pa.Table) -> pa.Table:
+    """A block of a tile's pairs: those across components that sizes and bit counts leave possible."""
+    side, ids, n, c = (t[x].to_numpy() for x in ("side", "id", "n", "c"))
+    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = [], []
+    for i in x.tolist():
+        differing = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        ok = could_link(n[i], n[y], differing) & (c[y] != c[i]) & (ids[y] != ids[i])
+        a += [ids[i]] * int(ok.sum())
+        b += ids[y[ok]].tolist()
+    return pa.table({"a": pa.array(np.minimum(a, b) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b) if a else [], pa.int64())})
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows (doc_id, n_shingles, d1, d2), and links (a, b) between different sets' d1 that
-    connect exactly what all links connect."""
-    sets = materialise(map_rows(docs.select("doc_id", F.xxhash64("text").alias("key"), "text"), ["doc_id", "key", "text"], SETS, _sets), "ngram-sets")
-    # entries follow from the sizes: about a quarter of a set's size, a half where two bands apply
-    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, -(-int(total * 0.45) // BUCKET_ENTRIES))
-    spark = docs.sparkSession
-    packed = docs.select("text").mapInArrow(_keys(buckets), "bucket long, keys binary, nodes binary")
-    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tiles = materialise(packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tiles(SMALL_TILE), PAIRS), "ngram-tiles")
-    pairs = materialise(tiles.where("b is not null").select("a", "b").distinct(), "ngram-pairs")
-    # the text of one row of each set that is in a pair
+NO_ID = -(1 << 63)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are linked, by exact intersection of the texts' shingles."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    rows = sets.join(nodes, F.col("d1") == F.col("id"), "left_semi").groupBy("d1", "d2", "n_shingles").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("row"))
+    rows = sets.join(nodes, F.col("d1") == F.col("id"), "left_semi").groupBy("d1", "d2", "n_shingles").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("row"))
     wanted = materialise(rows.select(F.col("d1").alias("id"), "row").distinct(), "ngram-wanted")
-    texts = (
-        docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row"), "text").join(wanted, "row").select("id", "text")
-    )
     # a repeated doc_id may bring other texts, which their sets' ids tell apart, or the same text again
-    texts = materialise(map_rows(texts, ["id", "text"], "id long, text string", _own), "ngram-texts")
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row"), F.col("text").cast("binary").alias("text")).join(wanted, "row").select("id", "text")
+    texts = materialise(map_rows(texts, ["id", "text"], "id long, text binary", _own), "ngram-texts")
     if texts.count() > wanted.count():
         texts = materialise(texts.dropDuplicates(["id"]), "ngram-texts")
-    first = materialise(verify(pairs, texts), "ngram-links")
-    members = tiles.where("b is null").select("tile", F.col("a").alias("id")).distinct()
-    if members.isEmpty():
-        return sets, first
-    # larger tiles: pairs between sets in different components that are not judged yet
-    comp = connected_components(first)
-    placed = materialise(members.join(comp, "id", "left").select("tile", "id", F.coalesce("component_id", "id").alias("c")), "ngram-members")
-    per = placed.groupBy("tile", "c").agg(F.count("*").alias("n"))
-    main = per.groupBy("tile").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("tile", F.col("m.c").alias("main"))
-    if main.isEmpty():
-        return sets, first
-    odd = placed.join(main, "tile")
-    x, y = odd.where("c <> main").select("tile", F.col("id").alias("x"), F.col("c").alias("cx")), odd.select("tile", F.col("id").alias("y"), F.col("c").alias("cy"))
-    more = x.join(y, "tile").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "ngram-more")
-    if more.isEmpty():
-        return sets, first
-    return sets, first.union(verify(more, texts))
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return materialise(map_rows(both, ["a", "b", "text_a", "text_b"], "a long, b long", _verify), "ngram-links")
 
 
 def _own():
@@ -346,6 +368,38 @@ def _own():
     return run
 
 
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows (doc_id, key, n_shingles, d1, d2, bits), and links (a, b) between different sets' d1
+    that connect exactly what all links connect."""
+    spark = docs.sparkSession
+    # a set has about a hundred tile keys at most
+    buckets = max(1, -(-docs.count() * 100 // BUCKET_ENTRIES))
+    both = materialise(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sets(buckets), SETS), "ngram-sets")
+    sets = both.where("bucket is null").select("doc_id", "key", "n_shingles", "d1", "d2", "bits")
+    packed = both.where("bucket is not null").select("bucket", "tiles", "nodes", "times")
+    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tiles = materialise(packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tiles, "a long, b long, tile long"), "ngram-tiles")
+    signs = sets.groupBy("d1").agg(F.min(F.struct("n_shingles", "bits")).alias("s")).select(F.col("d1").alias("id"), F.col("s.n_shingles").alias("n"), "s.bits")
+    side = lambda x: signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    pairs = tiles.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = materialise(map_rows(pairs, ["a", "b", "na", "nb", "bits_a", "bits_b"], "a long, b long", _possible), "ngram-pairs")
+    first = verify(pairs, docs, sets)
+    members = tiles.where("b is null").select("tile", F.col("a").alias("id")).distinct()
+    comp = connected_components(first)
+    placed = materialise(members.join(comp, "id", "left").select("tile", "id", F.coalesce("component_id", "id").alias("c")), "ngram-members")
+    # tiles with sets in different components
+    split = placed.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).where("low <> high")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    open_ = placed.join(split.select("tile", blocks.alias("blocks")), "tile").join(signs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    grid = lambda side, mine, other: open_.select("tile", F.lit(side).alias("side"), "id", "n", "c", "bits", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other))
+    dealt = grid(0, "x", "y").unionByName(grid(1, "y", "x")).where("x <= y")
+    more = dealt.groupBy("tile", "x", "y").applyInArrow(_block, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = materialise(more, "ngram-more")
+    if more.isEmpty():
+        return sets, first
+    return sets, first.union(verify(more, docs, sets))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """The sets of all rows (doc_id, a hash of the text as key, n_shingles) and their component's set c."""
     sets, edges = links(docs)
