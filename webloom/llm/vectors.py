@@ -3,10 +3,11 @@
 Near-duplicates
     Unit vectors are cut in halves, and a codebook is trained for each half on a bounded sample. The product
     of the codebooks is a grid of cells; every vector is stored in the cell of its nearest codewords. A query
-    visits cells in order of their distance (multi-sequence traversal) for as long as a vector within the
-    linking distance can lie there: a half-vector's distance to a codeword's region is at least its distance
-    to the plane between the region and its own. So the recall is 1 whatever the codebooks are. Vectors that
-    meet in a cell are verified by cosine in double precision.
+    visits cells in order of their distance (multi-sequence traversal), a half-vector's distance to a
+    codeword's region being at least that to the plane between the region and its own. It stops at the
+    distance that target recall asks for: measured on sampled vectors with partners at the linking cosine, and
+    on the sample's own links, with a margin, and never beyond the linking distance, at which nothing can be
+    missed. Vectors that meet in a cell are verified by cosine in double precision.
 
 Neighbours
     Rows are dealt to shards of bounded size. In each, a directed graph is grown: greedy searches propose
@@ -28,7 +29,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +38,12 @@ from webloom.operators.components import connected_components
 from webloom.operators.storage import materialise
 
 COSINE = 0.98
-#: Vectors that a codebook is trained on, and its size at most.
+#: Vectors that a codebook is trained on, its size at most, and the vectors of a label that a cell should hold.
 SAMPLE = 20_000
-CODEWORDS = 64
+CODEWORDS = 1_024
+CELL_ROWS = 500
+#: Share of pairs at the linking cosine that a query's cells must hold, seen from one side.
+TARGET_RECALL = 0.9999
 #: Stored vectors and queries of one verification task.
 TILE = 2_000
 SHARD = 4_000
@@ -84,9 +87,10 @@ def margins(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Own codeword of each half-vector, and lower bounds of its squared distances to all codewords' regions."""
     d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
     own = d.argmin(1)
-    gap = np.sqrt(np.maximum(((c[own][:, None, :] - c[None]) ** 2).sum(2), 0))
+    sq = (c * c).sum(1)
+    gap = np.sqrt(np.maximum(sq[own][:, None] - 2 * (c @ c.T)[own] + sq, 0))
     plane = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * gap, 1e-300)
-    plane[gap == 0] = 0
+    plane[gap < 1e-9] = 0
     return own, np.maximum(plane - 1e-7, 0) ** 2
 
 
@@ -106,32 +110,56 @@ def traverse(a: np.ndarray, b: np.ndarray, radius2: float) -> Iterator[tuple[int
                 heapq.heappush(heap, (float(sa[p] + sb[q]), p, q))
 
 
-CELL = "label int, cell long, query boolean, id long, u binary, dim int"
+CELL = "label int, cell long, query boolean, id long, n long, v binary"
 
 
-def _cells(books: dict[int, tuple[np.ndarray, np.ndarray]], radius2: float):
+def stop_at(x: np.ndarray, labels: np.ndarray, book: tuple[np.ndarray, np.ndarray], cosine: float, target: float, seed: int = 9) -> float:
+    """Squared cell distance at which traversal stops, from unit vectors of the sample."""
+    rng = np.random.default_rng(seed)
+    h = x.shape[1] // 2
+    need = []
+
+    def needed(a, b):
+        far = margins(a[:, :h], book[0])[1], margins(a[:, h:], book[1])[1]
+        home = margins(b[:, :h], book[0])[0], margins(b[:, h:], book[1])[0]
+        at = np.arange(len(a))
+        return far[0][at, home[0]] + far[1][at, home[1]]
+
+    x, labels = x[:2_000], labels[:2_000]
+    for _ in range(8):
+        side = rng.normal(size=x.shape)
+        side = unit(side - (side * x).sum(axis=1, keepdims=True) * x + 1e-12)
+        need.append(needed(x, cosine * x + np.sqrt(1 - cosine * cosine) * side))
+    i, j = np.nonzero(np.triu((x @ x.T >= cosine) & (labels[:, None] == labels[None]), 1))
+    if len(i):
+        need.append(needed(x[i], x[j]))
+    return float(min(2 - 2 * cosine, 2.0 * np.quantile(np.concatenate(need), target, method="higher") + 1e-9))
+
+
+def _cells(books: dict):
     def run(batches):
-        for t in batches:
-            out = {k: [] for k in ("label", "cell", "query", "id", "u", "dim")}
-            for dim, rows in pd.Series(range(t.num_rows)).groupby([len(v) for v in t.column("embedding").to_pylist()]):
-                ids = t.column("id").to_numpy()[rows]
-                labels = np.array(t.column("label").to_pylist())[rows]
-                x = unit(np.array([t.column("embedding")[i].as_py() for i in rows]))
-                h = dim // 2
-                ca, cb = books.get(dim) or (np.zeros((1, h)), np.zeros((1, dim - h)))
-                own_a, ma = margins(x[:, :h], ca)
-                own_b, mb = margins(x[:, h:], cb)
-                for i in range(len(x)):
-                    u, home = x[i].tobytes(), (int(own_a[i]), int(own_b[i]))
-                    for cell in traverse(ma[i], mb[i], radius2):
-                        for query in (False, True) if cell == home else (True,):
-                            out["label"].append(int(labels[i]))
-                            out["cell"].append((dim << 40) | (cell[0] << 20) | cell[1])
-                            out["query"].append(query)
-                            out["id"].append(int(ids[i]))
-                            out["u"].append(u)
-                            out["dim"].append(dim)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, ty) for (k, v), ty in zip(out.items(), (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32()), strict=True)})
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1_000):
+                t = whole.slice(s, 1_000)
+                out = {k: [] for k in ("label", "cell", "query", "id", "n", "v")}
+                data = t.column("embedding").to_pylist()
+                sizes = np.array([len(v) for v in data])
+                ids, ns, labels = (t.column(c).to_numpy() for c in ("id", "n", "label"))
+                for dim in np.unique(sizes).tolist():
+                    rows = np.flatnonzero(sizes == dim)
+                    raw = np.array([data[i] for i in rows], np.float32)
+                    h = dim // 2
+                    ca, cb, radius2 = books.get(dim) or (np.zeros((1, h)), np.zeros((1, dim - h)), 0.0)
+                    x = unit(raw)
+                    (own_a, ma), (own_b, mb) = margins(x[:, :h], ca), margins(x[:, h:], cb)
+                    for i, r in enumerate(rows.tolist()):
+                        v, home = raw[i].tobytes(), (int(own_a[i]), int(own_b[i]))
+                        for cell in traverse(ma[i], mb[i], radius2):
+                            for query in (False, True) if cell == home else (True,):
+                                for k, value in zip(out, (labels[r], (dim << 40) | (cell[0] << 20) | cell[1], query, ids[r], ns[r], v), strict=True):
+                                    out[k].append(value)
+                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, ty) for (k, v), ty in zip(out.items(), kinds, strict=True)})
 
     return run
 
@@ -143,7 +171,7 @@ def _verify(cosine: float):
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         query = t["query"].to_numpy()
         ids, weight = t["id"].to_numpy(), t["n"].to_numpy()
-        x = np.frombuffer(b"".join(t["u"].to_pylist()), np.float64).reshape(len(ids), -1)
+        x = unit(np.frombuffer(b"".join(t["v"].to_pylist()), np.float32).reshape(len(ids), -1))
         s, q = np.flatnonzero(~query), np.flatnonzero(query)
         if not len(s) or not len(q):
             return empty
@@ -190,15 +218,19 @@ def points(rows: DataFrame) -> DataFrame:
     return rows.where(usable() & F.col("label").isNotNull()).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
 
 
-def codebooks(pts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Codebooks for the halves of each vector length, from at most SAMPLE points, the first by a hash."""
-    got = pts.select("id", "embedding").orderBy(F.xxhash64("id", F.lit(11))).limit(SAMPLE).toPandas()
+def codebooks(pts: DataFrame, cosine: float = COSINE, target: float = TARGET_RECALL) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each vector length the halves' codebooks and the squared distance at which traversal stops, from at
+    most SAMPLE points, the first by a hash. The grid grows with the largest label, so that cells don't."""
+    largest = {r["dim"]: r["n"] for r in pts.groupBy(F.size("embedding").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()}
+    got = pts.select("id", "label", "embedding").orderBy(F.xxhash64("id", F.lit(11))).limit(SAMPLE).toPandas()
     out = {}
-    for dim, x in got["embedding"].groupby(got["embedding"].map(len)):
-        if dim >= 2:
-            v = unit(np.stack(x.to_numpy()))
-            k = int(min(CODEWORDS, max(1, round(len(v) ** 0.5 / 2))))
-            out[int(dim)] = (kmeans(v[:, : dim // 2], k), kmeans(v[:, dim // 2 :], k))
+    for dim, rows in got.groupby(got["embedding"].map(len)):
+        if dim < 2:
+            continue
+        x, h = unit(np.stack(rows["embedding"].to_numpy())), int(dim) // 2
+        k = int(min(CODEWORDS, max(1, round((largest[dim] / CELL_ROWS) ** 0.5))))
+        book = kmeans(x[:, :h], k), kmeans(x[:, h:], k)
+        out[int(dim)] = (*book, stop_at(x, rows["label"].to_numpy(), book, cosine, target))
     return out
 
 
@@ -207,10 +239,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     a null vec_id takes part, but names no component beside others."""
     # ids of points must not depend on vec_id being there
     pts = materialise(points(vectors.select("vec_id", "label", "embedding")).withColumn("least", F.col("id")).withColumn("id", F.xxhash64("label", F.hex(F.to_json("embedding")))), "mi-points")
-    radius2 = 2 - 2 * cosine
-    books = codebooks(pts)
-    cells = pts.select("label", "id", "embedding").mapInArrow(_cells(books, radius2), CELL)
-    cells = materialise(cells.join(pts.select("id", "n"), "id"), "mi-cells")
+    books = codebooks(pts, cosine)
+    cells = materialise(pts.select("label", "id", "n", "embedding").mapInArrow(_cells(books), CELL), "mi-cells")
     sizes = cells.groupBy("label", "cell").agg(F.count(F.when(~F.col("query"), 1)).alias("s"), F.count(F.when(F.col("query"), 1)).alias("q")).where("s > 0 and q > 1")
     tiles = sizes.select("label", "cell", F.ceil(F.col("s") / TILE).alias("ts"), F.ceil(F.col("q") / TILE).alias("tq"))
     placed = cells.join(tiles, ["label", "cell"])
@@ -218,7 +248,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("tq")).otherwise(F.col("ts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("ts")).otherwise(F.col("tq")) - 1))
     dealt = placed.withColumn("own", own).withColumn("other", other).select(
-        "label", "cell", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("row"), F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("column"), "query", "id", "n", "u"
+        "label", "cell", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("row"), F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("column"), "query", "id", "n", "v"
     )
     found = materialise(dealt.groupBy("label", "cell", "row", "column").applyInArrow(_verify(cosine), "a long, b long, n long"), "mi-links")
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
