@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from webloom.plans import web  # noqa: F401
+from webloom.plans.base import OPERATORS, ORACLE_SQL, QUERIES, table
 
 
 def query(name: str, sql: str | None = None):
@@ -18,6 +14,7 @@ def query(name: str, sql: str | None = None):
 
     def add(f):
         QUERIES[name] = f
+        OPERATORS.setdefault(name, "D01 F01 E34 J08")
         if sql:
             ORACLE_SQL[name] = sql
         return f
