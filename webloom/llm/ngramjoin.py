@@ -35,7 +35,7 @@ from math import exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import map_rows, table
@@ -49,6 +49,9 @@ BITMAP_BITS = 1024
 #: Segment entries that one task takes, and members of a tile that one block of its pairs takes.
 BUCKET_ENTRIES = 3_000_000
 BLOCK = 2_000
+#: Rounds in which each set is tried with its nearest one, and tiles of a set that such a round looks at.
+NEAREST_ROUNDS = 4
+NEAREST_TILES = 2
 BAND_STEP = 1.5
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
@@ -327,18 +330,25 @@ def _verify():
     return run
 
 
-def _block(keys: tuple, t: pa.Table) -> pa.Table:
-    """A block of a tile's pairs: those across components that sizes and bit counts leave possible."""
-    side, ids, n, c = (t[x].to_numpy() for x in ("side", "id", "n", "c"))
-    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
-    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = [], []
-    for i in x.tolist():
-        differing = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        ok = could_link(n[i], n[y], differing) & (c[y] != c[i]) & (ids[y] != ids[i])
-        a += [ids[i]] * int(ok.sum())
-        b += ids[y[ok]].tolist()
-    return pa.table({"a": pa.array(np.minimum(a, b) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b) if a else [], pa.int64())})
+def _block(nearest: bool):
+    def group(keys: tuple, t: pa.Table) -> pa.Table:
+        """A block of a tile's pairs: those across components that sizes and bit counts leave possible, or of them
+        each set's nearest."""
+        side, ids, n, c = (t[x].to_numpy() for x in ("side", "id", "n", "c"))
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b, gap = [], [], []
+        for i in x.tolist():
+            differing = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            ok = np.flatnonzero(could_link(n[i], n[y], differing) & (c[y] != c[i]) & (ids[y] != ids[i]))
+            if nearest and len(ok):
+                ok = ok[np.lexsort((ids[y[ok]], differing[ok]))[:1]]
+            a += [ids[i]] * len(ok)
+            b += ids[y[ok]].tolist()
+            gap += differing[ok].tolist()
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", a), ("b", b), ("gap", gap))})
+
+    return group
 
 
 NO_ID = -(1 << 63)
@@ -383,21 +393,41 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = lambda x: signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = tiles.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     pairs = materialise(map_rows(pairs, ["a", "b", "na", "nb", "bits_a", "bits_b"], "a long, b long", _possible), "ngram-pairs")
-    first = verify(pairs, docs, sets)
-    members = tiles.where("b is null").select("tile", F.col("a").alias("id")).distinct()
-    comp = connected_components(first)
-    placed = materialise(members.join(comp, "id", "left").select("tile", "id", F.coalesce("component_id", "id").alias("c")), "ngram-members")
-    # tiles with sets in different components
+    judged, found = pairs, verify(pairs, docs, sets)
+    members = materialise(tiles.where("b is null").select("tile", F.col("a").alias("id")).distinct(), "ngram-members")
+    if members.isEmpty():
+        return sets, found
+    rounds = NEAREST_ROUNDS
+    while True:
+        more = materialise(_across(members, found, signs, rounds > 0).join(judged, ["a", "b"], "left_anti"), "ngram-more")
+        if not more.isEmpty():
+            judged, found = judged.union(more), found.union(verify(more, docs, sets))
+        elif rounds > 0:
+            rounds = 1
+        if rounds == 0:  # the last round looks at all pairs
+            return sets, found
+        rounds -= 1
+
+
+def _across(members: DataFrame, found: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of a tile's members in different components that may be linked: all, or each set's nearest."""
+    comp = connected_components(found)
+    placed = members.join(comp, "id", "left").select("tile", "id", F.coalesce("component_id", "id").alias("c"))
+    placed = materialise(placed, "ngram-placed")
     split = placed.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).where("low <> high")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    open_ = placed.join(split.select("tile", blocks.alias("blocks")), "tile").join(signs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    open_ = placed.join(split.select("tile", "k", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "tile")
+    if nearest:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "tile"))
+        open_ = open_.withColumn("r", rank).where(F.col("r") <= NEAREST_TILES)
+    open_ = open_.join(signs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     grid = lambda side, mine, other: open_.select("tile", F.lit(side).alias("side"), "id", "n", "c", "bits", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other))
-    dealt = grid(0, "x", "y").unionByName(grid(1, "y", "x")).where("x <= y")
-    more = dealt.groupBy("tile", "x", "y").applyInArrow(_block, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "ngram-more")
-    if more.isEmpty():
-        return sets, first
-    return sets, first.union(verify(more, docs, sets))
+    dealt = grid(0, "x", "y").unionByName(grid(1, "y", "x"))
+    if not nearest:
+        dealt = dealt.where("x <= y")
+    got = dealt.groupBy("tile", "x", "y").applyInArrow(_block(nearest), "a long, b long, gap long")
+    if nearest:
+        got = got.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("m")).select("a", "m.b")
+    return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
