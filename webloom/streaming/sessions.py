@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 def session_counts(events: DataFrame, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: a gap of ``idle`` ends one. Batch or streaming input (append mode)."""
-    df = events.withWatermark("ts", late) if events.isStreaming else events
+    df = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withWatermark("ts", late) if events.isStreaming else df
     return (
         df.groupBy(F.session_window("ts", idle).alias("w"), "user_id")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
