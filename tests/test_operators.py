@@ -92,3 +92,29 @@ def test_sources(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(host), EqualTo(host" in back.where("host = 'x'")._jdf.queryExecution().executedPlan().toString()
     source.write_results(pages.selectExpr("page_id", "nullif(url, url) AS gone"), str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json")).first().value.startswith('{"page_id":')
+
+
+def test_session_store(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", "open"), (1, "2024-01-01 00:00:30", "click"), (1, "2024-01-01 00:02:00", "open"), (2, "2024-01-01 00:00:00", "open"), (2, "2024-01-01 00:00:05", "close")]
+    spark.createDataFrame(rows, "session_id long, ts string, type string").selectExpr("session_id", "cast(ts AS timestamp) ts", "type").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session_id long, ts timestamp, type string").parquet(str(tmp_path / "in"))
+    q = sessions.session_store(stream).writeStream.format("memory").queryName("store").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.session_id: (r.n, r.open) for r in spark.table("store").collect()}
+    assert got == {1: (1, True), 2: (2, False)}
+
+
+def test_verbs(spark):
+    from webloom import api
+    from webloom.functions.values import describe
+
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    assert api.scrape(pages, only_main=False).where("length(markdown) > 100").count() == pages.count()
+    with pytest.raises(ValueError):
+        api.scrape(pages, formats=["bogus"])
+    site = pages.selectExpr("regexp_extract(url, '://([^/]*)', 1) h").first().h
+    assert 0 < api.map_site(pages, site, limit=3).count() <= 3
+    assert api.batch(pages, pages.limit(2)).count() == pages.join(pages.limit(2).select("url"), "url", "left_semi").count()
+    assert api.Options().over({"only_main": False, "nope": 1, "include": ["a"]}) == api.Options(only_main=False, include=("a",))
+    assert describe({"a": list(range(2000))})["a"][-1] == 999 and describe("x" * 99, budget=10)["truncated"] == "str"
+    assert describe([[[[[[[1]]]]]]]) == [[[[[[{"truncated": "array", "size": 1}]]]]]]

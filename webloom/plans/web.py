@@ -145,6 +145,18 @@ def _meta(d: Spark) -> str:
     return f"SELECT page_id, k AS key, v AS value FROM ({ranked}) WHERE r = 1"
 
 
+def _encoded(d: Spark) -> str:
+    enc = "replace(replace(url_encode(x), '%7E', '~'), '*', '%2A')" if d.name == "spark" else "replace(url_encode(x), '%20', '+')"
+    return f"SELECT page_id, {enc} AS encoded FROM (SELECT page_id, url || ' a~b*é(/)' AS x FROM pages)"
+
+
+def _log_lines(d: Spark) -> str:
+    first = "SELECT event_type || ' ' || CAST(user_id % 60 AS VARCHAR(10)) AS line, min(event_id) AS first_at, count(*) AS n FROM events GROUP BY 1"
+    return f"SELECT line, first_at, n FROM (SELECT *, row_number() OVER (ORDER BY first_at) AS place FROM ({first})) WHERE place <= 96"
+
+
+both("percent_encoded", "F31", _encoded)
+both("log_lines", "K07", _log_lines)
 both("url_parts", "F02 F04 F09 F10 F11 E10 E22 E32", _url_parts)
 both("url_cases", "F01 F02 F03 F05 F07 F19 F39 M28 E10 E22 E32", _url_cases)
 both("canonical_urls", "F05 F06 F07", _canonical)

@@ -39,3 +39,26 @@ def webhook_sink(df: DataFrame, deliver: Callable[[list[str]], None], events: tu
         rows.foreachPartition(lambda part: deliver([r.payload for r in part]))
 
     return df.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def session_store(actions: DataFrame, idle_s: int = 60, life_s: int = 600) -> DataFrame:
+    """A keyed store of sessions over a stream of actions (session_id, ts, type): one row per batch and session with
+    its state. A session opens with its first action and ends with a close, an idle time or a lifetime."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        opened, last, n, live = state.get if state.exists else (None, None, 0, True)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        for ts, kind in zip(rows["ts"], rows["type"], strict=True):
+            at = int(ts.timestamp())
+            if opened is None or not live or at - last > idle_s or at - opened > life_s:
+                opened, n, live = at, 0, True
+            last, n = at, n + 1
+            live = kind != "close"
+        state.update((opened, last, n, live))
+        yield pd.DataFrame({"session_id": [key[0]], "opened": [opened], "last_at": [last], "n": [n], "open": [live]})
+
+    return actions.groupBy("session_id").applyInPandasWithState(
+        step, "session_id long, opened long, last_at long, n long, open boolean", "opened long, last_at long, n long, live boolean", "update", GroupStateTimeout.NoTimeout
+    )
