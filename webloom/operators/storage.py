@@ -9,9 +9,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (local tests), a temporary folder is made and set."""
+    ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = tempfile.mkdtemp(prefix="webloom-shared-")
