@@ -42,7 +42,7 @@ def test_runs(spark, name):
 def value(spark, duck, make, *args):
     """The value of an expression in both engines, which have to agree."""
     got = spark.sql("SELECT " + make(SPARK, *[SPARK.lit(a) for a in args]) + " AS x").first().x
-    assert duck.sql("SELECT " + make(DUCK, *[DUCK.lit(a) for a in args]) + " AS x").fetchone()[0] == got
+    assert duck.sql("SELECT " + make(DUCK, *[DUCK.lit(a) for a in args]) + " AS x").fetchall()[0][0] == got
     return got
 
 
