@@ -35,3 +35,31 @@ def test_slot_gate_on_ties_and_empty_spans(spark, tmp_path):
     begin = [int(t[3:5]) * 60 + int(t[6:]) for t in at]
     busy = [sum(b < a < b + 20 * v for b, v in zip(begin, took, strict=True)) for a in begin]
     assert sorted((r[0], r[1]) for r in collected(spark, "slot_gate", tmp_path)) == list(enumerate(busy))
+
+
+def test_site_map_takes_all_pages_and_sites(spark, tmp_path):
+    hosts = ["example.net", "a.example.net", "other.test", "localhost", "10.0.0.1", "11.0.0.1"]
+    rows = [(100 + i, f"https://{h}/", f'<a href="/x#f">x</a><a href="/p/{i}">y</a><a href="https://elsewhere.test/">z</a>') for i, h in enumerate(hosts)] + [(200, "no url", '<a href="/q">q</a>')]
+    rows += [(1000 + i, "https://many.test/", "".join(f'<a href="/{i}/{k}">t</a>' for k in range(30))) for i in range(20)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [r for r in spark.createDataFrame(collected(spark, "site_map", tmp_path), "site string, link string, source long, place long").collect() if r.source == 1]
+    by = {}
+    for r in sorted(got, key=lambda r: r.place):
+        by.setdefault(r.site, []).append(r.link)
+    many = by.pop("many.test")
+    assert many == [f"https://many.test/{i}/{k}" for i in range(20) for k in range(30)][:500]
+    assert by == {
+        "example.net": ["https://example.net/x", "https://example.net/p/0", "https://a.example.net/x", "https://a.example.net/p/1"],
+        "other.test": ["https://other.test/x", "https://other.test/p/2"],
+        "localhost": ["https://localhost/x", "https://localhost/p/3"],
+        "10.0.0.1": ["https://10.0.0.1/x", "https://10.0.0.1/p/4"],
+        "11.0.0.1": ["https://11.0.0.1/x", "https://11.0.0.1/p/5"],
+    }
+    assert {(r[0], r[1]) for r in collected(spark, "site_map_counts", tmp_path)} >= {("many.test", 500), ("example.net", 4), ("localhost", 2)}
+
+
+def test_site_map_on_the_tables(spark, duck):
+    sql = catalog.ORACLE_SQL["site_map"].replace("WHERE page_id < 60", "").replace("site IN ('example.org', 'example.com')", "site <> ''")
+    mine = spark.createDataFrame(collected(spark, "site_map"), "site string, link string, source long, place long").select("site", "link", "source", "place").collect()
+    assert sorted(map(tuple, mine)) == sorted(duck.sql(f"select site, link, source, place from ({sql})").fetchall())
+    assert {r.site for r in mine} >= {"example.org", "example.com", "example.net"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from webloom.functions import urls as u
 from webloom.functions.dialect import Spark
 from webloom.plans.base import both
@@ -35,17 +37,27 @@ def _expanded(d: Spark) -> str:
 
 def _map(d: Spark) -> str:
     """Site map links before page links, on the site or below it, without fragments, first ones kept."""
-    site = "('example.org', 'example.com')"
+    # a host that is an address or one label is its own site
+    site = f"CASE WHEN {d.rlike('host', r'^[0-9.]+$|:|^[^.]*$')} THEN host ELSE {d.extract('host', '([^.]+[.][^.]+)$')} END"
+    return _placed(d, f"SELECT page_id, {site} AS site FROM (SELECT page_id, {u.host(d, 'url')} AS host FROM pages)", "site <> ''")
+
+
+def _map_compared(d: Spark) -> str:
+    """The SQL of site_map: two sites, and the links of the first 60 ids."""
+    return _placed(d, f"SELECT page_id, {d.extract(u.host(d, 'url'), '([^.]+[.][^.]+)$')} AS site FROM pages WHERE page_id < 60", "site IN ('example.org', 'example.com')")
+
+
+def _placed(d: Spark, pages: str, sites: str) -> str:
     listed = f"SELECT {d.extract('root', '://([^/]*)')} AS site, {u.without_fragment(d, 'loc')} AS link, 0 AS source, child, pos, CAST(0 AS BIGINT) AS page_id FROM ({_expanded(d)})"
-    linked = f"SELECT p.site, {u.without_fragment(d, 'l.link')} AS link, 1 AS source, CAST(0 AS BIGINT) AS child, l.pos, l.page_id FROM ({_links(d)}) l JOIN (SELECT page_id, {d.extract(u.host(d, 'url'), '([^.]+[.][^.]+)$')} AS site FROM pages WHERE page_id < 60) p ON l.page_id = p.page_id"
+    linked = f"SELECT p.site, {u.without_fragment(d, 'l.link')} AS link, 1 AS source, CAST(0 AS BIGINT) AS child, l.pos, l.page_id FROM ({_links(d)}) l JOIN ({pages}) p ON l.page_id = p.page_id"
     every = f"SELECT *, {u.host(d, 'link')} AS host FROM ({listed} UNION ALL {linked})"
-    kept = f"SELECT *, row_number() OVER (PARTITION BY site, link ORDER BY source, child, page_id, pos) AS n FROM ({every}) WHERE site IN {site} AND {u.is_http(d, 'link')} AND {u.same_site(d, 'host', 'site')}"
+    kept = f"SELECT *, row_number() OVER (PARTITION BY site, link ORDER BY source, child, page_id, pos) AS n FROM ({every}) WHERE {sites} AND {u.is_http(d, 'link')} AND {u.same_site(d, 'host', 'site')}"
     placed = f"SELECT site, link, source, row_number() OVER (PARTITION BY site ORDER BY source, child, page_id, pos, link) AS place FROM ({kept}) WHERE n = 1"
     return f"SELECT site, link, CAST(source AS BIGINT) AS source, CAST(place AS BIGINT) AS place FROM ({placed}) WHERE place <= least(greatest(500, 1), 100000)"
 
 
-def _searched(d: Spark) -> str:
-    return f"SELECT site, count(*) AS n, CAST(sum(CASE WHEN contains(lower(link), 'P/') OR contains(lower(link), 'e') THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN source = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_listed FROM ({_map(d)}) GROUP BY site"
+def _searched(d: Spark, links: Callable[[Spark], str] = _map) -> str:
+    return f"SELECT site, count(*) AS n, CAST(sum(CASE WHEN contains(lower(link), 'P/') OR contains(lower(link), 'e') THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN source = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_listed FROM ({links(d)}) GROUP BY site"
 
 
 def _admitted(d: Spark, link: str, seed: str) -> str:
@@ -71,7 +83,7 @@ def _batch(d: Spark) -> str:
 
 both("sitemap_locs", "A05", _locs)
 both("sitemap_expanded", "A06 G06", _expanded)
-both("site_map", "K01 K03 E34 J08 J09 L15 M17", _map)
-both("site_map_counts", "E34 M17", _searched)
+both("site_map", "K01 K03 E34 J08 J09 L15 M17", _map, compared=_map_compared)
+both("site_map_counts", "E34 M17", _searched, compared=lambda d: _searched(d, _map_compared))
 both("frontier_new", "G03 E30 F04", _frontier)
 both("url_batch", "E33 K04 M19 I13", _batch)
