@@ -63,3 +63,15 @@ def test_site_map_on_the_tables(spark, duck):
     mine = spark.createDataFrame(collected(spark, "site_map"), "site string, link string, source long, place long").select("site", "link", "source", "place").collect()
     assert sorted(map(tuple, mine)) == sorted(duck.sql(f"select site, link, source, place from ({sql})").fetchall())
     assert {r.site for r in mine} >= {"example.org", "example.com", "example.net"}
+
+
+def test_webhooks_of_all_configured_events(spark, duck):
+    kind = "case when event_type = 'signup' then case when event_id % 40 = 0 then 'failed' end when event_type <> 'error' then 'page' end"
+    want = {}
+    for i, kind, at in duck.sql(f"select event_id, {kind} k, epoch_us(ts) from events where k is not null").fetchall():
+        for n, after in enumerate((0, 60, 360, 1260)):
+            if n == 0 or i % 100 == 0:
+                want[i, n] = (kind, at + after * 1_000_000, kind == "page")
+    df = catalog.QUERIES["webhook_attempts"](spark, DIR)
+    got = [((r.pos, r.attempt), (r.type.split(".")[1], r.due, r.success)) for r in df.collect()]
+    assert len(got) == len(want) and dict(got) == want
