@@ -75,3 +75,25 @@ def test_webhooks_of_all_configured_events(spark, duck):
     df = catalog.QUERIES["webhook_attempts"](spark, DIR)
     got = [((r.pos, r.attempt), (r.type.split(".")[1], r.due, r.success)) for r in df.collect()]
     assert len(got) == len(want) and dict(got) == want
+
+
+def test_rank_fusion_merges_hits_of_any_rank(spark, tmp_path):
+    """u/0 is first in one engine and beyond rank 200 in the other; ids are odd and no multiple of 5, so urls stay plain."""
+    ids = [i for i in range(1, 2000, 2) if i % 5]
+    rows = [(ids[k], 0 if k == 0 else 1000 + k, "view", 1000.0 - k) for k in range(10)]
+    rows += [(ids[20 + k], 0 if k == 249 else 2000 + k, "click", 1000.0 - k) for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    first = {r.canonical: r for r in catalog.QUERIES["rank_fusion"](spark, tmp_path).collect()}
+    r = first["s.example/u/0"]
+    assert (r.n_engines, r.engines, r.best_rank, r.score, r.position) == (2, "click,view", 1, round(1 + 1 / 250, 9), 1)
+    assert len(first) == 100
+
+
+def test_hits_enriched_keeps_all_hits(spark, duck):
+    df = catalog.QUERIES["hits_enriched"](spark, DIR)
+    got = df.groupBy("engine").count().collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql("select event_type, count(*) from events group by 1").fetchall())
+    title = dict(duck.sql("select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) from pages where page_id % 4 <> 0").fetchall())
+    for r in df.where("rank > 100").collect():
+        user = int(r.url.split("/u/")[1].split("/")[0])
+        assert (r.title, r.status) == ((title[user], "success") if user in title else (f"title {user}", "missing"))

@@ -111,8 +111,9 @@ HITS = """SELECT event_type AS engine, row_number() OVER (PARTITION BY event_typ
     CASE WHEN event_id % 2 = 0 THEN 'https://S.example/u/' ELSE 'http://s.example/u/' END || CAST(user_id AS VARCHAR(20)) || CASE WHEN event_id % 5 = 0 THEN '/?utm_source=q' ELSE '' END AS url FROM events"""
 
 
-def _fusion(d: Spark) -> str:
-    keyed = f"SELECT *, {u.canonical_key(d, 'url')} AS k, {d.octets('trim(title)')} + {d.octets('trim(description)')} AS rich FROM (SELECT * FROM ({HITS}) WHERE rank <= 200)"
+def _fusion(d: Spark, only: str = "") -> str:
+    """The limit is applied after all hits are merged and sorted."""
+    keyed = f"SELECT *, {u.canonical_key(d, 'url')} AS k, {d.octets('trim(title)')} + {d.octets('trim(description)')} AS rich FROM (SELECT * FROM ({HITS}){only})"
     per = f"SELECT k, engine, min(rank) AS best FROM ({keyed}) GROUP BY k, engine"
     fused = f"SELECT k, round(sum(CAST(1.0 AS DOUBLE) / best), 9) AS score, min(best) AS best_rank, {d.ordered('engine', ',', 'engine')} AS engines, count(*) AS n_engines FROM ({per}) GROUP BY k"
     first = f"SELECT k, url, title, engine FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, rich DESC, url, title, engine) AS r FROM ({keyed})) WHERE r = 1"
@@ -120,8 +121,8 @@ def _fusion(d: Spark) -> str:
         SELECT f.*, o.url, o.title, row_number() OVER (ORDER BY f.score DESC, f.best_rank, o.url, o.title, o.engine) AS position FROM ({fused}) f JOIN ({first}) o ON f.k = o.k) WHERE position <= 100"""
 
 
-def _enriched(d: Spark) -> str:
-    hits = f"SELECT * FROM ({HITS}) WHERE rank <= 100"
+def _enriched(d: Spark, only: str = "") -> str:
+    hits = f"SELECT * FROM ({HITS}){only}"
     docs = f"SELECT page_id, {d.extract('html', '(?is)<title[^>]*>(.*?)</title>')} AS page_title, CASE WHEN page_id % 4 = 0 THEN 'error' ELSE 'success' END AS status FROM pages"
     return f"""SELECT h.engine, CAST(h.rank AS BIGINT) AS rank, h.url, coalesce(p.page_title, h.title) AS title, coalesce(p.status, 'missing') AS status FROM ({hits}) h
         LEFT JOIN (SELECT * FROM ({docs}) WHERE status = 'success') p ON TRY_CAST({d.extract("h.url", "/u/([0-9]+)")} AS BIGINT) = p.page_id"""
@@ -143,6 +144,6 @@ both("endpoint_replay", "J05 G07 M02 M03 D24 D25 E38", _replay)
 both("robots_decisions", "A08 E01 E02 E03 E04 G04", _robots)
 both("robots_sitemaps", "A07 A08", _robot_sitemaps)
 both("challenge_flags", "E06 E07 E08 E09 E10 E12 E13 E36 E37 E38 F13 G05", _challenge)
-both("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _fusion)
-both("hits_enriched", "G01 G02 M13", _enriched)
+both("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _fusion, compared=lambda d: _fusion(d, " WHERE rank <= 200"))
+both("hits_enriched", "G01 G02 M13", _enriched, compared=lambda d: _enriched(d, " WHERE rank <= 100"))
 both("engine_outcomes", "A09 A10 D37 D38 I08 M14", _engines)
