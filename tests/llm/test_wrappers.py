@@ -78,3 +78,12 @@ def test_odd_rows(spark):
     assert [g for g in got if g[0] != 8] == sorted(want, key=repr)
     assert next(t for i, t in got if i == 8).endswith("a\nb éA c")
     assert w.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "raw",
+    ["<script>for(i=0;i<n;i++){x()}</script>", "<SCRIPT>if(a<b && c>d){y('<p>')}</Script >", "<style>a::after{content:'<b'}</style>", "<textarea><x y='</textarea>", "<title>a <b</title>", "<script><!-- if(a<b) </script>", "<template><script>a<b;'</script></template>"],
+)
+def test_content_of_raw_elements_is_no_markup(raw):
+    assert w.parse(f"{raw}<article><p>Text</p></article>") == ["#root", ["article", ["p", ("Text", 0)]]]
+    assert w.parse("<p>a</p><script>b<c") == ["#root", ["p", ("a", 0)]]

@@ -48,6 +48,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object textarea select canvas audio video math button title".split())
+#: Elements whose content is no markup: it goes on to the literal end tag.
+END_TAG = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 HEAD = frozenset("title meta link style script base noscript template head".split())
 CHROME = frozenset("nav header footer aside form fieldset menu dialog search address".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
@@ -92,7 +94,8 @@ def parse(source: str) -> list:
         flush()
         del stack[at:]
 
-    for m in TOKEN.finditer(source):
+    tokens = TOKEN.finditer(source)
+    while m := next(tokens, None):
         tag = m[3]
         if tag is None:
             if skip is None and not head:
@@ -103,12 +106,19 @@ def parse(source: str) -> list:
                         linked += len(text.strip())
             continue
         tag, closing = tag.lower(), bool(m[2])
+        if tag in END_TAG and not closing and not m[4].endswith("/"):
+            end = END_TAG[tag].search(source, m.end())
+            if end:
+                tokens = TOKEN.finditer(source, end.end())
+                continue
+            if skip is None:
+                break
         if skip is not None:
             if closing and tag == skip:
                 skip = None
             continue
         if tag in RAW:
-            if not closing and not m[4].endswith("/") and (tag in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "select", "button", "object", "canvas", "audio", "video", "math")):
+            if not closing and not m[4].endswith("/") and (tag in ("noscript", "template", "svg", "select", "button", "object", "canvas", "audio", "video", "math")):
                 skip = tag
             continue
         if tag == "head":
