@@ -87,3 +87,44 @@ def test_odd_rows(spark):
 def test_content_of_raw_elements_is_no_markup(raw):
     assert w.parse(f"{raw}<article><p>Text</p></article>") == ["#root", ["article", ["p", ("Text", 0)]]]
     assert w.parse("<p>a</p><script>b<c") == ["#root", ["p", ("a", 0)]]
+
+
+def texts(pages):
+    """The main texts of one host's pages."""
+    tree = w.fold(w.parse(pages[0]))
+    for p in pages[1:]:
+        w.merge_into(tree, w.fold(w.parse(p)))
+    path = w.main_path(tree)
+    fixed = w.constants(tree, path)
+    return [w.read(w.parse(p), path, fixed) for p in pages]
+
+
+def article(i, more="", before=""):
+    return f"<body><article>{before}<h1>Title {i}</h1><p>Text {i} {'word ' * (20 + i)}</p>{more}</article></body>"
+
+
+def test_equal_neighbours_of_one_page_are_kept():
+    page = article(1, "<ul>" + "<li>same</li>" * 5 + "</ul><table><tr>" + "<td>7</td>" * 5 + "</tr></table>")
+    assert texts([page])[0].split("\n")[2:] == ["same"] * 5 + ["7"] * 5
+    pages = [article(i, "<ul>" + "<li>same</li>" * 2 + "</ul>" if i == 1 else "") for i in range(8)]
+    assert texts(pages)[1].split("\n")[2:] == ["same"] * 2
+
+
+def test_texts_of_copies_are_kept():
+    copy = article(50, "<blockquote>Quote</blockquote><table><tr><td>cell</td></tr></table>")
+    assert all(t.endswith("Quote\ncell") for t in texts([copy] * 5 + [article(i) for i in range(5)])[:5])
+    assert all(t.endswith("Quote\ncell") for t in texts([copy] * 5 + [article(1, "<blockquote>Quote</blockquote><table><tr><td>cell</td></tr></table>")]))
+
+
+def test_a_template_text_is_dropped_in_its_place_only():
+    note = "<div>Read it on our app</div>"
+    got = texts([article(i, note if i == 3 else "<p>Read it on our app</p>" if i == 4 else "", note) for i in range(6)])
+    assert [t.count("Read it on our app") for t in got] == [0, 0, 0, 1, 1, 0]
+    assert [t.split("\n")[0] for t in got] == [f"Title {i}" for i in range(6)]
+
+
+def test_empty_pages_do_not_hide_a_template_text(spark):
+    note = "<div>Read it on our app</div>"
+    rows = [(i, "https://h/", article(i, before=note)) for i in range(6)] + [(7, "https://h/", None), (8, "https://h/", ""), (9, "https://g/", None)]
+    got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == got[8] == got[9] == "" and got[0].startswith("Title 0")

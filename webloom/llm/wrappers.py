@@ -7,8 +7,8 @@ group, what comes in runs a repeated group, and texts that differ become slots.
 way, so tasks infer wrappers from the pages at hand, at any split of a host, and the partial ones are merged.
 
 The wrapper sums up, for each of its groups, the text in slots, the text in links and the paragraphs of all
-pages. That names the group that holds the main text, and the constant texts within it, for all pages of the
-host; menus, footers, sidebars, forms, adverts, notices and comments are dropped by their tags and names.
+pages. That names the group that holds the main text, and the constant texts within it: those that are the same
+on all pages of the host, of which enough differ in their paragraphs (copies count as one page); menus, footers, sidebars, forms, adverts, notices and comments are dropped by their tags and names.
 
 Defined results: null or empty html gives ""; pages without url, or without a host, share the wrapper of the
 empty host; repeated rows give repeated results; a page that fits no wrapper is read by its own structure;
@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,7 @@ DEPTH = 60
 #: Hosts that a task holds before it hands on their wrappers, and nodes of one wrapper.
 HOSTS_AT_ONCE = 2_000
 WRAPPER_NODES = 1_500
-#: Pages from which a text that never changes counts as template.
+#: Differing pages from which a text that never changes counts as template.
 CONSTANT_PAGES = 5
 #: Partial wrappers of a host meet in so many groups before they meet in one.
 SALTS = 16
@@ -169,11 +171,40 @@ def parse(source: str) -> list:
     return root
 
 
-# A wrapper node is [signature, optional, repeated, pages, slot text, link text, paragraphs, constant, children].
-SIG, OPT, REP, PAGES, SLOT, LINK, PARAS, CONST, KIDS = range(9)
+# A wrapper node is [signature, optional, repeated, pages, slot text, link text, paragraphs, constant, children];
+# the root also has the least hashes of its pages' paragraphs, CONSTANT_PAGES at most.
+SIG, OPT, REP, PAGES, SLOT, LINK, PARAS, CONST, KIDS, DIFFERING = range(10)
 
 
-def fold(node: list) -> list:
+def fold(page: list) -> list:
+    """A page as a wrapper."""
+    out = fold_node(page)
+
+    def once(node):
+        node[PAGES] = 1
+        for k in node[KIDS]:
+            once(k)
+
+    once(out)
+    return [*out, [hash_text(paragraphs(page))]]
+
+
+def paragraphs(page: list) -> str:
+    """The page's paragraphs outside chrome, or all its texts there if it has none; copies of a page share them."""
+    found: list = []
+
+    def look(node):
+        for k in node[1:]:
+            if isinstance(k, tuple):
+                found.append(k)
+            elif not is_chrome(k[0], True):
+                look(k)
+
+    look(page)
+    return "\n".join([t for t, link in found if len(t) - link >= 40] or [t for t, _ in found])
+
+
+def fold_node(node: list) -> list:
     """A page's node as a wrapper node; neighbours of the same signature make one repeated group."""
     out = [node[0], 0, 0, 1, 0, 0, 0, None, []]
     for child in node[1:]:
@@ -181,11 +212,11 @@ def fold(node: list) -> list:
             text, link = child
             kid = ["#", 0, 0, 1, len(text), link, int(len(text) - link >= 40), hash_text(text), []]
         else:
-            kid = fold(child)
+            kid = fold_node(child)
         if out[KIDS] and out[KIDS][-1][SIG] == kid[SIG]:
             last = out[KIDS][-1]
             merge_into(last, kid)
-            last[PAGES], last[REP] = 1, 1
+            last[REP] = 1
         else:
             out[KIDS].append(kid)
     return out
@@ -241,6 +272,8 @@ def merge_into(a: list, b: list) -> None:
         a[k] += b[k]
     if a[CONST] != b[CONST]:
         a[CONST] = None
+    if len(a) > DIFFERING:
+        a[DIFFERING] = sorted({*a[DIFFERING], *b[DIFFERING]})[:CONSTANT_PAGES]
     kids = []
     for i, j in pairing(a[KIDS], b[KIDS]):
         if i is None:
@@ -284,6 +317,7 @@ def regex(w: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
+@lru_cache(1 << 14)
 def is_chrome(sig: str, in_main: bool) -> bool:
     tag, _, rest = sig.partition(".")
     tag, _, role = tag.partition("@")
@@ -340,26 +374,33 @@ def main_path(w: list) -> list[str]:
         node = k
 
 
-def constants(w: list, path: list[str]) -> set[int]:
-    """Hashes of texts in the main group that are the same on all of at least CONSTANT_PAGES pages."""
-    node = w
+def constants(w: list, path: list[str]) -> dict[tuple[str, int], float]:
+    """Texts in the main group that are the same on all pages, if at least CONSTANT_PAGES of those differ: place
+    and hash, and how often a page has them. Optional groups have none."""
+    out: dict[tuple[str, int], float] = {}
+    node, times = w, 1.0
+    if len(w[DIFFERING]) < CONSTANT_PAGES:
+        return out
     for sig in path:
         node = next((k for k in node[KIDS] if k[SIG] == sig), None)
-        if node is None:
-            return set()
-    out: set[int] = set()
+        if node is None or node[OPT]:
+            return out
+        times = math.inf if node[REP] else times
 
-    def look(x):
+    def look(x, where, times):
         for k in x[KIDS]:
-            if k[SIG] == "#" and k[CONST] is not None and not k[REP] and k[PAGES] >= CONSTANT_PAGES:
-                out.add(k[CONST])
-            look(k)
+            if k[OPT] or k[PAGES] < w[PAGES]:
+                continue
+            if k[SIG] != "#":
+                look(k, f"{where}>{k[SIG]}", math.inf if k[REP] else times)
+            elif k[CONST] is not None and not k[REP]:
+                out[where, k[CONST]] = out.get((where, k[CONST]), 0) + times
 
-    look(node)
+    look(node, "", times)
     return out
 
 
-def read(root: list, path: list[str], fixed: set[int]) -> str:
+def read(root: list, path: list[str], fixed: dict[tuple[str, int], float]) -> str:
     """The main text of a parsed page: the blocks under the wrapper's main path."""
     nodes = [root]
     for sig in path:
@@ -368,33 +409,37 @@ def read(root: list, path: list[str], fixed: set[int]) -> str:
             break
         nodes = below
 
-    def look(node, found, dropping):
+    def look(node, found, left, where=""):
         for k in node[1:]:
             if isinstance(k, tuple):
-                if not (dropping and hash_text(k[0]) in fixed):
+                key = (where, hash_text(k[0])) if left else None
+                if left.get(key, 0) > 0:
+                    left[key] -= 1
+                else:
                     found.append(k)
             elif not is_chrome(k[0], True):
                 tag = k[0].split("@")[0].split(".")[0]
                 if tag in ("ul", "ol", "menu", "dl"):
                     inner: list = []
-                    look(k, inner, dropping)
+                    look(k, inner, left, f"{where}>{k[0]}")
                     n, linked = sum(len(t) for t, _ in inner), sum(x for _, x in inner)
                     if n and linked / n > 0.7 and len(inner) > 1:
                         continue
                     found += inner
                 else:
-                    look(k, found, dropping)
+                    look(k, found, left, f"{where}>{k[0]}")
 
     for dropping in (True, False):
         found: list = []
+        left = dict(fixed) if dropping else {}
         for x in nodes:
-            look(x, found, dropping)
+            look(x, found, left)
         every = sum(len(t) for t, _ in found)
         if not dropping or not fixed:
             break
         whole: list = []
         for x in nodes:
-            look(x, whole, False)
+            look(x, whole, {})
         if every * 2 >= sum(len(t) for t, _ in whole):
             break
     return "\n".join(t for t, _ in found)
@@ -417,7 +462,9 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = fold(parse(html or ""))
+            if not html:  # has no text on any account, and says nothing of the others
+                continue
+            w = fold(parse(html))
             if host in held:
                 merge_into(held[host], w)
                 if held[host][PAGES] % 64 == 0:
@@ -466,12 +513,12 @@ def _apply():
                     known.clear()
                 tree = json.loads(w) if w else None
                 path = main_path(tree) if tree else None
-                known[key] = (path, constants(tree, path) if tree else set())
+                known[key] = (path, constants(tree, path) if tree else {})
             path, fixed = known[key]
             got = read(root, path, fixed) if path is not None else ""
             if not got:
                 own = fold(root)
-                got = read(root, main_path(own), set())
+                got = read(root, main_path(own), {})
             text.append(got)
         return {"page_id": page_id, "url": url, "text": text, "n_chars": [len(t) for t in text]}
 
