@@ -15,7 +15,7 @@ from webloom.operators.storage import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is rejected: no letters, or too little confidence."""
+    """Drops documents whose language is rejected: no letters, or unlike all learnt languages."""
     return langid.accepted(docs, langid.fit(docs))
 
 
