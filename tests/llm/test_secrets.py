@@ -61,3 +61,8 @@ def test_frame(spark):
         want.add((i, *(sum(x[1] == k for x in b) for k in range(3)), hashlib.sha256(n.encode()).hexdigest(), "guess:5:15" if i is None else n))
     assert got == want
     assert secrets.scan(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["PASSWORD IS k9$Xw2!pQz", "my Password Is k9$Xw2!pQz", "password is k9$Xw2!pQz"])
+def test_guess_spans_in_any_case(text):
+    assert [text[s:e] for s, e, _ in secrets.guess_spans(text, secrets.base_spans(text))] == ["k9$Xw2!pQz"]

@@ -109,7 +109,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def guess_spans(text: str, base: list[tuple[int, int, int]], min_cost: float = MIN_COST) -> list[tuple[int, int, float]]:
     """(start, end, cost) of further values in a credential context."""
     out = []
-    if not ("=" in text or ":" in text or " is" in text):
+    if not ("=" in text or ":" in text or " is" in text.lower()):
         return out
     for m in CONTEXT.finditer(text):
         s, e = m.span(1)
