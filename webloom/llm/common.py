@@ -33,6 +33,18 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[...,
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that are not among names; names differ in more than case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        name = f"_{w}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """The file of a public tokenizer; ``folder`` overrides the installed package's place."""
     if folder:

@@ -2,23 +2,25 @@
 
 A document's shingles are 64-bit hashes of five lower-cased words. Two documents of Jaccard similarity
 0.8 or more differ in at most (a + b) / 9 shingles, where a and b are their set sizes. Sizes fall into
-bands, and each band cuts the hash space into more segments than its documents may differ by: at least one
-segment then holds the same shingles in both. Documents of a band with an equal segment share a tile, and
+bands, and each band cuts the hash space into more segments than its documents may differ by: so many segments
+at least, the rest, hold the same shingles in both. Documents of a band with an equal segment share a tile, and
 only documents that share a tile are compared. A comparison first bounds the overlap from above by the bits
 that one bitmap signature has beyond the other; pairs that the bound does not exclude are intersected
 exactly as sorted arrays.
 
-An empty segment says nothing, so it makes no tile, unless a document has so many that the ones it may have
-in common could all be empty; then they make tiles as well. Thus no pair of small sets is lost. Large sets
-have so many segments that some of them suffice: of these only the first are used, and of them those with
-two or three shingles at least. Hashing scatters differences at random, so the chance that a linked pair has
-none of these in common is below 1e-12 (see ``plan``), as small as that of a clash of the hashes.
+Not all segments have to make tiles. Put segments in one order over all documents, by their count of shingles
+and then by a hash of their content. A document may leave out its lowest segments, one fewer than are equal at
+least in any linked pair: then the highest equal segment of a pair is in both documents, and neither can have left
+it out without leaving out all the equal ones. So no linked pair is lost, at any size, and what makes tiles are the
+segments of two shingles and more, which strangers seldom share.
 
-Equal sets are one vertex from the start. A tile yields pairs of its smallest set with the others; once
+Equal sets are one vertex from the start, named by 128 bits; where two sets share the first 64, both get other
+names. A tile yields pairs of its smallest set with the others; once
 these are judged, tiles whose members are still in different components are compared as a whole: bit counts
 of all their pairs across components, in blocks, and exact intersections of the pairs that remain. So
 groups of near copies cost pairs in proportion to their members, a passage that many documents share costs
-bit counts, and every pair of a tile is either compared or known to be connected.
+bit counts, and every pair of a tile is either compared or known to be connected. A set of many pairs meets
+them in several places.
 
 Defined results: null and empty texts have no shingles and stay alone; with one to four words the whole
 sequence is the one shingle; repeated rows and equal texts are linked; a null doc_id is a row of its own
@@ -31,28 +33,33 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from math import exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import map_rows, table
+from webloom.llm.common import map_rows, table, unused
 from webloom.operators.components import connected_components
 from webloom.operators.storage import materialise
 
 WIDTH = 5
 #: Similarity as a ratio: 100 x intersection >= 80 x union.
 NUMERATOR, DENOMINATOR = 80, 100
+#: Bits of the least bitmap; a set has as many as shingles, rounded up to a power of two, if that is more.
 BITMAP_BITS = 1024
 #: Segment entries that one task takes, and members of a tile that one block of its pairs takes.
-BUCKET_ENTRIES = 3_000_000
-BLOCK = 2_000
-#: Rounds in which each set is tried with its nearest one, and tiles of a set that such a round looks at.
-NEAREST_ROUNDS = 4
-NEAREST_TILES = 2
-BAND_STEP = 1.5
+BUCKET_ENTRIES = 2_000_000
+BLOCK = 1_000
+#: Pairs of one set that meet it in one place.
+HOT_PAIRS = 5_000
+#: Rows of small tiles that are compared together.
+ROWS = 10_000
+#: If a block leaves more possible pairs a row than this, only so many nearest ones of each row are tried in this
+#: round, and in the next one MORE times as many.
+NEAREST = 4
+MORE = 8
+BAND_STEP = 2
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -65,45 +72,68 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Odd factors of the words of a shingle.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        got = self[word] = xxh3_64_intdigest(word)
-        return got
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of a text in UTF-8. Word hashes are kept, up to a bound. Of bytes, lower()
-    and split() change A-Z and split at the six white-space characters alone, as asked for."""
-
-    def __init__(self, memo_words: int = 500_000):
-        self.memo, self.memo_words = WordHashes(), memo_words
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else ()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        w = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        width = min(WIDTH, len(w))
-        n = len(w) - width + 1
-        acc = w[:n] * FACTORS[0] + np.uint64(width)
-        for k in range(1, width):
-            acc += w[k : k + n] * FACTORS[k]
-        acc = mix(acc)
-        acc.sort()
-        return acc[np.r_[True, acc[1:] != acc[:-1]]]
-
-
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set, as two signed integers."""
-    with np.errstate(over="ignore"):
-        a, b = mix(s + MIX[2]).sum(dtype=np.uint64), mix(s * MIX[0] + MIX[1]).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+#: White space between words, and bytes with A-Z in lower case; other bytes stay as they are.
+SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+FOLDED = np.arange(256, dtype=np.uint16) + 32 * ((np.arange(256) >= 65) & (np.arange(256) <= 90)).astype(np.uint16)
+#: A hash of every byte at every place in a word, modulo PLACES; and bytes that are looked at together.
+PLACES = 64
+BYTES = mix(np.arange(1, 256 * PLACES + 1, dtype=np.uint64) * MIX[2])
+CHUNK = 1 << 20
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal neighbours start; x is not empty."""
+    first = np.empty(len(x), bool)
+    first[0] = True
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: the scrambled sum of the hashes of its bytes, each by its place."""
+    raw = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(~SPACE[raw])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    start = np.empty(len(at), bool)
+    start[0] = True
+    np.greater(at[1:] - at[:-1], 1, out=start[1:])
+    start = np.flatnonzero(start)
+    size = np.diff(np.append(start, len(at)))
+    place = np.arange(len(at)) - np.repeat(start, size)
+    value = BYTES[FOLDED[raw[at]] + ((place & (PLACES - 1)) << 8)]
+    if int(size.max()) > PLACES:
+        far = place >= PLACES
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64))
+    return mix(np.add.reduceat(value, start) + size.astype(np.uint64) * MIX[1])
+
+
+def shingle(text: bytes | None) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text in UTF-8."""
+    parts, at, n = [], 0, len(text or b"")
+    while at < n:  # a long text in parts that end with a word
+        end = at + CHUNK
+        while end < n and not SPACE[text[end]]:
+            end += 1
+        parts.append(word_hashes(text[at:end] if at or end < n else text))
+        at = end
+    w = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    if not len(w):
+        return w
+    width = min(WIDTH, len(w))
+    n = len(w) - width + 1
+    acc = w[:n] * FACTORS[0] + np.uint64(width)
+    for k in range(1, width):
+        acc += w[k : k + n] * FACTORS[k]
+    acc = mix(acc)
+    acc.sort()
+    return acc[changes(acc)]
+
+
+def digest(s: np.ndarray, id_bits: int = 64) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed integers; the first of fewer bits in tests."""
+    a, b = mix(s + MIX[2]).sum(dtype=np.uint64), mix(s * MIX[0] + MIX[1]).sum(dtype=np.uint64)
+    return int(a.astype(np.int64)) >> (64 - id_bits), int(b.astype(np.int64))
 
 
 def most_differing(a: int, b: int) -> int:
@@ -124,8 +154,8 @@ BANDS = _bands()
 
 
 def segments(differing: int) -> int:
-    """Segments of a band: more than may differ, and some to spare, so that the equal ones aren't all empty."""
-    return differing + 2 + differing // 8
+    """Segments of a band: more than may differ, and some to spare, so that small ones can be left out."""
+    return differing + 2 + differing // 4
 
 
 def bands_of(n: int) -> range:
@@ -138,72 +168,78 @@ def bands_of(n: int) -> range:
 
 
 @cache
-def plan(band: int) -> tuple[int, int, int]:
-    """(segments, how many of them are used, least shingles of a used one) of a band. Of a linked pair with d
-    differing shingles, 4 d are common at least; with m segments, one is equal and has t common shingles with
-    probability p = exp(-d / m) P(Poisson(4 d / m) >= t). A pair of the band has d from its bound down to that
-    of the band before, or less and then more in common. Among u used segments none is with (1 - p)^u."""
-    most = int(BANDS[band])
-    m = segments(most)
-    for t in (3, 2):
-        p = min(
-            exp(-d / m) * (1 - sum(exp(-4 * d / m) * (4 * d / m) ** k / factorial(k) for k in range(t)))
-            for d in (most, max(1.0, most / BAND_STEP - 1))
-        )
-        used = int(log(1e-12) / log(1 - p)) + 1
-        if used <= m:
-            return m, used, t
-    return m, m, 1
+def plan(n: int) -> list[tuple[int, int, int]]:
+    """(segments, how many of them may be left out, salt of the keys) in each band of a set of size n."""
+    widest, out = most_differing(n, n * DENOMINATOR // NUMERATOR), []
+    for band in bands_of(n):
+        m = segments(int(BANDS[band]))
+        out.append((m, m - min(int(BANDS[band]), widest) - 1, (band + 1) * int(MIX[2]) & 0xFFFFFFFFFFFFFFFF))
+    return out
 
 
 def tile_keys(s: np.ndarray) -> np.ndarray:
     """64-bit keys of the tiles that a sorted set belongs to."""
-    out = []
-    for band in bands_of(len(s)):
-        m, used, least = plan(band)
-        at = ((s >> np.uint64(40)) * np.uint64(m)) >> np.uint64(24)  # non-decreasing, as s is sorted
-        part = s
-        if used < m:
-            n = int(np.searchsorted(at, used))
-            at, part = at[:n], s[:n]
-        salt = np.uint64((band + 1) * int(MIX[2]) & 0xFFFFFFFFFFFFFFFF)
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
-        if len(starts):
-            total = np.add.reduceat(mix(part ^ MIX[2]), starts)
-            big = np.diff(np.r_[starts, len(at)]) >= least
-            out.append(mix(total + mix(at[starts] + salt))[big])
-        if least == 1 and m - len(starts) >= m - int(BANDS[band]):  # so many that all segments in common might be empty
-            none = np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts])
-            out.append(mix(mix(none + salt)))
+    if not len(s):
+        return s
+    out, high, content = [], s >> np.uint64(40), mix(s ^ MIX[2])
+    for m, spare, salt in plan(len(s)):
+        at = (high * np.uint64(m)) >> np.uint64(24)  # non-decreasing, as s is sorted
+        starts = changes(at)
+        size = np.diff(np.append(starts, len(at)))
+        key = mix(np.add.reduceat(content, starts) + mix(at[starts] + np.uint64(salt)))
+        empty = m - len(starts)
+        if spare >= empty:
+            if drop := spare - empty:
+                key = key[np.lexsort((key, size))[drop:]]
+        else:  # so few to spare that empty ones make tiles as well
+            none = mix(mix(np.setdiff1d(np.arange(m, dtype=np.uint64), at[starts]) + np.uint64(salt)))
+            none.sort()
+            out.append(none[spare:])
+        out.append(key)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
     """For each place of a bitmap, whether an odd number of shingles hash to it."""
-    odd = np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    bits = max(BITMAP_BITS, 1 << (len(s) - 1).bit_length()) if len(s) else BITMAP_BITS
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps in the rows of x, as they are with fewer bits."""
+    return x if x.shape[-1] == words else np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], -1, words), axis=-2)
 
 
-def overlap_bound(na: int, nb: int, a: np.ndarray, b: np.ndarray) -> int:
-    """Every shingle that only one set has turns one bit, so the bitmaps differ in no more bits than the sets
-    in shingles, and what differs does not overlap."""
-    return (na + nb - int(np.bitwise_count(a ^ b).sum())) // 2
+def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of bitmaps, in the last axis, at the smaller one's width."""
+    words = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(axis=-1, dtype=np.int64)
 
 
-def linked(a: np.ndarray, b: np.ndarray, map_a: np.ndarray, map_b: np.ndarray) -> bool:
-    na, nb = len(a), len(b)
+def could_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray) -> np.ndarray:
+    """Whether sizes and the count of differing bits leave a link possible. Every shingle that only one set has
+    turns one bit, so the bitmaps differ in no more bits than the sets in shingles, and what differs does not overlap."""
     need = -(-(na + nb) * NUMERATOR // (NUMERATOR + DENOMINATOR))  # least overlap of a link
-    if min(na, nb) < need or overlap_bound(na, nb, map_a, map_b) < need:
+    return (np.minimum(na, nb) >= need) & ((na + nb - differing) // 2 >= need)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are linked, by their exact intersection."""
+    if len(a) > len(b):
+        a, b = b, a
+    need = -(-(len(a) + len(b)) * NUMERATOR // (NUMERATOR + DENOMINATOR))
+    if len(a) < need:
         return False
-    at = np.minimum(np.searchsorted(a, b), na - 1)
-    return int((a[at] == b).sum()) >= need
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum()) >= need
 
 
 SETS = "doc_id long, key long, n_shingles long, d1 long, d2 long, bits binary, bucket long, tiles binary, nodes binary, times binary"
 
 
-def _sets(buckets: int):
-    """One row per document, its set's ids and bitmap; and now and then, per bucket, the low 32 bits of tile keys
+def _sets(buckets: int, id_bits: int):
+    """One row per document, its set's names and bitmap; and now and then, per bucket, the low 32 bits of tile keys
     beside the sets (nodes, times: each set's d1 and how many keys in a row are its own)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -215,7 +251,7 @@ def _sets(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in form], schema=form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(), set()
+        seen = set()
         parts: dict[int, list] = defaultdict(list)
         held = 0
 
@@ -234,26 +270,26 @@ def _sets(buckets: int):
             rows = [], [], [], []
             for text in got.column(2).cast(pa.binary()).to_pylist():
                 s = shingle(text)
-                a, b = digest(s)
+                a, b = digest(s, id_bits)
                 for x, v in zip(rows, (len(s), a, b, bitmap(s).tobytes()), strict=True):
                     x.append(v)
-                if a in seen:
+                if (a, b) in seen:
                     continue
-                if len(seen) < 2_000_000:  # equal sets of one task give their keys once; sets are made distinct later anyway
-                    seen.add(a)
+                if len(seen) < 300_000:  # equal sets of one task give their keys once; sets are made distinct later anyway
+                    seen.add((a, b))
                 k = tile_keys(s)
                 if not len(k):
                     continue
                 k.sort()
                 at = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 low = k.astype(np.uint32)
-                cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist()
+                cuts = changes(at).tolist()
                 for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True):
                     parts[int(at[i])].append((low[i:j], a))
                 held += len(k)
             if len(rows[0]):
                 yield batch(doc_id=got.column(0), key=got.column(1), n_shingles=rows[0], d1=rows[1], d2=rows[2], bits=rows[3])
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield flush()
                 held = 0
         if parts:
@@ -293,60 +329,105 @@ def _tiles(keys: tuple, t: pa.Table) -> pa.Table:
     )
 
 
-def could_link(na: np.ndarray, nb: np.ndarray, differing: np.ndarray) -> np.ndarray:
-    """Whether sizes and the count of differing bits leave a link possible."""
-    need = -(-(na + nb) * NUMERATOR // (NUMERATOR + DENOMINATOR))
-    return (np.minimum(na, nb) >= need) & ((na + nb - differing) // 2 >= need)
-
-
 def _possible():
     def run(a, b, na, nb, bits_a, bits_b):
-        if not a:
-            return {"a": [], "b": []}
-        x, y = (np.frombuffer(b"".join(z), np.uint64).reshape(len(a), -1) for z in (bits_a, bits_b))
-        ok = could_link(np.array(na), np.array(nb), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
-        return {"a": np.array(a)[ok], "b": np.array(b)[ok]}
+        keep = np.zeros(len(a), bool)
+        na, nb = np.array(na, np.int64), np.array(nb, np.int64)
+        widths: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for i, (x, y) in enumerate(zip(bits_a, bits_b, strict=True)):
+            widths[len(x), len(y)].append(i)
+        for at in widths.values():
+            x, y = (np.frombuffer(b"".join([z[i] for i in at]), np.uint64).reshape(len(at), -1) for z in (bits_a, bits_b))
+            keep[at] = could_link(na[at], nb[at], differing_bits(x, y))
+        return {"a": [v for v, k in zip(a, keep, strict=True) if k], "b": [v for v, k in zip(b, keep, strict=True) if k]}
 
     return run
 
 
 def _verify():
-    shingle = Shingler()
-
-    def run(a, b, text_a, text_b):
-        """Candidates that are links; rows come sorted by a, so its set is mostly at hand."""
-        out = {"a": [], "b": []}
-        last, s, m = None, None, None
-        for x, y, ta, tb in zip(a, b, text_a, text_b, strict=True):
-            if x != last:
-                last, s = x, shingle(ta)
-                m = bitmap(s)
-            z = shingle(tb)
-            if linked(s, z, m, bitmap(z)):
-                out["a"].append(x)
-                out["b"].append(y)
-        return out
+    def run(a, b, s_a, s_b):
+        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(s_a, s_b, strict=True)]
+        return {"a": [v for v, k in zip(a, ok, strict=True) if k], "b": [v for v, k in zip(b, ok, strict=True) if k]}
 
     return run
 
 
-def _block(nearest: bool):
+def _compare(x: pa.Table, y: pa.Table | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows of x and y, or of different rows of x, in different components c, that sizes and bit counts
+    leave possible: ids and differing bits. Rows are ordered by size n; so a row meets only those whose size allows a link."""
+    sides = [t.sort_by([("n", "ascending"), ("id", "ascending")]) for t in (x, y) if t is not None]
+    ids, n, c = zip(*[[t[k].to_numpy() for k in ("id", "n", "c")] for t in sides], strict=True)
+    runs = []  # of bitmaps of one width, which grows with the size
+    for t in sides:
+        bits = t["bits"].to_pylist()
+        cuts = [*changes(np.array([len(v) for v in bits])).tolist(), len(bits)]
+        runs.append([(i, j, np.frombuffer(b"".join(bits[i:j]), np.uint64).reshape(j - i, -1)) for i, j in zip(cuts, cuts[1:], strict=False)])
+    low = np.searchsorted(n[-1], -(-n[0] * NUMERATOR // DENOMINATOR), "left")
+    high = np.searchsorted(n[-1], n[0] * DENOMINATOR // NUMERATOR, "right")
+    out = []
+    for s, e, mine in runs[0]:
+        step = max(1, 250_000 // max(1, len(n[-1]) * mine.shape[1] // 4))
+        for i in range(s, e, step):
+            j = min(i + step, e)
+            for p, q, other in runs[-1]:
+                p2, q2 = max(p, int(low[i])), min(q, int(high[j - 1]))
+                if y is None:
+                    p2 = max(p2, i + 1)
+                if p2 >= q2:
+                    continue
+                a, b = mine[i - s : j - s, None], other[None, p2 - p : q2 - p]
+                ok = c[0][i:j, None] != c[-1][None, p2:q2]
+                if y is None:
+                    ok &= np.arange(p2, q2)[None] > np.arange(i, j)[:, None]
+                words = min(a.shape[2], b.shape[2])
+                a, b = folded(a, words), folded(b, words)
+                # a quarter of the words excludes most
+                u, v = np.nonzero(ok & could_link(n[0][i:j, None], n[-1][None, p2:q2], np.bitwise_count(a[..., : words // 4] ^ b[..., : words // 4]).sum(axis=2, dtype=np.int64)))
+                differing = np.bitwise_count(a[u, 0] ^ b[0, v]).sum(axis=1, dtype=np.int64)
+                keep = could_link(n[0][i + u], n[-1][p2 + v], differing)
+                out.append((ids[0][i + u[keep]], ids[-1][p2 + v[keep]], differing[keep]))
+    return tuple(np.concatenate(z) if out else np.empty(0, np.int64) for z in (zip(*out, strict=True) if out else ((), (), ())))
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, gap: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the nearest of one of their ends, so many of each."""
+    keep = np.zeros(len(a), bool)
+    for mine, other in ((a, b), (b, a)):
+        order = np.lexsort((other, gap, mine))
+        starts = changes(mine[order])
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        keep[order[rank < most]] = True
+    return keep
+
+
+def _block(most: int):
     def group(keys: tuple, t: pa.Table) -> pa.Table:
-        """A block of a tile's pairs: those across components that sizes and bit counts leave possible, or of them
-        each set's nearest."""
-        side, ids, n, c = (t[x].to_numpy() for x in ("side", "id", "n", "c"))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b, gap = [], [], []
-        for i in x.tolist():
-            differing = np.bitwise_count(bits[y] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            ok = np.flatnonzero(could_link(n[i], n[y], differing) & (c[y] != c[i]) & (ids[y] != ids[i]))
-            if nearest and len(ok):
-                ok = ok[np.lexsort((ids[y[ok]], differing[ok]))[:1]]
-            a += [ids[i]] * len(ok)
-            b += ids[y[ok]].tolist()
-            gap += differing[ok].tolist()
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", a), ("b", b), ("gap", gap))})
+        """Possible pairs (a, b) across components of one block of a large tile, or of several small tiles. Where
+        they are too many, only nearest ones, and a row that names the tile."""
+        out, unfinished = ([], []), []
+        t = t.combine_chunks().sort_by([("tile", "ascending"), ("side", "ascending")])
+        tile, side = t["tile"].to_numpy(), t["side"].to_numpy()
+        cuts = [*changes(tile).tolist(), len(tile)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            middle = i + int(np.searchsorted(side[i:j], 1))
+            x, y = t.slice(i, middle - i), t.slice(middle, j - middle)
+            if keys[1].as_py() != keys[2].as_py():
+                if not len(x) or not len(y):
+                    continue
+                a, b, gap = _compare(x, y)
+            else:
+                a, b, gap = _compare(x, None)
+            if len(a) > most * (j - i):
+                keep = _nearest(a, b, gap, most)
+                if not keep.all():
+                    a, b = a[keep], b[keep]
+                    unfinished.append(int(tile[i]))
+            out[0].append(np.minimum(a, b))
+            out[1].append(np.maximum(a, b))
+        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in out)
+        none = pa.nulls(len(unfinished), pa.int64())
+        columns = {"a": [pa.array(a), none], "b": [pa.array(b), none], "tile": [pa.nulls(len(a), pa.int64()), pa.array(unfinished, pa.int64())]}
+        return pa.table({k: pa.concat_arrays(v) for k, v in columns.items()})
 
     return group
 
@@ -354,92 +435,125 @@ def _block(nearest: bool):
 NO_ID = -(1 << 63)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are linked, by exact intersection of the texts' shingles."""
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    rows = sets.join(nodes, F.col("d1") == F.col("id"), "left_semi").groupBy("d1", "d2", "n_shingles").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("row"))
-    wanted = materialise(rows.select(F.col("d1").alias("id"), "row").distinct(), "ngram-wanted")
-    # a repeated doc_id may bring other texts, which their sets' ids tell apart, or the same text again
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row"), F.col("text").cast("binary").alias("text")).join(wanted, "row").select("id", "text")
-    texts = materialise(map_rows(texts, ["id", "text"], "id long, text binary", _own), "ngram-texts")
-    if texts.count() > wanted.count():
-        texts = materialise(texts.dropDuplicates(["id"]), "ngram-texts")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialise(map_rows(both, ["a", "b", "text_a", "text_b"], "a long, b long", _verify), "ngram-links")
-
+def _own(id_bits: int):
+    def run(ids, d1, d2, text):
+        out = {"id": [], "s": []}
+        for i, a, b, t in zip(ids, d1, d2, text, strict=True):
+            s = shingle(t)
+            if digest(s, id_bits) == (a, b):
+                out["id"].append(i)
+                out["s"].append(s.tobytes())
+        return out
 
-def _own():
-    shingle = Shingler()
+    return run
 
-    def run(ids, text):
-        keep = [(i, t) for i, t in zip(ids, text, strict=True) if digest(shingle(t))[0] == i]
-        return {"id": [i for i, _ in keep], "text": [t for _, t in keep]}
 
-    return run
+def meet(pairs: DataFrame, arrays: DataFrame, end: str) -> DataFrame:
+    """pairs with the array s_<end> of their end a or b. A set of very many pairs is met in several places."""
+    side = arrays.select(F.col("id").alias(end), F.col("s").alias(f"s_{end}"))
+    hot = pairs.groupBy(end).count().where(F.col("count") > HOT_PAIRS).select(end, F.ceil(F.col("count") / HOT_PAIRS).cast("int").alias("places"))
+    if hot.isEmpty():
+        return pairs.join(side, end)
+    hot = materialise(hot, "ngram-hot")
+    other = "b" if end == "a" else "a"
+    places = F.coalesce("places", F.lit(1))
+    dealt = pairs.join(hot, end, "left").withColumn("place", F.pmod(F.xxhash64(other), places).cast("int")).drop("places")
+    copied = side.join(hot, end, "left").withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).drop("places")
+    return dealt.join(copied, [end, "place"]).drop("place")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows (doc_id, key, n_shingles, d1, d2, bits), and links (a, b) between different sets' d1
+def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_bits: int) -> DataFrame:
+    """The pairs (a, b) of set ids whose sets are linked, by exact intersection of their shingles."""
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    rows = sets.join(nodes, "id", "left_semi").groupBy("id", "d1", "d2").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("row"))
+    wanted = materialise(rows, "ngram-wanted")
+    # a repeated doc_id may bring other texts, which their sets' names tell apart, or the same text again
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row"), F.col("text").cast("binary").alias("text")).join(wanted, "row")
+    arrays = materialise(map_rows(texts, ["id", "d1", "d2", "text"], "id long, s binary", _own, id_bits=id_bits), "ngram-arrays")
+    if arrays.count() > wanted.count():
+        arrays = materialise(arrays.dropDuplicates(["id"]), "ngram-arrays")
+    both = meet(meet(pairs, arrays, "b"), arrays, "a")
+    return materialise(map_rows(both, ["a", "b", "s_a", "s_b"], "a long, b long", _verify), "ngram-links")
+
+
+def _named(sets: DataFrame, tiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets and tiles with ids in place of d1, and one row (id, n, bits) for each id. An id is d1; where several
+    sets share that, their ids are other hashes, and whatever named d1 names all of them."""
+    first = F.struct(F.col("n_shingles").alias("n"), "bits")
+    signs = materialise(sets.groupBy(F.col("d1").alias("id")).agg(F.min(first).alias("s"), F.min("d2").alias("low"), F.max("d2").alias("high")), "ngram-signs")
+    shared = signs.where("low <> high").select(F.col("id").alias("d1"))
+    if shared.isEmpty():
+        return sets.withColumn("id", F.col("d1")), tiles, signs.select("id", "s.n", "s.bits")
+    # as many as there are clashes of 64 bits
+    names = materialise(sets.join(F.broadcast(shared), "d1", "left_semi").select("d1", "d2", F.xxhash64("d1", "d2", F.lit(1)).alias("id")).distinct(), "ngram-names")
+    sets = materialise(sets.join(F.broadcast(names), ["d1", "d2"], "left").withColumn("id", F.coalesce("id", "d1")), "ngram-sets")
+    signs = sets.groupBy("id").agg(F.min(first).alias("s"))
+    for end in ("a", "b"):
+        tiles = tiles.join(F.broadcast(names.select(F.col("d1").alias(end), F.col("id").alias("other"))), end, "left").withColumn(end, F.coalesce("other", end)).drop("other")
+    x, y = names.select("d1", F.col("id").alias("a")), names.select("d1", F.col("id").alias("b"))
+    tiles = tiles.select("a", "b", "tile").union(x.join(y, "d1").where("a < b").select("a", "b", F.lit(None).cast("long")))
+    return sets, materialise(tiles, "ngram-tiles"), materialise(signs.select("id", "s.n", "s.bits"), "ngram-signs")
+
+
+def links(docs: DataFrame, id_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows (doc_id, key, n_shingles, id, d1, d2, bits), and links (a, b) between different sets' ids
     that connect exactly what all links connect."""
     spark = docs.sparkSession
-    # a set has about a hundred tile keys at most
-    buckets = max(1, -(-docs.count() * 100 // BUCKET_ENTRIES))
-    both = materialise(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sets(buckets), SETS), "ngram-sets")
+    # a word of about six letters and a space is a shingle, and three shingles are a tile key
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // 18 // BUCKET_ENTRIES))
+    both = materialise(docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_sets(buckets, id_bits), SETS), "ngram-sets")
     sets = both.where("bucket is null").select("doc_id", "key", "n_shingles", "d1", "d2", "bits")
     packed = both.where("bucket is not null").select("bucket", "tiles", "nodes", "times")
     parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tiles = materialise(packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tiles, "a long, b long, tile long"), "ngram-tiles")
-    signs = sets.groupBy("d1").agg(F.min(F.struct("n_shingles", "bits")).alias("s")).select(F.col("d1").alias("id"), F.col("s.n_shingles").alias("n"), "s.bits")
+    sets, tiles, signs = _named(sets, tiles)
     side = lambda x: signs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = tiles.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
     pairs = materialise(map_rows(pairs, ["a", "b", "na", "nb", "bits_a", "bits_b"], "a long, b long", _possible), "ngram-pairs")
-    judged, found = pairs, verify(pairs, docs, sets)
+    judged, found = pairs, verify(pairs, docs, sets, id_bits)
     members = materialise(tiles.where("b is null").select("tile", F.col("a").alias("id")).distinct(), "ngram-members")
-    if members.isEmpty():
-        return sets, found
-    rounds = NEAREST_ROUNDS
-    while True:
-        more = materialise(_across(members, found, signs, rounds > 0).join(judged, ["a", "b"], "left_anti"), "ngram-more")
+    most, comp = NEAREST, connected_components(found)
+    while not members.isEmpty():
+        got = materialise(_across(open_tiles(members, comp), signs, most), "ngram-more")
+        more = materialise(got.where("tile is null").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "ngram-more")
         if not more.isEmpty():
-            judged, found = judged.union(more), found.union(verify(more, docs, sets))
-        elif rounds > 0:
-            rounds = 1
-        if rounds == 0:  # the last round looks at all pairs
-            return sets, found
-        rounds -= 1
-
-
-def _across(members: DataFrame, found: DataFrame, signs: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of a tile's members in different components that may be linked: all, or each set's nearest."""
-    comp = connected_components(found)
-    placed = members.join(comp, "id", "left").select("tile", "id", F.coalesce("component_id", "id").alias("c"))
-    placed = materialise(placed, "ngram-placed")
+            judged, new = judged.union(more), verify(more, docs, sets, id_bits)
+            if not new.isEmpty():
+                found = found.union(new)
+                comp = connected_components(found)
+        members = materialise(members.join(got.where("tile is not null").select("tile").distinct(), "tile", "left_semi"), "ngram-members")
+        most *= MORE
+    return sets, comp
+
+
+def open_tiles(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(tile, id, c, k) of the tiles with members in different components c, k being the count of members."""
+    placed = materialise(members.join(comp, "id", "left").select("tile", "id", F.coalesce("component_id", "id").alias("c")), "ngram-placed")
     split = placed.groupBy("tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).where("low <> high")
-    open_ = placed.join(split.select("tile", "k", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "tile")
-    if nearest:
-        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "tile"))
-        open_ = open_.withColumn("r", rank).where(F.col("r") <= NEAREST_TILES)
-    open_ = open_.join(signs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    grid = lambda side, mine, other: open_.select("tile", F.lit(side).alias("side"), "id", "n", "c", "bits", F.col("own").alias(mine), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other))
-    dealt = grid(0, "x", "y").unionByName(grid(1, "y", "x"))
-    if not nearest:
-        dealt = dealt.where("x <= y")
-    got = dealt.groupBy("tile", "x", "y").applyInArrow(_block(nearest), "a long, b long, gap long")
-    if nearest:
-        got = got.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("m")).select("a", "m.b")
-    return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def components(docs: DataFrame) -> DataFrame:
+    return materialise(placed.join(split.select("tile", "k"), "tile"), "ngram-open")
+
+
+def _across(members: DataFrame, signs: DataFrame, most: int) -> DataFrame:
+    """Possible pairs (a, b) of open tiles' members in different components, and the tiles that have more of them.
+    A large tile is the upper half of a grid of blocks; small tiles are compared many at a time."""
+    together = max(1, -(-members.count() // ROWS))
+    row = members.join(signs, "id").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    deal = F.expr("explode(transform(sequence(0, blocks - 1), o -> struct(int(own > o) as side, least(own, o) as x, greatest(own, o) as y)))")
+    dealt = row.withColumn("d", deal).select("tile", "id", "n", "c", "bits", "d.side", "d.x", "d.y", F.when(F.col("blocks") > 1, F.col("tile")).otherwise(F.pmod(F.xxhash64("tile"), F.lit(together))).alias("dealt"))
+    return dealt.groupBy("dealt", "x", "y").applyInArrow(_block(most), "a long, b long, tile long")
+
+
+def components(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     """The sets of all rows (doc_id, a hash of the text as key, n_shingles) and their component's set c."""
-    sets, edges = links(docs)
-    comp = connected_components(edges).select(F.col("id").alias("d1"), F.col("component_id").alias("c"))
-    return materialise(sets.join(comp, "d1", "left").select("doc_id", "key", "n_shingles", F.coalesce("c", "d1").alias("c")), "ngram-placed")
+    sets, comp = links(docs, id_bits)
+    comp = comp.select("id", F.col("component_id").alias("c"))
+    return materialise(sets.join(comp, "id", "left").select("doc_id", "key", "n_shingles", F.coalesce("c", "id").alias("c")), "ngram-placed")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
-    placed = components(docs)
+    placed = components(docs, id_bits)
     full, empty = placed.where("n_shingles > 0"), placed.where("n_shingles = 0")
     least = full.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = full.join(least, "c").select("doc_id", "n_shingles", "component_id")
@@ -447,19 +561,20 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id (null ids last), with all its columns. Rows
-    without shingles all stay."""
+    """One row of each component, the one with the smallest doc_id (null ids last), with all its columns, whatever
+    their names. Rows without shingles all stay."""
     names = docs.columns
+    mark, won_id, won_key = unused(names, "key", "won_id", "won_key")
     placed = components(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    won = placed.where("n_shingles > 0").groupBy("c").agg(first.alias("w")).select(F.col("w.doc_id").alias("_won_id"), F.col("w.key").alias("_won_key"))
-    alone = placed.where("n_shingles = 0").select(F.col("doc_id").alias("_won_id"), F.col("key").alias("_won_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_won_id")) & (F.col("_key") == F.col("_won_key"))
+    won = placed.where("n_shingles > 0").groupBy("c").agg(first.alias("w")).select(F.col("w.doc_id").alias(won_id), F.col("w.key").alias(won_key))
+    alone = placed.where("n_shingles = 0").select(F.col("doc_id").alias(won_id), F.col("key").alias(won_key))
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(won_id)) & (F.col(mark) == F.col(won_key))
     kept = keyed.join(won, same, "left_semi")
     if placed.where("n_shingles > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty() is False:
-        kept = kept.dropDuplicates(["doc_id", "_key"])
-    return kept.union(keyed.join(alone.distinct(), same, "left_semi")).select(*names)
+        kept = kept.dropDuplicates(["doc_id", mark])
+    return kept.union(keyed.join(alone.distinct(), same, "left_semi")).drop(mark)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
