@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -38,6 +39,51 @@ def test_strong_values_are_dear(strong):
     assert secrets.guess_cost(strong) >= secrets.MIN_COST
 
 
+def price(value, s, e, per_char):
+    """The least price of value[s:e] as one segment."""
+    part, low = value[s:e], value.lower()[s:e]
+    out = [per_char * (e - s)]
+    upper = 0.0 if part.islower() or not part.isalpha() else secrets.JOIN
+    for text, extra in ((low, 0.0), (low.translate(secrets.LEET), secrets.JOIN)):
+        if text in secrets.RANK:
+            out.append(secrets.RANK[text] + extra + upper)
+    if secrets.DATE.fullmatch(part) and any(m.end(1) == e and m.start() == s for m in re.finditer(f"(?=({secrets.DATE.pattern}))", value)):
+        out.append(2.0 if e - s == 4 else 4.3)
+    pairs = list(zip(low, low[1:], strict=False))
+    runs = {
+        "repeat": all(a == b for a, b in pairs),
+        "up": all(ord(b) - ord(a) == 1 for a, b in pairs),
+        "down": all(ord(a) - ord(b) == 1 for a, b in pairs),
+        "right": all(any(a + b in row for row in secrets.ROWS) for a, b in pairs),
+        "left": all(any(b + a in row for row in secrets.ROWS) for a, b in pairs),
+    }
+    return min([*out, *(secrets.RUN_PRICE[k] + math.log10(e - s) for k, ok in runs.items() if ok and e - s >= 3)])
+
+
+def brute_cost(value):
+    """All segmentations, without any shortcut."""
+    n, per_char = len(value), secrets.brute_cost(value)
+    best = [0.0] + [math.inf] * n
+    for e in range(1, n + 1):
+        best[e] = min(best[s] + secrets.JOIN * (s > 0) + price(value, s, e, per_char) for s in range(e))
+    return best[n]
+
+
+PIECES = ["pass", "password", "sssss", "aaa", "abc", "cba", "ab", "qwer", "rewq", "as", "2024", "20240131", "x9", "P4ss", "Admin", "!", "7", "zz", "love", "123", "321"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.lists(st.sampled_from(PIECES), min_size=1, max_size=8).map("".join), st.text("abcs", min_size=1, max_size=25), st.text("qwedsa12", min_size=1, max_size=25)))
+def test_guess_cost_against_brute_force(value):
+    assert secrets.guess_cost(value) == pytest.approx(brute_cost(value), abs=1e-9)
+
+
+def test_segments_start_anywhere_and_runs_keep_their_direction():
+    assert secrets.guess_cost("passsssss") == pytest.approx(secrets.RANK["pass"] + secrets.JOIN + 1.5 + math.log10(5))
+    for back_and_forth in ("ababababab", "abcbabcbab", "qwqwqwqwqw"):
+        assert secrets.guess_cost(back_and_forth) > secrets.guess_cost("abcdefghij") + 2
+
+
 def test_segmentation_is_minimal():
     assert secrets.guess_cost("passwordadmin") < secrets.guess_cost("xq7passwordadmin")
     assert secrets.guess_cost("") == 0

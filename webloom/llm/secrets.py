@@ -2,11 +2,11 @@
 
 The base patterns give their spans as they are. Further values that stand after a credential word are
 judged by the least number of guesses that finds them: dynamic programming over the value's prefixes picks
-the cheapest segmentation into known words, dates, repeats, keyboard walks, sequences and brute-force
-characters (costs are decimal logarithms). Values that cost at least ``MIN_COST`` become ``guess`` spans,
+the cheapest segmentation into known words, dates, repeats, keyboard walks and sequences in one direction, and
+brute-force characters (costs are decimal logarithms). A segment may start anywhere. Values that cost at least ``MIN_COST`` become ``guess`` spans,
 unless they overlap a base span.
 
-Defined results: null and empty texts have no spans; repeated rows give repeated results; an empty table
+Defined results: null and empty texts have no spans; very long texts and values are looked at whole; repeated rows give repeated results; an empty table
 gives an empty one; only doc_id and text are read.
 """
 
@@ -43,8 +43,13 @@ RANK = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("4@3105$7!", "aaeiosstI".lower())
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
-NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
+#: Neighbours on a row of keys, to the right and to the left.
+RIGHT = {pair for row in ROWS for pair in zip(row, row[1:], strict=False)}
+LEFT = {(b, a) for a, b in RIGHT}
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+#: Least length of a repeat, walk or sequence, and its price beside its length's logarithm.
+RUN = 3
+RUN_PRICE = {"repeat": 1.5, "right": 1.7, "left": 1.7, "up": 1.5, "down": 1.5}
 #: A segment more multiplies the guesses by two.
 JOIN = math.log10(2)
 
@@ -58,8 +63,17 @@ def brute_cost(value: str) -> float:
     return math.log10(max(10, 26 * lower + 26 * upper + 10 * digit + 10 * other) / 2 if lower or upper or other else 10)
 
 
+def goes_on(a: str, b: str) -> tuple[str, ...]:
+    """The kinds of runs in which b may follow a."""
+    step = ord(b) - ord(a)
+    found = {"repeat": not step, "up": step == 1, "down": step == -1, "right": (a, b) in RIGHT, "left": (a, b) in LEFT}
+    return tuple(k for k, v in found.items() if v)
+
+
 def guess_cost(value: str) -> float:
-    """Log10 of the guesses of the cheapest segmentation of value; "" costs 0. Time is linear in the length."""
+    """Log10 of the guesses of the cheapest segmentation of value; "" costs 0. A run's starts that a better one
+    beats now are beaten from then on, as the logarithms of their lengths draw near, and are let go; so time is
+    about linear in the length."""
     n = len(value)
     if not n:
         return 0.0
@@ -69,17 +83,12 @@ def guess_cost(value: str) -> float:
     dates: dict[int, list[int]] = {}
     for m in re.finditer(rf"(?=({DATE.pattern}))", value):
         dates.setdefault(m.end(1), []).append(m.start())
-    walk = repeat = step = 0  # where the run that ends here began
+    begin = dict.fromkeys(RUN_PRICE, 0)  # where the run that ends here began, and starts in it with what lies before them
+    starts: dict[str, list[tuple[int, float]]] = {k: [] for k in RUN_PRICE}
     best, brute = [0.0] * (n + 1), [0.0] * (n + 1)  # brute: the best that ends in brute force
-    brute[0] = 0.0
     for e in range(1, n + 1):
         i = e - 1
-        if i and low[i] != low[i - 1]:
-            repeat = i
-        if i and (low[i - 1], low[i]) not in NEXT:
-            walk = i
-        if i and ord(low[i]) - ord(low[i - 1]) not in (1, -1):
-            step = i
+        on = goes_on(low[i - 1], low[i]) if i else ()
         brute[e] = min(brute[e - 1], best[e - 1] + (JOIN if e > 1 else 0)) + per_char
         cost = brute[e]
         for size in range(3, min(LONGEST, e) + 1):
@@ -90,9 +99,24 @@ def guess_cost(value: str) -> float:
                     cost = min(cost, best[s] + JOIN * (s > 0) + r + extra + upper)
         for s in dates.get(e, ()):
             cost = min(cost, best[s] + JOIN * (s > 0) + (2.0 if e - s == 4 else 4.3))
-        for s, unit in ((repeat, 1.5), (walk, 1.7), (step, 1.5)):
-            if e - s >= 3:
-                cost = min(cost, best[s] + JOIN * (s > 0) + unit + math.log10(e - s))
+        for kind, price in RUN_PRICE.items():
+            if kind not in on:
+                begin[kind] = i
+                starts[kind].clear()
+            elif e - begin[kind] >= RUN:
+                s = e - RUN
+                open_ = [*starts[kind], (s, best[s] + JOIN * (s > 0))]
+                kept, under = [], math.inf
+                for x, c in open_:  # a later start must be better than all earlier ones
+                    if (now := c + math.log10(e - x)) < under:
+                        under = now
+                        kept.append((x, c))
+                cost = min(cost, under + price)
+                under, starts[kind] = math.inf, []
+                for x, c in reversed(kept):  # and an earlier one have cost less before it
+                    if c < under:
+                        under = c
+                        starts[kind].insert(0, (x, c))
         best[e] = cost
     return best[n]
 
