@@ -82,6 +82,40 @@ def test_redact(spark):
     assert pii.redact(df.limit(0)).collect() == [] and pii.find(df.limit(0)).collect() == []
 
 
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.cd or 10.0.0.1", 7, "k", "t", 3.5, [1], "r", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, _text string, base string, email double, _m_ip array<int>, row string, added int")
+    assert sorted(map(tuple, pii.redact(df).collect())) == [(1, "mail <EMAIL> or <IP>", *rows[0][2:])]
+
+
+def test_recall_on_planted_contextual_identifiers(spark, monkeypatch):
+    """Identifiers in forms that no base pattern has, among lines of the same kind that have it, and odd numbers."""
+    import random
+
+    rng = random.Random(7)
+    cues = ["my direct line is", "reach me under", "ring the office on", "text me at"]
+    noise = ["the parcel weighed", "build number", "we sold about", "room"]
+    rows, planted = [], {}
+    for i in range(400):
+        digits = "".join(rng.choice("0123456789") for _ in range(10))
+        kind = i % 4
+        if kind < 2:
+            rows.append((i, f"{rng.choice(cues)} +1 ({digits[:3]}) {digits[3:6]}-{digits[6:]} today"))
+        elif kind == 2:
+            value = f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"
+            text = f"{rng.choice(cues)} {value} today"
+            rows.append((i, text))
+            planted[i] = f"phone:{text.index(value)}:{text.index(value) + len(value)}"
+        else:
+            rows.append((i, f"{rng.choice(noise)} {digits[:3]}-{digits[3:6]}-{digits[6:]} units"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (pii.BROADCAST_SPANS, 0):  # accepted spans joined by broadcast, and by row
+        monkeypatch.setattr(pii, "BROADCAST_SPANS", most)
+        got = {r.doc_id: r for r in pii.find(df).collect()}
+        assert sum(got[i].spans == s for i, s in planted.items()) >= 0.95 * len(planted)
+        assert sum(got[i].n_added for i in range(3, 400, 4)) == 0
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
     plan = pii.find(df)._jdf.queryExecution().executedPlan().toString() + pii.scan(df)._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ Base patterns give seed entities with exact spans. Each seed's neighbouring word
 the two words before it, the word before it, and the words around it. A bipartite graph ties patterns to the
 values that they extract, seeds and unlabelled candidates alike; confidence runs from values to patterns
 (the share of a pattern's values that a kind holds) and back to values (noisy-or over a value's patterns)
-for ``ROUNDS`` rounds. Candidates of a plausible shape whose confidence reaches ``ACCEPT`` become added
+until the trusted patterns stay the same, or for ``ROUNDS`` rounds. Candidates of a plausible shape whose confidence reaches ``ACCEPT`` become added
 spans; base spans stay as they are.
 
 The scan looks at each text once. Only tokens with a digit or an at sign, and what stands around them, leave
@@ -12,7 +12,8 @@ it; counts are aggregated before they are shuffled.
 
 Defined results: null and empty texts have no spans; a repeated row gets the same result each time; a null
 doc_id is kept; an empty table gives an empty one; columns beyond those used are not read or, in redact(),
-kept.
+kept, whatever their names. Very long texts are looked at whole, in time n log n of their matches. A pattern that
+two kinds share alike goes to the first kind, and so does a value.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from webloom.llm.common import table
 from webloom.operators.storage import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, least distinct values of a pattern, and the confidences that patterns and values need.
-ROUNDS = 3
+#: Accepted spans up to this number in total are broadcast; beyond it they are joined by row.
+BROADCAST_SPANS = 300_000
+#: Most rounds of scoring, least distinct values of a pattern, and the confidences that patterns and values need.
+ROUNDS = 12
 SUPPORT = 3
 PATTERN_CONFIDENCE = 0.6
 ACCEPT = 0.8
@@ -100,10 +103,12 @@ def with_spans(df: DataFrame, name: str, pattern: str, when: str) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, key, base, cand) for every row: base spans by kind and place, and further candidate tokens,
-    both with their neighbouring words. key is a hash of the text."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both with their neighbouring words. key is a hash of the text. If asked for, the whole row comes along as a
+    struct, where no name of its columns can clash."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     for kind in KINDS:
         df = with_spans(df, kind, PATTERNS[kind], "contains(text, '@')" if kind == "email" else "contains(text, '+')" if kind == "phone" else "text rlike '[0-9]'")
     df = with_spans(df, "cand", CANDIDATE, "text rlike '[0-9@]'")
@@ -126,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     for name in ("base", "cand"):
         df = df.withColumn(name, F.expr(f"transform({name}, {context})"))
-    return df.select("doc_id", F.xxhash64("text").alias("key"), "base", "cand")
+    return df.select("doc_id", F.xxhash64("text").alias("key"), "base", "cand", *(["row"] if whole else []))
 
 
 def graph(scanned: DataFrame) -> DataFrame:
@@ -156,6 +161,7 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, p
     if edges.where("kind is null and shapes > 0").isEmpty():
         return None
     known = edges.select("value", F.lit(None).cast("int").alias("found"), F.lit(0.0).alias("trust")).limit(0)
+    last = None
     for _ in range(rounds):
         held = edges.join(known, "value", "left").select("pattern", F.coalesce("kind", "found").alias("k"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))).alias("t"))
         share = [F.sum(F.when(F.col("k") == i, F.col("t")).otherwise(0.0)) / F.count("*") for i in range(len(KINDS))]
@@ -164,8 +170,12 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, p
         trusted = materialise(
             scores.where((F.col("n") >= support) & (best >= pattern_confidence)).select("pattern", (F.array_position("c", best) - 1).cast("int").alias("found"), best.alias("c")), "pii-patterns"
         )
-        if trusted.isEmpty():
+        now = tuple(trusted.agg(F.count("*"), F.sum(F.xxhash64("pattern", "found").cast("decimal(38,0)"))).first())
+        if not now[0]:
             return None
+        if now == last:  # the same patterns would score the same values
+            break
+        last = now
         open_edges = edges.where("kind is null and shapes > 0").join(trusted, "pattern").where("(shapes & shiftleft(1, found)) > 0")
         now = open_edges.groupBy("value", "found").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.99)))))).alias("trust"))
         known = materialise(now.groupBy("value").agg(F.max(F.struct("trust", "found")).alias("b")).select("value", "b.found", "b.trust"), "pii-values")
@@ -186,7 +196,10 @@ def attach(df: DataFrame, added: DataFrame | None) -> DataFrame:
     """Adds the column added to rows with doc_id and key; null-safe on doc_id."""
     if added is None:
         return df.withColumn("added", F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)"))
+    added = materialise(added, "pii-added")
     a = added.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "added")
+    if (added.agg(F.sum(F.size("added"))).first()[0] or 0) <= BROADCAST_SPANS:
+        a = F.broadcast(a)
     return (
         df.join(a, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left").drop("_d", "_k")
         .withColumn("added", F.coalesce("added", F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")))
@@ -215,25 +228,18 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of its text replaced by its kind in angle brackets, and n_chars, where there is
     such a column, brought up to date; all columns stay, in order. Null texts stay null."""
-    names = docs.columns
-    scanned = materialise(scan(docs), "pii-scan")
-    added = added_spans(scanned, discover(scanned))
-    df = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))) if "key" not in names else docs
-    if "key" in names:
-        raise ValueError("a column named key clashes with the row key; rename it")
-    base = df.withColumns({"_text": F.col("text")})
-    for kind in KINDS:
-        base = with_spans(base.withColumn("text", F.coalesce("_text", F.lit(""))), f"_{kind}", PATTERNS[kind], "contains(text, '@')" if kind == "email" else "contains(text, '+')" if kind == "phone" else "text rlike '[0-9]'")
-    kinds = ", ".join(f"transform(filter(_{k}, x -> {holds(k, 'x.value')}), x -> struct({i} as kind, x.start, x.end))" for i, k in enumerate(KINDS))
-    full = attach(base.withColumn("_base", F.expr(f"concat({kinds})")), added)
+    scanned = materialise(scan(docs, whole=True), "pii-scan")
+    full = attach(scanned, added_spans(scanned, discover(scanned))).withColumn("text", F.col("row.text"))
     tags = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
     text = F.expr(
-        "if(_text is null or size(_base) + size(added) = 0, _text, aggregate(array_sort(transform(concat(_base, added), x -> struct(x.start, x.end, x.kind))), struct(0 as at, '' as out), "
+        "if(text is null or size(base) + size(added) = 0, text, aggregate(array_sort(concat(transform(base, x -> struct(x.start, x.end, x.kind)), transform(added, x -> struct(x.start, x.end, x.kind)))), struct(0 as at, '' as out), "
         "(s, x) -> if(x.start < s.at, struct(greatest(s.at, x.end) as at, s.out as out), "
-        f"struct(x.end as at, concat(s.out, substring(_text, s.at + 1, x.start - s.at), array({tags})[x.kind]) as out)), "
-        "s -> concat(s.out, substring(_text, s.at + 1))))"
+        f"struct(x.end as at, concat(s.out, substring(text, s.at + 1, x.start - s.at), array({tags})[x.kind]) as out)), "
+        "s -> concat(s.out, substring(text, s.at + 1))))"
     )
-    return full.withColumn("text", text).select(*[F.length("text").cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(n) for n in names])
+    full = full.withColumn("text", text)
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return full.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("row").getField(f.name)).alias(f.name) for f in docs.schema])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
