@@ -44,8 +44,7 @@ def test_constant_text_in_the_main_group_is_template():
     tree = w.fold(w.parse(pages[0]))
     for p in pages[1:]:
         w.merge_into(tree, w.fold(w.parse(p)))
-    path = w.main_path(tree)
-    assert "app" not in w.read(w.parse(pages[2]), path, w.constants(tree, path))
+    assert "app" not in w.Reader(tree).main_text(w.parse(pages[2]))
     assert w.regex(tree) == "<#root><body><article><div>text</div><p>#</p></article></body></#root>"
 
 
@@ -94,9 +93,8 @@ def texts(pages):
     tree = w.fold(w.parse(pages[0]))
     for p in pages[1:]:
         w.merge_into(tree, w.fold(w.parse(p)))
-    path = w.main_path(tree)
-    fixed = w.constants(tree, path)
-    return [w.read(w.parse(p), path, fixed) for p in pages]
+    reader = w.Reader(tree)
+    return [reader.main_text(w.parse(p)) for p in pages]
 
 
 def article(i, more="", before=""):
@@ -128,3 +126,103 @@ def test_empty_pages_do_not_hide_a_template_text(spark):
     rows = [(i, "https://h/", article(i, before=note)) for i in range(6)] + [(7, "https://h/", None), (8, "https://h/", ""), (9, "https://g/", None)]
     got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[7] == got[8] == got[9] == "" and got[0].startswith("Title 0")
+
+
+def alone(page):
+    return texts([page])[0]
+
+
+def test_the_wrapper_finds_what_a_page_alone_does_not_show():
+    """Without names or article elements, the longest text of a page is its template's; the other pages tell."""
+    about = "This site has been telling you all about everything since its very first day, and goes on doing so for all of you. " * 6
+    pages = [f"<body><div class=x><div><p>{about}</p></div></div><div class=y><h2>Title {i}</h2><p>Text {i} of {'some ' * (5 + i)}words</p><p>More {i}</p></div></body>" for i in range(3)]
+    want = [f"Title {i}\nText {i} of {'some ' * (5 + i)}words\nMore {i}" for i in range(3)]
+    assert alone(pages[0]) == about.strip()
+    assert texts(pages) == want
+    assert texts([pages[0]] * 5)[0] == about.strip()  # copies show nothing
+    assert texts([pages[0]] * 5 + [pages[1]])[0] == want[0]
+
+
+def test_copies_with_other_dates_show_no_template():
+    pages = [f"<body><div><h2>Title</h2><p>{'A paragraph of the text. ' * 9}</p><p>{i} March 2024, {i * 7} views</p></div></body>" for i in range(4)]
+    assert all(t.startswith("Title\nA paragraph") for t in texts(pages))
+    pages = [f"<body><div>{c} news of today</div><article><h2>Title</h2><p>{'A paragraph. ' * 9}</p></article></body>" for c in ("red", "green", "blue")]
+    assert all(t.startswith("Title\nA paragraph") for t in texts(pages))
+
+
+def test_a_page_of_another_shape_is_read_less_the_template():
+    about = "<div class=x><p>" + "Words of the template that are on all pages of the site. " * 9 + "</p></div>"
+    pages = [f"<body>{about}<div class=y><p>Text of some {c} words</p></div></body>" for c in ("red", "green", "blue", "white")]
+    odd = f"<body>{about}<section><p>Quite another shape here</p></section></body>"
+    assert texts([*pages, odd])[4] == "Quite another shape here"
+
+
+def test_constant_titles_and_texts_in_an_article_are_kept():
+    for n in (1, 2, 4, 6, 40):
+        pages = [f"<article><h1>Daily report</h1><p>unique {i}</p><p>The end.</p></article>" for i in range(n)]
+        assert texts(pages) == [f"Daily report\nunique {i}\nThe end." for i in range(n)]
+
+
+def test_lists_of_links_in_an_article_are_kept():
+    refs = "<ul>" + "".join(f"<li><a href=/{k}>Reference number {k}</a>" for k in range(4)) + "</ul>"
+    assert alone(article(1, refs)).split("\n")[2:] == [f"Reference number {k}" for k in range(4)]
+
+
+def test_groups_whose_name_may_mean_chrome():
+    legal = [article(i, f'<section class="legal"><p>Clause {i}</p></section>') for i in range(3)]
+    assert alone(legal[0]).endswith("Clause 0") and [t[-8:] for t in texts(legal)] == [f"Clause {i}" for i in range(3)]
+    same = [article(i, '<section class="legal"><p>All rights reserved</p></section>') for i in range(3)]
+    assert not any("rights" in t for t in texts(same))
+    assert "Buy" not in alone(article(1, '<div class="ad"><p>Buy</p></div>'))
+
+
+@pytest.mark.parametrize("tag", ["noscript", "svg", "button", "select", "template", "object", "video", "textarea", "title", "iframe"])
+def test_elements_without_an_end_do_not_hide_the_rest(tag):
+    assert "rest of page" in alone(f"<body><article><p>start of page</p><{tag}><p>rest of page</p></article></body>")
+    assert alone(f"<body><article><p>a</p><{tag}>hidden</{tag}><p>b</p></article></body>") == "a\nb"
+    assert len(alone("<article>" + f"<{tag}><p>x</p>" * 5000)) == 9999
+
+
+def test_nested_elements_end_with_the_outer_one():
+    assert alone("<article><p>a</p><svg><svg><text>x</text></svg><text>y</text></svg><p>b</p></article>") == "a\nb"
+
+
+def test_alignment_of_long_lists_is_longest(monkeypatch):
+    rng = random.Random(3)
+
+    def longest(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, best[j + 1] = best[j + 1], last + 1 if x == y else max(best[j], best[j + 1])
+        return best[-1]
+
+    for kept in (1 << 24, 64, 1):
+        monkeypatch.setattr(w, "KEPT_BYTES", kept)
+        for _ in range(60):
+            a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 40))] for _ in range(2))
+            got = w.pairing([[x] for x in a], [[x] for x in b])
+            assert [i for i, _ in got if i is not None] == list(range(len(a))) and [j for _, j in got if j is not None] == list(range(len(b)))
+            both = [(i, j) for i, j in got if i is not None and j is not None]
+            assert all(a[i] == b[j] for i, j in both) and len(both) == longest(a, b)
+
+
+def test_partial_wrappers_merge_in_a_tree(spark):
+    rng = random.Random(5)
+    rows = [(i, "https://h/", page(i, rng, "div")) for i in range(30)]
+    df = w.with_host(spark.createDataFrame([(i, u, h) for i, u, (h, _) in rows], "page_id long, url string, html string")).repartition(15)
+    [got] = w.infer(df, fan=3).collect()
+    reader = w.Reader(w.json.loads(got.wrapper))
+    assert reader.w[w.PAGES] == 30 and all(reader.main_text(w.parse(h)) == t for _, _, (h, t) in rows)
+
+
+def test_a_wrapper_beyond_its_bound_keeps_the_text():
+    rng = random.Random(6)
+    pages = ["<body><article>" + "".join(f"<p class=c{rng.choice('abcdefgh') * rng.randint(1, 9)}>text {i} {k}</p><h2>t</h2>" for k in range(60)) + "</article></body>" for i in range(10)]
+    tree = w.fold(w.parse(pages[0]))
+    for p in pages[1:]:
+        w.merge_into(tree, w.fold(w.parse(p)))
+        w.prune(tree, 50)
+    assert w.count(tree) <= 400
+    assert all(w.Reader(tree).main_text(w.parse(p)).count("text") == 60 for p in pages)

@@ -6,14 +6,21 @@ one page after another: equal tags are matched level by level, what only one sid
 group, what comes in runs a repeated group, and texts that differ become slots. Two wrappers align the same
 way, so tasks infer wrappers from the pages at hand, at any split of a host, and the partial ones are merged.
 
-The wrapper sums up, for each of its groups, the text in slots, the text in links and the paragraphs of all
-pages. That names the group that holds the main text, and the constant texts within it: those that are the same
-on all pages of the host, of which enough differ in their paragraphs (copies count as one page); menus, footers, sidebars, forms, adverts, notices and comments are dropped by their tags and names.
+The wrapper tells slots from template: a text that is the same on two pages or more, of a host whose pages differ
+in their paragraphs (copies count as one page), is template, and has no weight. The group that holds most
+of the other text is the main group; an article or main element goes before others. So two pages that differ are
+the least that show a template; a page alone, or among copies, is read by its own structure. In the main group,
+everything stays but: menus, footers, sidebars, forms, adverts, notices and comments, by their tags and names; groups
+whose name may mean such things as well as content, if the wrapper has them as template; and at its two ends, before
+the first slot and after the last, template texts, in an article or main element those in plain containers alone.
+A page without the wrapper's main group is read by its own structure, less the weight of the host's template texts.
 
 Defined results: null or empty html gives ""; pages without url, or without a host, share the wrapper of the
-empty host; repeated rows give repeated results; a page that fits no wrapper is read by its own structure;
-nesting beyond ``DEPTH`` is flattened, with its text kept; an empty table gives an empty one; only page_id,
-url and html are read.
+empty host; repeated rows give repeated results; texts of any length are read whole; nesting beyond ``DEPTH`` is
+flattened, with its text kept; elements without an end tag that would hide the rest of the page are passed over,
+but for script and style; of groups of equal weight, the first counts; an empty table gives an empty one; only page_id,
+url and html are read. A wrapper that outgrows ``WRAPPER_NODES`` gives up the order of equal groups, and then its rarest
+optional groups: that bounds memory, and can only make a page be read by its own structure.
 """
 
 from __future__ import annotations
@@ -33,14 +40,15 @@ from pyspark.sql import functions as F
 from webloom.llm.common import map_rows, table
 from webloom.operators.storage import materialise
 
-DEPTH = 60
-#: Hosts that a task holds before it hands on their wrappers, and nodes of one wrapper.
+DEPTH = 250
+#: Hosts, and nodes of their wrappers, that a task holds before it hands them on; and nodes of one wrapper.
 HOSTS_AT_ONCE = 2_000
-WRAPPER_NODES = 1_500
-#: Differing pages from which a text that never changes counts as template.
-CONSTANT_PAGES = 5
-#: Partial wrappers of a host meet in so many groups before they meet in one.
-SALTS = 16
+NODES_AT_ONCE = 200_000
+WRAPPER_NODES = 8_000
+#: Partial wrappers of a host that meet in one place.
+FAN = 64
+#: Steps of an alignment that are kept for the way back; others are repeated.
+KEPT_BYTES = 16 << 20
 #: Wrappers up to this size in total are broadcast; beyond it they are joined by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -48,24 +56,31 @@ BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre "
     "figure figcaption header footer nav aside form fieldset address details summary hr center menu dialog search hgroup".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is content wherever they stand in an article.
+CONTENT = HEADINGS | frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hgroup details summary".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose content is no markup, or is not shown as text: it goes on to the end tag.
 RAW = frozenset("script style noscript template svg iframe object textarea select canvas audio video math button title".split())
-#: Elements whose content is no markup: it goes on to the literal end tag.
-END_TAG = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
+NESTED = frozenset("svg template object math".split())
+ENDS = {t: re.compile(rf"<(/?){t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 HEAD = frozenset("title meta link style script base noscript template head".split())
 CHROME = frozenset("nav header footer aside form fieldset menu dialog search address".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
+#: Names of what is no part of an article; and names that may mean that.
 CHROME_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|related|recommend\w*|share|sharing|social|follow|comment(?:s|list|section)?|disqus|replies|respond|"
-    r"footer|foot|header|masthead|topbar|toolbar|skip|pager|pagination|login|signup|search|tags|taglist|copyright|legal|disclaimer)(?:$|[-_ ])",
+    r"(?:^|[-_ ])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|related|recommend\w*|share|sharing|social|follow|comment(?:s|list|section)?|disqus|replies|respond|"
+    r"footer|masthead|topbar|toolbar|pager|pagination|login|signup|taglist)(?:$|[-_ ])",
     re.I,
 )
-#: Of those, the ones that hold even where a name also has a word of MAIN_NAMES.
-STRONG_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|nav|navbar|menu|sidebar|comment(?:s|list|section)?|footer|cookies?|related|share|sharing|newsletter|widget|breadcrumbs?)(?:$|[-_ ])", re.I)
+WEAK_NAMES = re.compile(r"(?:^|[-_ ])(?:alert|side|widget|foot|header|skip|search|tags|copyright|legal|disclaimer)(?:$|[-_ ])", re.I)
+#: Of the former, the ones that hold even where a name also has a word of MAIN_NAMES.
+STRONG_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|nav|navbar|menu|sidebar|comment(?:s|list|section)?|footer|cookies?|related|share|sharing|newsletter|breadcrumbs?)(?:$|[-_ ])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text)(?:$|[-_ ])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+DIGITS = re.compile(r"\d+")
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
 
@@ -78,11 +93,15 @@ def signature(tag: str, attributes: str) -> str:
     return tag + (f"@{found['role'].lower()}" if found.get("role") else "") + "".join(f".{n}" for n in sorted(set(names)))[:200]
 
 
+def tag_of(sig: str) -> str:
+    return sig.split("@")[0].split(".")[0]
+
+
 def parse(source: str) -> list:
     """The page as nested lists: [signature, child, ...], a child being such a list or a text (text, link length)."""
     root: list = ["#root"]
-    stack, words, in_link, linked = [root], [], False, 0
-    skip, head = None, False
+    stack, names, words, in_link, linked, head = [root], ["#root"], [], False, 0, False
+    endless: set[str] = set()  # elements that have no end tag from here on
 
     def flush():
         nonlocal words, linked
@@ -94,13 +113,26 @@ def parse(source: str) -> list:
 
     def close_to(at: int):
         flush()
-        del stack[at:]
+        del stack[at:], names[at:]
+
+    def end_of(tag: str, at: int) -> int | None:
+        """Where the element that was opened before at ends; of nested ones that are not all closed, the first end tag."""
+        first, level = None, 1
+        for m in ENDS[tag].finditer(source, at):
+            if m[1]:
+                level -= 1
+                first = first or m.end()
+                if not level or tag not in NESTED:
+                    return m.end()
+            elif not m[0].endswith("/>"):
+                level += 1
+        return first
 
     tokens = TOKEN.finditer(source)
     while m := next(tokens, None):
         tag = m[3]
         if tag is None:
-            if skip is None and not head:
+            if not head:
                 text = m[1] if m[1] is not None else m[0] if m[0][:2] not in ("<!", "<?") else ""
                 if text:
                     words.append(text)
@@ -108,20 +140,15 @@ def parse(source: str) -> list:
                         linked += len(text.strip())
             continue
         tag, closing = tag.lower(), bool(m[2])
-        if tag in END_TAG and not closing and not m[4].endswith("/"):
-            end = END_TAG[tag].search(source, m.end())
-            if end:
-                tokens = TOKEN.finditer(source, end.end())
-                continue
-            if skip is None:
-                break
-        if skip is not None:
-            if closing and tag == skip:
-                skip = None
-            continue
         if tag in RAW:
-            if not closing and not m[4].endswith("/") and (tag in ("noscript", "template", "svg", "select", "button", "object", "canvas", "audio", "video", "math")):
-                skip = tag
+            if not closing and not m[4].endswith("/") and tag not in endless:
+                end = end_of(tag, m.end())
+                if end:
+                    tokens = TOKEN.finditer(source, end)
+                elif tag in ("script", "style"):
+                    break
+                else:
+                    endless.add(tag)
             continue
         if tag == "head":
             head = not closing
@@ -139,18 +166,16 @@ def parse(source: str) -> list:
         if tag not in BLOCKS:
             continue
         if closing:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0].split("@")[0].split(".")[0] == tag:
+            for at in range(len(names) - 1, 0, -1):
+                if names[at] == tag:
                     close_to(at)
                     break
             else:
                 flush()
             continue
         flush()
-        names = [x[0].split("@")[0].split(".")[0] for x in stack]
-        if names[-1] == "p" or ("p" in names[-4:]):
+        if "p" in names[-4:]:
             close_to(len(names) - 1 - names[::-1].index("p"))
-            names = names[: len(stack)]
         if tag in CLOSES:
             shut, stop = CLOSES[tag]
             for at in range(len(names) - 1, 0, -1):
@@ -159,7 +184,7 @@ def parse(source: str) -> list:
                 if names[at] in shut.split():
                     close_to(at)
                     break
-        elif tag[0] == "h" and tag[1:].isdigit() and names[-1][0] == "h" and names[-1][1:].isdigit():
+        elif tag in HEADINGS and names[-1] in HEADINGS:
             close_to(len(stack) - 1)
         if tag in VOID:
             continue
@@ -167,12 +192,13 @@ def parse(source: str) -> list:
         stack[-1].append(node)
         if len(stack) < DEPTH:
             stack.append(node)
+            names.append(tag)
     flush()
     return root
 
 
 # A wrapper node is [signature, optional, repeated, pages, slot text, link text, paragraphs, constant, children];
-# the root also has the least hashes of its pages' paragraphs, CONSTANT_PAGES at most.
+# the root also has the two least hashes of its pages' paragraphs.
 SIG, OPT, REP, PAGES, SLOT, LINK, PARAS, CONST, KIDS, DIFFERING = range(10)
 
 
@@ -190,18 +216,19 @@ def fold(page: list) -> list:
 
 
 def paragraphs(page: list) -> str:
-    """The page's paragraphs outside chrome, or all its texts there if it has none; copies of a page share them."""
+    """The page's longer texts outside chrome, without digits, or all its texts there if it has none; copies of a page
+    share them, whatever their dates and counters."""
     found: list = []
 
     def look(node):
         for k in node[1:]:
             if isinstance(k, tuple):
-                found.append(k)
-            elif not is_chrome(k[0], True):
+                found.append(DIGITS.sub("", k[0]))
+            elif not chrome(k[0], True):
                 look(k)
 
     look(page)
-    return "\n".join([t for t, link in found if len(t) - link >= 40] or [t for t, _ in found])
+    return "\n".join([t for t in found if len(t) >= 15] or found)
 
 
 def fold_node(node: list) -> list:
@@ -227,41 +254,49 @@ def hash_text(text: str) -> int:
 
 
 def pairing(a: list, b: list) -> list[tuple[int | None, int | None]]:
-    """Indexes of two child lists in order, matched by signature along a longest common subsequence; for
-    long lists, along the first that fits."""
+    """Indexes of two child lists in order, matched by signature along a longest common subsequence.
+
+    A row of the table of lengths is a whole number with a bit for each of b, which is 0 where the length grows; a
+    step to the next row is an addition. Every so many rows one is kept, and those between are made again on
+    the way back."""
     n, m = len(a), len(b)
     if [x[SIG] for x in a] == [x[SIG] for x in b]:
         return [(i, i) for i in range(n)]
-    if n * m > 40_000:
-        out, j, where = [], 0, {}
-        for k, x in enumerate(b):
-            where.setdefault(x[SIG], []).append(k)
-        for i, x in enumerate(a):
-            k = next((k for k in where.get(x[SIG], ()) if k >= j), None)
-            if k is None:
-                out.append((i, None))
-            else:
-                out += [(None, q) for q in range(j, k)] + [(i, k)]
-                j = k + 1
-        return out + [(None, q) for q in range(j, m)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below, sig = best[i], best[i + 1], a[i][SIG]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if sig == b[j][SIG] else max(below[j], row[j + 1])
-    i = j = 0
-    out = []
-    while i < n and j < m:
-        if a[i][SIG] == b[j][SIG] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x[SIG]] = where.get(x[SIG], 0) | 1 << j
+    full = (1 << m) - 1
+
+    def step(row: int, i: int) -> int:
+        u = row & where.get(a[i][SIG], 0)
+        return ((row + u) | (row - u)) & full
+
+    gap = max(1, -(-n * (m // 8 + 1) // KEPT_BYTES))
+    row, kept = full, {}
+    for i in range(n):
+        if i % gap == 0:
+            kept[i] = row
+        row = step(row, i)
+    out, i, j, rows, start = [], n, m, [], n
+    while i and j:
+        if i - 1 < start:  # rows[k] is the one after start + k of a
+            start = (i - 1) // gap * gap
+            rows, row = [], kept[start]
+            for k in range(start, i):
+                row = step(row, k)
+                rows.append(row)
+        if rows[i - 1 - start] >> (j - 1) & 1:
+            j -= 1
+            out.append((None, j))
+            continue
+        above = rows[i - 2 - start] if i - 1 > start else kept[start]
+        i -= 1
+        if i and not above >> (j - 1) & 1:
             out.append((i, None))
-            i += 1
         else:
-            out.append((None, j))
-            j += 1
-    return out + [(k, None) for k in range(i, n)] + [(None, k) for k in range(j, m)]
+            j -= 1
+            out.append((i, j))
+    return [*((None, k) for k in range(j)), *((k, None) for k in range(i)), *reversed(out)]
 
 
 def merge_into(a: list, b: list) -> None:
@@ -273,7 +308,7 @@ def merge_into(a: list, b: list) -> None:
     if a[CONST] != b[CONST]:
         a[CONST] = None
     if len(a) > DIFFERING:
-        a[DIFFERING] = sorted({*a[DIFFERING], *b[DIFFERING]})[:CONSTANT_PAGES]
+        a[DIFFERING] = sorted({*a[DIFFERING], *b[DIFFERING]})[:2]
     kids = []
     for i, j in pairing(a[KIDS], b[KIDS]):
         if i is None:
@@ -293,9 +328,25 @@ def count(w: list) -> int:
 
 
 def prune(w: list, limit: int = WRAPPER_NODES) -> None:
-    """Drop the rarest optional groups of a wrapper that has outgrown the limit."""
+    """Give up the order of equal groups in a wrapper that has outgrown the limit, and then the rarest optional ones."""
+    if count(w) <= limit:
+        return
+
+    def together(node):
+        kids: dict[str, list] = {}
+        for k in node[KIDS]:
+            if k[SIG] in kids:
+                merge_into(kids[k[SIG]], k)
+                kids[k[SIG]][REP] = 1
+            else:
+                kids[k[SIG]] = k
+        node[KIDS] = list(kids.values())
+        for k in node[KIDS]:
+            together(k)
+
+    together(w)
     least = 1
-    while count(w) > limit and least < 1 << 40:
+    while count(w) > limit and least <= w[PAGES]:
         def cut(node):
             node[KIDS] = [k for k in node[KIDS] if not (k[OPT] and k[PAGES] <= least)]
             for k in node[KIDS]:
@@ -303,8 +354,6 @@ def prune(w: list, limit: int = WRAPPER_NODES) -> None:
 
         cut(w)
         least *= 2
-        if least > w[PAGES]:
-            break
 
 
 def regex(w: list) -> str:
@@ -318,131 +367,185 @@ def regex(w: list) -> str:
 
 
 @lru_cache(1 << 14)
-def is_chrome(sig: str, in_main: bool) -> bool:
+def chrome(sig: str, in_main: bool) -> int:
+    """2 for groups that are no part of an article, 1 for those that may be none, by their names."""
     tag, _, rest = sig.partition(".")
     tag, _, role = tag.partition("@")
     if tag in CHROME and not (in_main and tag in ("header", "address")):
-        return True
+        return 2
     if role in CHROME_ROLES:
-        return True
-    return bool(rest) and tag not in ("html", "body", "article", "main") and any(CHROME_NAMES.search(n) and not MAIN_NAMES.search(n) or STRONG_NAMES.search(n) for n in rest.split("."))
+        return 2
+    if not rest or tag in ("html", "body", "article", "main"):
+        return 0
+    names = rest.split(".")
+    if any(CHROME_NAMES.search(n) and not MAIN_NAMES.search(n) or STRONG_NAMES.search(n) for n in names):
+        return 2
+    return int(any(WEAK_NAMES.search(n) and not MAIN_NAMES.search(n) for n in names))
 
 
-def total(w: list) -> tuple[int, int, int]:
-    """Text, link text and paragraphs of a group outside what is chrome."""
-    if w[SIG] == "#":
-        return (w[SLOT], w[LINK], w[PARAS])
+def is_template(w: list, text: list) -> bool:
+    """Whether a text node of wrapper w is the same on two pages or more, of a host whose pages differ."""
+    return text[CONST] is not None and text[PAGES] > 1 and len(w[DIFFERING]) > 1
+
+
+def total(w: list, node: list, slots: bool = True) -> tuple[int, int, int]:
+    """Text, link text and paragraphs of a group, outside what is chrome; of slots alone, unless asked otherwise."""
+    if node[SIG] == "#":
+        return (0, 0, 0) if slots and is_template(w, node) else (node[SLOT], node[LINK], node[PARAS])
     out = (0, 0, 0)
-    for k in w[KIDS]:
-        if k[SIG] == "#" or not is_chrome(k[SIG], True):
-            out = tuple(x + y for x, y in zip(out, total(k), strict=True))
+    for k in node[KIDS]:
+        if k[SIG] == "#" or not chrome(k[SIG], True):
+            out = tuple(x + y for x, y in zip(out, total(w, k, slots), strict=True))
     return out
 
 
+def is_article(sig: str) -> bool:
+    return tag_of(sig) in ("article", "main") or "@main" in sig
+
+
 def main_path(w: list) -> list[str]:
     """Signatures from the root to the group that holds the main text: an article or main element if it has
-    text, otherwise down the tree as long as one child holds most of the text."""
+    text, otherwise down the tree as long as one child holds most of the text in slots."""
     best: list = []
 
-    def look(node, path):
+    def look(node, path, slots):
         for k in node[KIDS]:
-            if k[SIG] == "#" or is_chrome(k[SIG], False):
+            if k[SIG] == "#" or chrome(k[SIG], False):
                 continue
-            tag = k[SIG].split("@")[0].split(".")[0]
-            if tag in ("article", "main") or "@main" in k[SIG]:
-                t = total(k)
-                best.append((t[0] - t[1], tag == "article", path + [k[SIG]]))
-            look(k, path + [k[SIG]])
-
-    look(w, [])
-    if best:
-        most = max(b[0] for b in best)
+            if is_article(k[SIG]):
+                t = total(w, k, slots)
+                best.append((t[0] - t[1], tag_of(k[SIG]) == "article", path + [k[SIG]]))
+            look(k, path + [k[SIG]], slots)
+
+    for slots in (True, False):
+        best.clear()
+        look(w, [], slots)
+        most = max((b[0] for b in best), default=0)
         if most > 0:
             good = [b for b in best if b[0] >= 0.5 * most]
             return max(good, key=lambda b: (len(b[2]) if b[1] else 0, b[0]))[2]
     path, node = [], w
     while True:
-        here = total(node)
-        options = [(total(k), k) for k in node[KIDS] if k[SIG] != "#" and not is_chrome(k[SIG], False)]
+        here = total(w, node)
+        options = [(total(w, k), k) for k in node[KIDS] if k[SIG] != "#" and not chrome(k[SIG], False)]
         options = [((t[0] - t[1]) * (1.3 if MAIN_NAMES.search(k[SIG].replace(".", " ")) else 1), k) for t, k in options]
         if not options:
             return path
         score, k = max(options, key=lambda o: o[0])
-        if k[SIG].split(".")[0].split("@")[0] in ("p", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "h3", "dl") or score < 0.75 * max(1, here[0] - here[1]):
+        if tag_of(k[SIG]) in CONTENT or score <= 0 or score < 0.75 * max(1, here[0] - here[1]):
             return path
         path.append(k[SIG])
         node = k
 
 
-def constants(w: list, path: list[str]) -> dict[tuple[str, int], float]:
-    """Texts in the main group that are the same on all pages, if at least CONSTANT_PAGES of those differ: place
-    and hash, and how often a page has them. Optional groups have none."""
-    out: dict[tuple[str, int], float] = {}
-    node, times = w, 1.0
-    if len(w[DIFFERING]) < CONSTANT_PAGES:
-        return out
-    for sig in path:
-        node = next((k for k in node[KIDS] if k[SIG] == sig), None)
-        if node is None or node[OPT]:
-            return out
-        times = math.inf if node[REP] else times
-
-    def look(x, where, times):
-        for k in x[KIDS]:
-            if k[OPT] or k[PAGES] < w[PAGES]:
-                continue
-            if k[SIG] != "#":
-                look(k, f"{where}>{k[SIG]}", math.inf if k[REP] else times)
-            elif k[CONST] is not None and not k[REP]:
-                out[where, k[CONST]] = out.get((where, k[CONST]), 0) + times
-
-    look(node, "", times)
-    return out
-
+class Reader:
+    """What a host's wrapper says of its pages; without one, what a page says of itself."""
 
-def read(root: list, path: list[str], fixed: dict[tuple[str, int], float]) -> str:
-    """The main text of a parsed page: the blocks under the wrapper's main path."""
-    nodes = [root]
-    for sig in path:
-        below = [k for x in nodes for k in x[1:] if isinstance(k, list) and k[0] == sig]
-        if not below:
-            break
-        nodes = below
+    def __init__(self, w: list):
+        self.w, self.path = w, main_path(w)
+        self.article = any(map(is_article, self.path))
+        #: Template texts by place and hash, anywhere; and those at the ends of the main group, with their count a page.
+        self.template: set[tuple[str, int]] = set()
+        self.ends: dict[tuple[str, int], float] = {}
+        #: Whether groups whose name may mean chrome have slots, by place; of groups on two differing pages or more.
+        self.slots: dict[str, bool] = {}
+        self._look_at_all(w, "")
+        self._look_at_ends()
 
-    def look(node, found, left, where=""):
-        for k in node[1:]:
-            if isinstance(k, tuple):
-                key = (where, hash_text(k[0])) if left else None
-                if left.get(key, 0) > 0:
-                    left[key] -= 1
-                else:
-                    found.append(k)
-            elif not is_chrome(k[0], True):
-                tag = k[0].split("@")[0].split(".")[0]
-                if tag in ("ul", "ol", "menu", "dl"):
+    def _look_at_all(self, node: list, where: str) -> None:
+        for k in node[KIDS]:
+            if k[SIG] == "#":
+                if is_template(self.w, k):
+                    self.template.add((where, k[CONST]))
+                continue
+            at = f"{where}>{k[SIG]}"
+            if k[PAGES] > 1 and len(self.w[DIFFERING]) > 1 and chrome(k[SIG], True) == 1:
+                self.slots[at] = self.slots.get(at, False) or self._has_slot(k)
+            self._look_at_all(k, at)
+
+    def _has_slot(self, node: list) -> bool:
+        return any(not is_template(self.w, k) if k[SIG] == "#" else self._has_slot(k) for k in node[KIDS])
+
+    def _look_at_ends(self) -> None:
+        node, times = self.w, 1.0
+        for sig in self.path:
+            node = next(k for k in node[KIDS] if k[SIG] == sig)
+            if node[OPT]:
+                return
+            times = math.inf if node[REP] else times
+        texts: list = []  # (place and hash, or None for a slot; count a page; whether it may go)
+
+        def look(x, where, times, always, content):
+            for k in x[KIDS]:
+                every = always and not k[OPT] and k[PAGES] == self.w[PAGES]
+                if k[SIG] == "#":
+                    if is_template(self.w, k):
+                        texts.append(((where, k[CONST]), times, every and not k[REP] and not content))
+                    else:
+                        texts.append((None, 0, False))
+                elif not self.drops(k[SIG], f"{where}>{k[SIG]}"):
+                    tag = tag_of(k[SIG])
+                    look(k, f"{where}>{k[SIG]}", math.inf if k[REP] else times, every, content or (tag in CONTENT if self.article else tag in HEADINGS))
+
+        look(node, "".join(f">{sig}" for sig in self.path), times, True, False)
+        slots = [i for i, t in enumerate(texts) if t[0] is None]
+        for i, (key, n, may) in enumerate(texts):
+            if may and slots and not slots[0] < i < slots[-1]:
+                self.ends[key] = self.ends.get(key, 0) + n
+
+    def drops(self, sig: str, where: str) -> bool:
+        """Whether a group of the main group is left out."""
+        level = chrome(sig, True)
+        return level == 2 or level == 1 and not self.slots.get(where, self.article)
+
+    def read(self, root: list) -> str | None:
+        """The main text of a parsed page: the blocks under the main path; None if the page lacks it."""
+        nodes = [root]
+        for sig in self.path:
+            nodes = [k for x in nodes for k in x[1:] if isinstance(k, list) and k[0] == sig]
+        if not nodes:
+            return None
+        left, found = dict(self.ends), []
+
+        def look(node, where, found):
+            for k in node[1:]:
+                if isinstance(k, tuple):
+                    key = (where, hash_text(k[0])) if left else None
+                    if left.get(key, 0) > 0:
+                        left[key] -= 1
+                    else:
+                        found.append(k)
+                elif not self.drops(k[0], f"{where}>{k[0]}"):
                     inner: list = []
-                    look(k, inner, left, f"{where}>{k[0]}")
-                    n, linked = sum(len(t) for t, _ in inner), sum(x for _, x in inner)
-                    if n and linked / n > 0.7 and len(inner) > 1:
-                        continue
+                    look(k, f"{where}>{k[0]}", inner)
+                    if not self.article and tag_of(k[0]) in ("ul", "ol", "menu", "dl") and len(inner) > 1:
+                        n, linked = sum(len(t) for t, _ in inner), sum(x for _, x in inner)
+                        if linked > 0.7 * n:  # a menu, where no article element says otherwise
+                            continue
                     found += inner
-                else:
-                    look(k, found, left, f"{where}>{k[0]}")
 
-    for dropping in (True, False):
-        found: list = []
-        left = dict(fixed) if dropping else {}
-        for x in nodes:
-            look(x, found, left)
-        every = sum(len(t) for t, _ in found)
-        if not dropping or not fixed:
-            break
-        whole: list = []
         for x in nodes:
-            look(x, whole, {})
-        if every * 2 >= sum(len(t) for t, _ in whole):
-            break
-    return "\n".join(t for t, _ in found)
+            look(x, "".join(f">{sig}" for sig in self.path), found)
+        return "\n".join(t for t, _ in found)
+
+    def main_text(self, root: list) -> str:
+        """The main text of a page of the host."""
+        if got := self.read(root):
+            return got
+        own = fold(root)
+
+        def discount(node, where):
+            for k in node[KIDS]:
+                if k[SIG] != "#":
+                    discount(k, f"{where}>{k[SIG]}")
+                elif (where, k[CONST]) in self.template:
+                    k[SLOT] = k[LINK] = k[PARAS] = 0
+
+        if self.template:
+            discount(own, "")
+            if got := Reader(own).read(root):
+                return got
+        return Reader(fold(root)).read(root) or ""
 
 
 HOST = r"^[^:/?#]*://([^/?#]*)"
@@ -454,6 +557,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
+    nodes = 0
 
     def out():
         rows = [(h, json.dumps(w, separators=(",", ":"))) for h, w in held.items()]
@@ -471,8 +575,11 @@ def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     prune(held[host])
             else:
                 held[host] = w
-        if len(held) >= HOSTS_AT_ONCE:
-            yield out()
+                prune(w)
+                nodes += count(w)
+            if len(held) >= HOSTS_AT_ONCE or nodes >= NODES_AT_ONCE:
+                yield out()
+                nodes = 0
     if held:
         yield out()
 
@@ -485,20 +592,24 @@ def _merge(keys: tuple, t: pa.Table) -> pa.Table:
             got = w
         else:
             merge_into(got, w)
+            prune(got)
     prune(got)
     return pa.table({"host": pa.array([t["host"][0].as_py()]), "wrapper": pa.array([json.dumps(got, separators=(",", ":"))])})
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) for every host of pages (page_id, url, html, host), from all of its pages."""
+def infer(pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host, wrapper) for every host of pages (page_id, url, html, host), from all of its pages. The partial wrappers
+    of a host merge in a tree, about ``fan`` of them in one place."""
     form = "host string, wrapper string"
-    part = pages.select("host", "html").mapInArrow(_infer, form)
-    salted = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInArrow(_merge, form)
-    return materialise(salted.groupBy("host").applyInArrow(_merge, form), "wrappers")
+    part = materialise(pages.select("host", "html").mapInArrow(_infer, form), "wrappers")
+    while (most := part.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > fan:
+        salted = part.withColumn("salt", F.pmod(F.xxhash64("wrapper", F.rand(most)), F.lit(-(-most // fan))))
+        part = materialise(salted.groupBy("host", "salt").applyInArrow(_merge, form), "wrappers")
+    return materialise(part.groupBy("host").applyInArrow(_merge, form), "wrappers")
 
 
 def _apply():
-    known: dict[str, tuple] = {}
+    known: dict[str, Reader] = {}
 
     def run(page_id, url, html, wrapper):
         text = []
@@ -506,20 +617,11 @@ def _apply():
             if not source:
                 text.append("")
                 continue
-            root = parse(source)
-            key = w or ""
-            if key not in known:
+            if w not in known:
                 if len(known) > 500:
                     known.clear()
-                tree = json.loads(w) if w else None
-                path = main_path(tree) if tree else None
-                known[key] = (path, constants(tree, path) if tree else {})
-            path, fixed = known[key]
-            got = read(root, path, fixed) if path is not None else ""
-            if not got:
-                own = fold(root)
-                got = read(root, main_path(own), {})
-            text.append(got)
+                known[w] = Reader(json.loads(w))
+            text.append(known[w].main_text(parse(source)))
         return {"page_id": page_id, "url": url, "text": text, "n_chars": [len(t) for t in text]}
 
     return run
