@@ -117,3 +117,47 @@ def test_neighbours_recall(spark):
 def test_few_candidates(spark):
     got = sorted(map(tuple, v.neighbours(frame(spark, [(0, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (4, [0.0, 1.0], 2)])).collect()))
     assert got == [(0, 1, 3, 2**0.5), (0, 2, 4, 2**0.5)]
+
+
+def recall(spark, x, shard_rows, every=20):
+    data = [(i, e.tolist(), 0) for i, e in enumerate(x.astype(np.float32))]
+    x = np.array([e for _, e, _ in data])
+    found = {}
+    for r in v.neighbours(frame(spark, data), f"vec_id % {every} = 0", shard_rows=shard_rows).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, len(x), every):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & found[i])
+    return hits / (10 * len(range(0, len(x), every)))
+
+
+def test_recall_over_many_shards(spark):
+    """At the tables' dimension: without any clusters, and with some of very different sizes."""
+    rng = np.random.default_rng(3)
+    assert recall(spark, v.unit(rng.normal(size=(6000, 64))), 600) >= 0.95
+    sizes = [2500, 1200, 600, 300, 200, 100, 60, 40]
+    assert recall(spark, np.concatenate([rng.normal(size=64) * 3 + rng.normal(size=(n, 64)) * 0.3 for n in sizes]), 500) >= 0.95
+
+
+def test_only_shards_that_can_hold_no_nearer_row_are_left_out():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=6) * 4 + rng.normal(size=(n, 6)) for n in (300, 200, 80, 20)])
+    book = v.kmeans(x, 12)
+    own = v._squares(x, book).argmin(axis=1)
+    far = np.sqrt(v._squares(x, book)[np.arange(len(x)), own])
+    radius = np.array([far[own == c].max() if (own == c).any() else -1.0 for c in range(len(book))])
+    asked = range(0, len(x), 7)
+    d = [np.sqrt(((x - x[i]) ** 2).sum(axis=1)) for i in asked]
+    got = v._others({6: book}, {6: radius})(list(asked), [x[i].tolist() for i in asked], [int(own[i]) for i in asked], [float(np.sort(e)[11]) for e in d])
+    pairs = set(zip(got["query_id"], got["cell"], strict=True))
+    for i, e in zip(asked, d, strict=True):
+        assert {int(own[j]) for j in np.argsort(e)[:11]} <= {own[i]} | {c for q, c in pairs if q == i}
+    assert len(pairs) < 0.7 * len(asked) * 11
+
+
+def test_neighbours_with_a_repeated_id_and_ties(spark):
+    data = [(100, [0.0, 1.0], 1), (100, [5.0, 5.0], 1), (3, [0.0, 2.0], 1), (2, [1.0, 1.0], 1), (7, [0.0, 0.5], 1), (7, [9.0, 9.0], 2), (8, [9.0, 9.0], 2)]
+    got = sorted(map(tuple, v.neighbours(frame(spark, data), k=3).collect()))
+    assert got == [(100, 1, 7, 0.5), (100, 2, 2, 1.0), (100, 3, 3, 1.0)]

@@ -10,16 +10,20 @@ Near-duplicates
     missed. Vectors that meet in a cell are verified by cosine in double precision.
 
 Neighbours
-    Rows are dealt to shards of bounded size. In each, a directed graph is grown: greedy searches propose
+    Rows are dealt to shards: those nearest to one of a few centroids, which are trained on a bounded sample, and
+    of these, beyond a shard's size, by a hash. In each shard, a directed graph is grown: greedy searches propose
     neighbours, and robust pruning drops those that a kept, nearer neighbour makes needless, with a relaxed
-    factor that leaves some long edges. Beam search answers every query in each shard, and the shards'
-    candidates are ranked by exact distance.
+    factor that leaves some long edges. Beam search answers a query in the shards of its own centroid first; then
+    in each other shard that the distance of its last candidate leaves possible. What is nearer to another centroid
+    is at least as far as the plane between them, and what lies within a radius at least as far as the rest of the way
+    to the centroid; so no shard that could hold a nearer row is left out. The candidates are ranked by exact distance.
 
 Equal vectors are one point in both: its rows are counted, or expanded, at the end.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing
 and take no part in searches; a null label links with nothing; vectors of different lengths do not meet;
-repeated rows count as further vectors; ties go to the smaller vec_id; an empty table gives an empty one;
+repeated rows count as further vectors; in searches, a repeated vec_id asks with its smallest vector (by its components in order), and
+none of its vectors is a neighbour of another, and as a neighbour it counts once, at its nearest vector; ties go to the smaller vec_id; an empty table gives an empty one;
 columns beyond vec_id, embedding and label are not read.
 """
 
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import table
+from webloom.llm.common import map_rows, table
 from webloom.operators.components import connected_components
 from webloom.operators.storage import materialise
 
@@ -46,12 +50,16 @@ CELL_ROWS = 500
 TARGET_RECALL = 0.9999
 #: Stored vectors and queries of one verification task.
 TILE = 2_000
-SHARD = 4_000
+#: Rows of a shard: so many at least, then a share of all rows, as each query may ask each shard, up to what memory holds.
+SHARD, SHARD_SHARE, SHARD_MOST = 4_000, 64, 50_000
+CENTROIDS = 4_000
 DEGREE, BEAM, ALPHA = 24, 64, 1.2
-#: Beam of the queries.
-QUERY_BEAM = 128
+#: Beam of the queries in a shard of SHARD rows; it grows with the square root of the shard.
+QUERY_BEAM = 144
+#: Nodes that a search opens at once, and searches that go on side by side.
+STEP, ABREAST = 8, 64
 NEIGHBOURS = 10
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 20_000
 
 
 def usable(vector: str = "embedding"):
@@ -292,47 +300,58 @@ def distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The beam nearest nodes that a search from the entries finds for each query: ids and squared distances,
-    nearest first. Each round opens the ``step`` nearest nodes of every beam that are still closed."""
-    n = len(q)
-    ids = np.full((n, beam), -1, np.int64)
-    d = np.full((n, beam), np.inf)
-    start = np.unique(entry)[:beam]
+    nearest first (-1 and infinity: no more). Each round opens the STEP nearest nodes of every beam that are still closed."""
+    got = [_beams(x, graph, np.unique(entry)[:beam], q[s : s + ABREAST], beam) for s in range(0, len(q), ABREAST)]
+    return np.concatenate([i for i, _ in got]), np.concatenate([d for _, d in got])
+
+
+def _beams(x: np.ndarray, graph: np.ndarray, start: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    n, none = len(q), len(x)
+    ids, d = np.full((n, beam), -1, np.int64), np.full((n, beam), np.inf, x.dtype)
     ids[:, : len(start)] = start
     d[:, : len(start)] = distances(x, q, ids[:, : len(start)])
-    opened = np.zeros((n, beam), bool)
-    active = np.arange(n)
-    while len(active):
-        a_ids, a_d, a_open = ids[active], d[active], opened[active]
-        closed = np.where(a_open | (a_ids < 0), np.inf, a_d)
-        pick = np.argpartition(closed, min(step, beam) - 1, axis=1)[:, :step]
-        rows = np.arange(len(active))[:, None]
-        ok = np.isfinite(closed[rows, pick])
+    closed = d.copy()  # distances of nodes that are not yet opened
+    seen = np.zeros((n, none + 1), bool)
+    seen[:, none] = True
+    seen[:, start] = True
+    active, step = np.arange(n), min(STEP, beam)
+    while True:
+        c = closed[active]
+        pick = np.argpartition(c, step - 1, axis=1)[:, :step]
+        ok = np.isfinite(np.take_along_axis(c, pick, 1))
         more = ok.any(axis=1)
-        if not more.all():
-            active = active[more]
-            if not len(active):
-                break
-            a_ids, a_d, a_open, pick, ok = a_ids[more], a_d[more], a_open[more], pick[more], ok[more]
-            rows = rows[: len(active)]
-        a_open[rows, pick] |= ok
-        near = np.where(ok[:, :, None], graph[np.where(ok, a_ids[rows, pick], 0)], -1).reshape(len(active), -1)
-        all_ids = np.concatenate([a_ids, near], axis=1)
-        all_d = np.concatenate([a_d, distances(x, q[active], near)], axis=1)
-        all_open = np.concatenate([a_open, np.zeros(near.shape, bool)], axis=1)
-        # by id, what is in the beam first: a node met again drops out
-        order = np.argsort(all_ids, axis=1, kind="stable")
-        s_ids = np.take_along_axis(all_ids, order, 1)
-        again = np.zeros(s_ids.shape, bool)
-        again[:, 1:] = (s_ids[:, 1:] == s_ids[:, :-1])
-        s_d = np.where(again, np.inf, np.take_along_axis(all_d, order, 1))
-        s_open = np.take_along_axis(all_open, order, 1)
-        best = np.argsort(s_d, axis=1, kind="stable")[:, :beam]
-        d[active] = np.take_along_axis(s_d, best, 1)
-        ids[active] = np.where(np.isfinite(d[active]), np.take_along_axis(s_ids, best, 1), -1)
-        opened[active] = np.take_along_axis(s_open, best, 1)
-    return ids, d
+        active, pick, ok = active[more], pick[more], ok[more]
+        if not len(active):
+            break
+        a = active[:, None]
+        near = np.where(ok[:, :, None], graph[np.where(ok, ids[a, pick], 0)], -1).reshape(len(active), -1)
+        closed[a, pick] = np.inf
+        near[near < 0] = none
+        row, column = np.nonzero(~seen[a, near])
+        _, first = np.unique(active[row] * (none + 1) + near[row, column], return_index=True)
+        new, row = near[row[first], column[first]], active[row[first]]
+        seen[row, new] = True
+        gap = x[new] - q[row]
+        far = np.einsum("ij,ij->i", gap, gap)
+        better = far < d.max(axis=1)[row]
+        row, new, far = row[better], new[better], far[better]
+        if not len(row):
+            continue
+        # rows are in order; each one's new nodes go beside its beam, and the nearest of both stay
+        size = np.bincount(row, minlength=n)
+        hit = np.flatnonzero(size)
+        at = (np.cumsum(size > 0) - 1)[row], np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        beside = np.full((len(hit), int(size.max())), -1, np.int64), np.full((len(hit), int(size.max())), np.inf, x.dtype)
+        beside[0][at], beside[1][at] = new, far
+        all_d = np.concatenate([d[hit], beside[1]], axis=1)
+        best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+        ids[hit] = np.take_along_axis(np.concatenate([ids[hit], beside[0]], axis=1), best, 1)
+        closed[hit] = np.take_along_axis(np.concatenate([closed[hit], beside[1]], axis=1), best, 1)
+        d[hit] = np.take_along_axis(all_d, best, 1)
+    order = np.argsort(d, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
 
 
 def robust_prune(x: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -407,42 +426,123 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
 
 def _graphs(keys: tuple, t: pa.Table) -> pa.Table:
     """A shard's rows with their out-neighbours, by place in the shard; entries are marked."""
-    t = t.sort_by("id")
+    t = t.combine_chunks().sort_by("id")
     x = np.array(t["embedding"].to_pylist(), np.float64)
-    graph, entry = build_graph(x)
+    graph, entry = build_graph(scaled(x)[0])
     is_entry = np.zeros(len(x), bool)
     is_entry[entry] = True
     return pa.table(
-        {"shard": t["shard"], "dim": t["dim"], "pos": pa.array(range(len(x)), pa.int32()), "id": t["id"], "v": pa.array([r.tobytes() for r in x], pa.binary()), "near": pa.array([r.tobytes() for r in graph.astype(np.int32)], pa.binary()), "entry": pa.array(is_entry)}
+        {"shard": t["shard"], "dim": t["dim"], "pos": pa.array(range(len(x)), pa.int32()), "id": t["id"], "least": t["least"], "v": pa.array([r.tobytes() for r in x], pa.binary()), "near": pa.array([r.tobytes() for r in graph.astype(np.int32)], pa.binary()), "entry": pa.array(is_entry)}
     )
 
 
+def scaled(*arrays: np.ndarray) -> list[np.ndarray]:
+    """Arrays in single precision for the search, scaled alike so that no square over- or underflows."""
+    most = max((float(np.abs(a).max()) for a in arrays if a.size), default=1.0)
+    return [(a / most).astype(np.float32) for a in arrays]
+
+
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in double precision."""
+    gap = x - q
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    odd = ~np.isfinite(d) | (d < 1e-150)  # squares that over- or underflow
+    if odd.any():
+        most = np.maximum(np.abs(gap[odd]).max(axis=1, keepdims=True), 5e-324)
+        d[odd] = most[:, 0] * np.sqrt(((gap[odd] / most) ** 2).sum(axis=1))
+    return d
+
+
 def _search(wanted: int, beam: int):
     def group(keys: tuple, shard: pa.Table, queries: pa.Table) -> pa.Table:
         if not shard.num_rows or not queries.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        shard = shard.sort_by("pos")
+        shard = shard.combine_chunks().sort_by("pos")
         n = shard.num_rows
         x = np.frombuffer(b"".join(shard["v"].to_pylist()), np.float64).reshape(n, -1)
         graph = np.frombuffer(b"".join(shard["near"].to_pylist()), np.int32).reshape(n, -1).astype(np.int64)
         entry = np.flatnonzero(shard["entry"].to_numpy())
-        ids = shard["id"].to_numpy()
+        ids, least = shard["id"].to_numpy(), shard["least"].to_numpy()
         q = np.array(queries["embedding"].to_pylist(), np.float64)
         names = queries["query_id"].to_numpy()
-        out = [], [], []
-        for s in range(0, len(q), 512):
-            found, d = beam_search(x, graph, entry, q[s : s + 512], beam)
-            found, d = found[:, :wanted], d[:, :wanted]
-            ok = found >= 0
-            out[0].append(np.repeat(names[s : s + 512], ok.sum(axis=1)))
-            out[1].append(ids[found[ok]])
-            out[2].append(np.sqrt(d[ok]))
-        return pa.table({"query_id": np.concatenate(out[0]), "id": np.concatenate(out[1]), "score": np.concatenate(out[2])})
+        width = max(int(beam * max(1.0, n / SHARD) ** 0.5), wanted + 8)
+        small, asked = scaled(x, q)
+        found = beam_search(small, graph, entry, asked, width)[0]
+        row, column = np.nonzero(found >= 0)
+        node = found[row, column]
+        score = np.concatenate([exact(x[node[s : s + 20_000]], q[row[s : s + 20_000]]) for s in range(0, len(node), 20_000)])
+        order = np.lexsort((ids[node], least[node], score, row))
+        row, node, score = row[order], node[order], score[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        keep = rank < wanted
+        return pa.table({"query_id": names[row[keep]], "id": ids[node[keep]], "score": score[keep]})
 
     return group
 
 
-def neighbours(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEIGHBOURS, shard_rows: int = SHARD, beam: int = QUERY_BEAM) -> DataFrame:
+def centroids(pts: DataFrame, shards: dict[int, int]) -> dict[int, np.ndarray]:
+    """For each vector length the centroids, as many as shards are wanted, from at most SAMPLE points, the first by a hash."""
+    if all(n == 1 for n in shards.values()):
+        return {}
+    got = pts.select("id", "embedding").orderBy(F.xxhash64("id", F.lit(13))).limit(SAMPLE).toPandas()
+    out = {}
+    for dim, rows in got.groupby(got["embedding"].map(len)):
+        if shards[dim] > 1:
+            out[int(dim)] = kmeans(np.stack(rows["embedding"].to_numpy()).astype(np.float64), min(shards[dim], CENTROIDS))
+    return out
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
+
+
+def _assign(books: dict):
+    """Own centroid of each vector and the distance to it."""
+
+    def run(vid, embedding):
+        out = {"id": vid, "cell": [0] * len(vid), "far": [0.0] * len(vid)}
+        dims: dict[int, list[int]] = {}
+        for i, e in enumerate(embedding):
+            dims.setdefault(len(e), []).append(i)
+        for dim, rows in dims.items():
+            if dim in books:
+                for s in range(0, len(rows), 1_000):
+                    part = rows[s : s + 1_000]
+                    d = _squares(np.array([embedding[i] for i in part], np.float64), books[dim])
+                    own = d.argmin(axis=1)
+                    for i, c, f in zip(part, own.tolist(), np.sqrt(d[np.arange(len(part)), own]).tolist(), strict=True):
+                        out["cell"][i], out["far"][i] = c, f
+        return out
+
+    return run
+
+
+def _others(books: dict, radius: dict):
+    """Cells beside its own that may hold something nearer to a query than ``score``."""
+
+    def run(query_id, embedding, cell, score):
+        out = {"query_id": [], "cell": []}
+        for name, e, own, most in zip(query_id, embedding, cell, score, strict=True):
+            book = books.get(len(e))
+            if book is None:
+                continue
+            x = np.array(e, np.float64)
+            d = np.sqrt(((book - x) ** 2).sum(axis=1))
+            between = np.sqrt(((book - book[own]) ** 2).sum(axis=1))
+            plane = (d * d - d[own] * d[own]) / np.maximum(2 * between, 1e-300)
+            least = np.maximum(plane, d - radius[len(e)])
+            may = np.flatnonzero((radius[len(e)] >= 0) & ((least <= most * (1 + 1e-6) + 1e-6 * d.max()) if most is not None else True))
+            found = [c for c in may.tolist() if c != own]
+            out["query_id"] += [name] * len(found)
+            out["cell"] += found
+        return out
+
+    return run
+
+
+def neighbours(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = NEIGHBOURS, shard_rows: int | None = None, beam: int = QUERY_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query. Rows with a null vec_id take no part,
     and a repeated vec_id is no neighbour of itself."""
     from pyspark.sql import Window
@@ -450,24 +550,62 @@ def neighbours(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int =
     rows = vectors.select("vec_id", "embedding").where(usable() & F.col("vec_id").isNotNull())
     # of equal vectors, the k + 1 smallest ids are all that k neighbours beside a query's own row can need
     first = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    pts = first.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    pts = materialise(pts.withColumn("dim", F.size("embedding")), "ann-points")
+    pts = first.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    # a vec_id may have several vectors, so points have names of their own
+    pts = materialise(pts.withColumn("dim", F.size("embedding")).withColumn("id", F.xxhash64(F.hex(F.to_json("embedding")))), "ann-points")
     counts = {r["dim"]: r["count"] for r in pts.groupBy("dim").count().collect()}
-    shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(max(1, -(-n // shard_rows)))) for d, n in counts.items()], F.lit(1))
-    graphs = pts.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int")).select("shard", "dim", "id", "embedding")
-    graphs = materialise(graphs.groupBy("shard", "dim").applyInArrow(_graphs, "shard int, dim int, pos int, id long, v binary, near binary, entry boolean"), "ann-graphs")
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), (shards - 1).cast("int"))))
-    stored = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["shard", "dim", "block"]
-    found = stored.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(_search(k + 1, max(beam, k + 1)), "query_id long, id long, score double")
-    found = materialise(found, "ann-found")
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("r") <= k + 1)
-    every = ranked.join(pts.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    size = {d: shard_rows or min(max(SHARD, n // SHARD_SHARE), SHARD_MOST) for d, n in counts.items()}
+    books = centroids(pts, {d: -(-n // size[d]) for d, n in counts.items()})
+    cells = materialise(map_rows(pts, ["id", "embedding"], "id long, cell int, far double", _assign, books=books), "ann-cells")
+    placed = pts.join(cells, "id").select("dim", "cell", "id", "least", "embedding", "far")
+    # a row for each centroid; its rows make one shard up to twice the size
+    found = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    radius = {d: np.full(len(b), -1.0) for d, b in books.items()}
+    for r in found:
+        if r["dim"] in radius:
+            radius[r["dim"]][r["cell"]] = r["far"] * (1 + 1e-9)
+    spark = vectors.sparkSession
+    parts = spark.createDataFrame([(r["dim"], r["cell"], -(-r["n"] // (2 * size[r["dim"]]))) for r in found], "dim int, cell int, parts int")
+    shard = (F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shard")
+    graphs = placed.join(F.broadcast(parts), ["dim", "cell"]).select(shard, "dim", "id", "least", "embedding")
+    graphs = materialise(graphs.groupBy("shard", "dim").applyInArrow(_graphs, "shard long, dim int, pos int, id long, least long, v binary, near binary, entry boolean"), "ann-graphs")
+    # of a repeated vec_id, the smallest vector asks
+    asking = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"))
+    own = map_rows(asking.withColumnRenamed("query_id", "id"), ["id", "embedding"], "id long, cell int, far double", _assign, books=books)
+    asking = materialise(asking.join(own.select(F.col("id").alias("query_id"), "cell"), "query_id"), "ann-queries")
+
+    def search(asked: DataFrame) -> DataFrame:
+        asked = asked.join(F.broadcast(parts), ["dim", "cell"]).withColumn("shard", F.explode(F.expr("transform(sequence(0, parts - 1), p -> cell * 4294967296 + p)")))
+        asked = materialise(asked.select("query_id", "embedding", "dim", "shard"), "ann-asked")
+        # a shard that more queries ask than one task should hold is there once for each block of them
+        blocks = F.broadcast(asked.groupBy("dim", "shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")))
+        asked = asked.join(blocks, ["dim", "shard"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+        stored = graphs.join(blocks, ["dim", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        keys = ["shard", "dim", "block"]
+        return materialise(stored.groupBy(keys).cogroup(asked.groupBy(keys)).applyInArrow(_search(k + 1, beam), "query_id long, id long, score double"), "ann-found")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("r") <= k + 1)
+
+    near = search(asking)
+    if books:
+        last = ranked(near).where(F.col("r") == k + 1).select("query_id", "score")
+        more = map_rows(asking.join(last, "query_id", "left"), ["query_id", "embedding", "cell", "score"], "query_id long, cell int", _others, books=books, radius=radius)
+        near = near.union(search(asking.drop("cell").join(more, "query_id")))
+    every = ranked_points(near, pts, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def ranked_points(found: DataFrame, pts: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of the rows of the k + 1 nearest points found, and of further ones at the same distance
+    as the last; a vec_id counts once, at its nearest vector."""
+    from pyspark.sql import Window
+
+    near = found.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy("score"))).where(F.col("r") <= k + 1)
+    rows = near.join(pts.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    return rows.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"))
