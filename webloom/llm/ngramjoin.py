@@ -15,11 +15,12 @@ it out without leaving out all the equal ones. So no linked pair is lost, at any
 segments of two shingles and more, which strangers seldom share.
 
 Equal sets are one vertex from the start, named by 128 bits; where two sets share the first 64, both get other
-names. A tile yields pairs of its smallest set with the others; once
+names. A tile yields pairs of one of its sets with the others; once
 these are judged, tiles whose members are still in different components are compared as a whole: bit counts
 of all their pairs across components, in blocks, and exact intersections of the pairs that remain. So
 groups of near copies cost pairs in proportion to their members, a passage that many documents share costs
-bit counts, and every pair of a tile is either compared or known to be connected. A set of many pairs meets
+bit counts, and every pair of a tile is either compared or known to be connected. A tile of many blocks is first compared
+within each block, which connects what is near, so that few pairs are left for the rest of its grid. A set of many pairs meets
 them in several places.
 
 Defined results: null and empty texts have no shingles and stay alone; with one to four words the whole
@@ -54,7 +55,11 @@ BLOCK = 1_000
 #: Pairs of one set that meet it in one place.
 HOT_PAIRS = 5_000
 #: Rows of small tiles that are compared together.
-ROWS = 10_000
+ROWS = 1_000
+#: Ways to choose the set of a tile that the others are tried with first.
+CENTRES = 4
+#: Places of the bitmap by which texts that nobody asks for are dropped before they are shuffled.
+WANTED_BITS = 1 << 27
 #: If a block leaves more possible pairs a row than this, only so many nearest ones of each row are tried in this
 #: round, and in the next one MORE times as many.
 NEAREST = 4
@@ -299,11 +304,12 @@ def _sets(buckets: int, id_bits: int):
 
 
 def _tiles(keys: tuple, t: pa.Table) -> pa.Table:
-    """A bucket's pairs (a, b) of each tile's smallest set with the others, and the memberships (b null) of the
-    tiles of three sets and more, of those with equal members once."""
+    """A bucket's pairs (a, b) of each tile's first set with the others, and the memberships (b null) of the
+    tiles of three sets and more, of those with equal members once. Which set is first follows from one of a few
+    orders; so sets of many common tiles are tried with a few of their group."""
     k = np.concatenate([np.frombuffer(x, np.uint32) for x in t["tiles"].to_pylist()])
     d = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(n, np.uint32)) for x, n in zip(t["nodes"].to_pylist(), t["times"].to_pylist(), strict=True)])
-    order = np.lexsort((d, k))
+    order = np.lexsort((mix(d.view(np.uint64) + (k % CENTRES) * MIX[2]), k))
     k, d = k[order], d[order]
     keep = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
     k, d = k[keep], d[keep]
@@ -313,7 +319,7 @@ def _tiles(keys: tuple, t: pa.Table) -> pa.Table:
     if not len(starts):
         return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "tile")})
     at = np.concatenate([np.arange(s + 1, s + n) for s, n in zip(starts, sizes, strict=True)])
-    pairs = np.unique(np.stack([np.repeat(d[starts], sizes - 1), d[at]]), axis=1)
+    pairs = np.unique(np.sort(np.stack([np.repeat(d[starts], sizes - 1), d[at]]), axis=0), axis=1)
     seen, a, tile = set(), [], []
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
         x = d[s : s + n]
@@ -424,7 +430,7 @@ def _block(most: int):
                     unfinished.append(int(tile[i]))
             out[0].append(np.minimum(a, b))
             out[1].append(np.maximum(a, b))
-        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in out)
+        a, b = np.unique(np.stack([np.concatenate(z) if z else np.empty(0, np.int64) for z in out]), axis=1)
         none = pa.nulls(len(unfinished), pa.int64())
         columns = {"a": [pa.array(a), none], "b": [pa.array(b), none], "tile": [pa.nulls(len(a), pa.int64()), pa.array(unfinished, pa.int64())]}
         return pa.table({k: pa.concat_arrays(v) for k, v in columns.items()})
@@ -462,13 +468,23 @@ def meet(pairs: DataFrame, arrays: DataFrame, end: str) -> DataFrame:
     return dealt.join(copied, [end, "place"]).drop("place")
 
 
+def asked_for(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the texts those whose row is wanted, and some others: by a bitmap of bounded size over hashes of the rows."""
+    spread = lambda df: df.withColumn("bit", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(WANTED_BITS))).withColumn("part", F.shiftright("bit", 15)).withColumn("bit", F.col("bit").bitwiseAND(32767))
+    bits = spread(wanted.select("row")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(shiftright(bit, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    has = F.expr("cast(bit & 7 as int)")
+    found = spread(texts).join(F.broadcast(bits), "part").where(F.call_function("bit_get", byte, has) == 1)
+    return found.drop("part", "bit", "bits")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_bits: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are linked, by exact intersection of their shingles."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     rows = sets.join(nodes, "id", "left_semi").groupBy("id", "d1", "d2").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("row"))
     wanted = materialise(rows, "ngram-wanted")
     # a repeated doc_id may bring other texts, which their sets' names tell apart, or the same text again
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row"), F.col("text").cast("binary").alias("text")).join(wanted, "row")
+    texts = asked_for(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("row"), F.col("text").cast("binary").alias("text")), wanted).join(wanted, "row")
     arrays = materialise(map_rows(texts, ["id", "d1", "d2", "text"], "id long, s binary", _own, id_bits=id_bits), "ngram-arrays")
     if arrays.count() > wanted.count():
         arrays = materialise(arrays.dropDuplicates(["id"]), "ngram-arrays")
@@ -513,17 +529,22 @@ def links(docs: DataFrame, id_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     pairs = materialise(map_rows(pairs, ["a", "b", "na", "nb", "bits_a", "bits_b"], "a long, b long", _possible), "ngram-pairs")
     judged, found = pairs, verify(pairs, docs, sets, id_bits)
     members = materialise(tiles.where("b is null").select("tile", F.col("a").alias("id")).distinct(), "ngram-members")
-    most, comp = NEAREST, connected_components(found)
+    most, near, comp = NEAREST, True, connected_components(found)
     while not members.isEmpty():
-        got = materialise(_across(open_tiles(members, comp), signs, most), "ngram-more")
-        more = materialise(got.where("tile is null").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "ngram-more")
+        open_ = open_tiles(members, comp)
+        large = open_.where(F.col("k") > BLOCK).select("tile").distinct()
+        near = near and not large.isEmpty()  # at first, large tiles are compared within their blocks alone
+        got = materialise(_across(open_, signs, most, near), "ngram-more")
+        tried = materialise(got.where("tile is null").select("a", "b").distinct(), "ngram-tried")
+        more = materialise(tried.join(judged, ["a", "b"], "left_anti"), "ngram-more")
         if not more.isEmpty():
             judged, new = judged.union(more), verify(more, docs, sets, id_bits)
             if not new.isEmpty():
                 found = found.union(new)
                 comp = connected_components(found)
-        members = materialise(members.join(got.where("tile is not null").select("tile").distinct(), "tile", "left_semi"), "ngram-members")
-        most *= MORE
+        left = got.where("tile is not null").select("tile")
+        members = materialise(members.join((left.union(large) if near else left).distinct(), "tile", "left_semi"), "ngram-members")
+        most, near = most if near else most * MORE, False
     return sets, comp
 
 
@@ -534,12 +555,14 @@ def open_tiles(members: DataFrame, comp: DataFrame) -> DataFrame:
     return materialise(placed.join(split.select("tile", "k"), "tile"), "ngram-open")
 
 
-def _across(members: DataFrame, signs: DataFrame, most: int) -> DataFrame:
+def _across(members: DataFrame, signs: DataFrame, most: int, near: bool) -> DataFrame:
     """Possible pairs (a, b) of open tiles' members in different components, and the tiles that have more of them.
-    A large tile is the upper half of a grid of blocks; small tiles are compared many at a time."""
+    A large tile is the upper half of a grid of blocks, or its diagonal alone; small tiles are compared many at a time."""
     together = max(1, -(-members.count() // ROWS))
     row = members.join(signs, "id").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     deal = F.expr("explode(transform(sequence(0, blocks - 1), o -> struct(int(own > o) as side, least(own, o) as x, greatest(own, o) as y)))")
+    if near:
+        deal = F.struct(F.lit(0).alias("side"), F.col("own").alias("x"), F.col("own").alias("y"))
     dealt = row.withColumn("d", deal).select("tile", "id", "n", "c", "bits", "d.side", "d.x", "d.y", F.when(F.col("blocks") > 1, F.col("tile")).otherwise(F.pmod(F.xxhash64("tile"), F.lit(together))).alias("dealt"))
     return dealt.groupBy("dealt", "x", "y").applyInArrow(_block(most), "a long, b long, tile long")
 
