@@ -118,3 +118,10 @@ def test_verbs(spark):
     assert api.Options().over({"only_main": False, "nope": 1, "include": ["a"]}) == api.Options(only_main=False, include=("a",))
     assert describe({"a": list(range(2000))})["a"][-1] == 999 and describe("x" * 99, budget=10)["truncated"] == "str"
     assert describe([[[[[[[1]]]]]]]) == [[[[[[{"truncated": "array", "size": 1}]]]]]]
+
+
+def test_files_with_bad_bytes(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "b.html").write_bytes(b"<p>a\xff\xfeb\xc3</p>")
+    row = source.read_files(spark, str(tmp_path / "raw"), "https://h/").first()
+    assert (row.url, row.html) == ("https://h/b.html", "<p>a\ufffd\ufffdb\ufffd</p>")

@@ -48,7 +48,7 @@ def value(spark, duck, make, *args):
 
 @pytest.mark.parametrize(
     "url,want",
-    [("https://EX.com:443/a/?utm_source=x&b=1&ref=q#f", "ex.com/a?b=1"), ("http://ex.com:8080/", "ex.com:8080"), ("http://ex.com", "ex.com"), ("Not A Url/#x", "not a url"), ("https://e.com/p?FBCLID=1&q=%20", "e.com/p?q=%20")],
+    [("https://EX.com:443/a/?utm_source=x&b=1&ref=q#f", "ex.com/a?b=1"), ("http://ex.com:8080/", "ex.com:8080"), ("http://ex.com", "ex.com"), ("Not A Url/#x", "not a url"), ("https://e.com/p?FBCLID=1&q=%20", "e.com/p?q=+"), ("Example.COM/A/?utm_source=q&b=1", "example.com/A?b=1"), (" https://h/a/../b/./c/ ", "h/b/c"), ("https://h/?utm%5Fsource=1&x=%C3%A9*~&y", "h?x=%C3%A9*%7E&y="), ("https://h/a/..", "h")],
 )
 def test_canonical_key(spark, duck, url, want):
     assert value(spark, duck, urls.canonical_key, url) == want
@@ -56,7 +56,7 @@ def test_canonical_key(spark, duck, url, want):
 
 @pytest.mark.parametrize(
     "ref,want",
-    [("/x", "https://s.example/x"), ("y", "https://s.example/a/y"), ("?q", "https://s.example/a/b?q"), ("#f", "#f"), ("//c/z", "https://c/z"), ("mailto:a", "mailto:a")],
+    [("/x", "https://s.example/x"), ("y", "https://s.example/a/y"), ("?q", "https://s.example/a/b?q"), ("#f", "#f"), ("//c/z", "https://c/z"), ("../x", "https://s.example/x"), ("./c/../d?e=/../f#../g", "https://s.example/a/d?e=/../f#../g"), ("/p/./q/..", "https://s.example/p/"), ("../../../z", "https://s.example/z"), ("mailto:a", "mailto:a")],
 )
 def test_resolve(spark, duck, ref, want):
     assert value(spark, duck, urls.resolve, "https://s.example/a/b", ref) == want
@@ -90,3 +90,16 @@ def test_entry_imports_without_the_optional_parts(spark):
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.queries())
     assert e._optional("webloom.no_such_part") is None
     assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [("<div id=cf-chl-x>", True), ("cf-turnstile", True), ("just a moment", True), ("x datadome y", True), ("geo.captcha-delivery", True), ("verify you are human", True), ("checking your browser", True), ("captcha", False), ("access denied", False), ("", False)],
+)
+def test_wall_markers(spark, duck, body, want):
+    assert value(spark, duck, lambda d, x: signals.any_of(d, x, signals.WALL_MARKERS), body) is want
+
+
+def test_assets_end_with_their_extension(spark, duck):
+    assert value(spark, duck, signals.is_asset, "/a/B.JS") is True
+    assert value(spark, duck, signals.is_asset, "/a/b.js/c") is False and value(spark, duck, signals.is_asset, "/ajs") is False

@@ -37,6 +37,21 @@ class Spark:
     def transform(self, xs: str, v: str, to: str) -> str:
         return f"transform({xs}, {v} -> {to})"
 
+    def fold(self, xs: str, a: str, x: str, step: str) -> str:
+        """Strings folded into one that begins empty."""
+        return f"aggregate({xs}, CAST('' AS STRING), ({a}, {x}) -> {step})"
+
+    def let(self, name: str, value: str, body: str) -> str:
+        """body with a name for a value that it uses often."""
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+    def decoded(self, x: str) -> str:
+        """Percent-decoded text of a form; as it is where that is no text."""
+        return f"coalesce(try_url_decode({x}), {x})"
+
+    def encoded(self, x: str) -> str:
+        return f"url_encode({x})"
+
     def size(self, xs: str) -> str:
         return f"CAST(size({xs}) AS BIGINT)"
 
@@ -104,6 +119,18 @@ class Duck(Spark):
     def transform(self, xs: str, v: str, to: str) -> str:
         return f"list_transform({xs}, lambda {v}: {to})"
 
+    def fold(self, xs: str, a: str, x: str, step: str) -> str:
+        return f"list_reduce(list_concat([''], {xs}), lambda {a}, {x}: {step})"
+
+    def let(self, name: str, value: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def decoded(self, x: str) -> str:
+        return f"url_decode(replace({x}, '+', ' '))"
+
+    def encoded(self, x: str) -> str:
+        return f"replace(replace(replace(url_encode({x}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
     def size(self, xs: str) -> str:
         return f"CAST(len({xs}) AS BIGINT)"
 

@@ -63,27 +63,41 @@ def is_tracking(d: Spark, name: str) -> str:
     return f"({d.starts(n, d.lit('utm_'))} OR {n} IN ('ref', 'fbclid'))"
 
 
+def without_dots(d: Spark, p: str) -> str:
+    """A path that begins with a slash, its dot segments resolved."""
+    step = f"CASE WHEN x = '.' THEN a WHEN x = '..' THEN {d.replace('a', '/[^/]*$')} ELSE a || '/' || x END"
+    folded = d.fold(d.split(f"substr({p}, 2)", "/"), "a", "x", step)
+    return f"CASE WHEN NOT contains({p}, '/.') THEN {p} WHEN {d.rlike(p, r'/[.][.]?$')} THEN {folded} || '/' ELSE {folded} END"
+
+
 def canonical_key(d: Spark, u: str) -> str:
-    """no scheme, lower host, port unless it is the scheme's own, path without trailing slashes,
-    parameters in order without trackers, no fragment; a URL without host is lowered and cut at its fragment."""
-    name = d.extract("p", r"^([^=]*)")
-    kept = d.join(d.filter(d.split(query(d, u), "&"), "p", f"p <> '' AND NOT {is_tracking(d, name)}"), "&")
-    own = f"CASE WHEN {port(d, u)} = '' OR ({scheme(d, u)} = 'http' AND {port(d, u)} = '80') OR ({scheme(d, u)} = 'https' AND {port(d, u)} = '443') THEN '' ELSE ':' || {port(d, u)} END"
-    full = f"{host(d, u)} || {own} || {d.replace(path(d, u), '/+$')} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END"
-    return f"CASE WHEN {host(d, u)} <> '' THEN {full} ELSE lower({d.replace(without_fragment(d, u), '/+$')}) END"
+    """no scheme, lower host, port unless it is the scheme's own, path without dot segments and trailing
+    slashes, parameters in order without trackers and written anew, no fragment. What has no scheme is read as
+    https; what has no host even then, or one with white space, is lowered and cut at its fragment."""
+    raw = f"trim({u})"
+    url = f"CASE WHEN {has_scheme(d, raw)} AND contains({raw}, '://') THEN {raw} ELSE 'https://' || {raw} END"
+    name, value = d.decoded(d.extract("p", r"^([^=]*)")), d.decoded(d.extract("p", r"^[^=]*=(.*)$"))
+    pairs = d.filter(d.split(query(d, "w"), "&"), "p", f"p <> '' AND NOT {is_tracking(d, name)}")
+    kept = d.join(d.transform(pairs, "p", f"{d.encoded(name)} || '=' || {d.encoded(value)}"), "&")
+    own = f"CASE WHEN {port(d, 'w')} = '' OR ({scheme(d, 'w')} = 'http' AND {port(d, 'w')} = '80') OR ({scheme(d, 'w')} = 'https' AND {port(d, 'w')} = '443') THEN '' ELSE ':' || {port(d, 'w')} END"
+    full = f"{host(d, 'w')} || {own} || {d.replace(without_dots(d, path(d, 'w')), '/+$')} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END"
+    key = f"CASE WHEN {raw} = '' THEN '' WHEN {host(d, 'w')} <> '' AND NOT {d.rlike(host(d, 'w'), r'[\s<>^|%]')} THEN {full} ELSE lower({d.replace(without_fragment(d, raw), '/+$')}) END"
+    return d.let("w", url, key)
 
 
 def resolve(d: Spark, base: str, ref: str) -> str:
-    """F01 for references that a template usually holds: absolute, protocol-relative, root-relative, query,
-    fragment and plain relative ones (dot segments of plain ones are left to the Python form)."""
+    """absolute, protocol-relative, root-relative, query, fragment and plain relative references; dot segments
+    of relative paths are resolved."""
     root = f"{d.extract(base, r'^([A-Za-z][A-Za-z0-9+.-]*)://')} || '://' || {authority(d, base)}"
     folder = d.extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^/?#]*)*/)")
+    place, rest = d.extract(ref, r"^([^?#]*)"), d.extract(ref, r"^[^?#]*(.*)$")
+    below = f"CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {place}"
     return (
         f"CASE WHEN {ref} = '' OR {d.starts(ref, d.lit('#'))} OR {has_scheme(d, ref)} THEN {ref} "
         f"WHEN {d.starts(ref, d.lit('//'))} THEN {d.extract(base, r'^([A-Za-z][A-Za-z0-9+.-]*):')} || ':' || {ref} "
-        f"WHEN {d.starts(ref, d.lit('/'))} THEN {root} || {ref} "
+        f"WHEN {d.starts(ref, d.lit('/'))} THEN {root} || {without_dots(d, place)} || {rest} "
         f"WHEN {d.starts(ref, d.lit('?'))} THEN {d.extract(base, r'^([^?#]*)')} || {ref} "
-        f"ELSE {root} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {ref} END"
+        f"ELSE {root} || {d.let('b', below, without_dots(d, 'b'))} || {rest} END"
     )
 
 

@@ -13,10 +13,13 @@ from webloom.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests), a temporary folder is made and set."""
+    """The folder in spark.checkpoint.dir; where it is unset, as in local tests, a temporary folder is made and set. On
+    a cluster that raises ValueError, as executors would not share it."""
     ship(spark)
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="webloom-shared-")
         atexit.register(shutil.rmtree, at, True)
         spark.conf.set("spark.checkpoint.dir", at)

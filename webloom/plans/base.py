@@ -29,7 +29,7 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def both(name: str, operators: str, text: Callable[[Spark], str], compared: Callable[[Spark], str] | None = None) -> None:
     """Register a query whose SQL text both engines understand; operators: ids of the survey's inventory;
-    compared: the text of its SQL where that covers fewer rows than the query (see the README)."""
+    compared: another text for the same rows, where a plainer one is at hand."""
     QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, text(SPARK))
     ORACLE_SQL[name] = (compared or text)(DUCK)
     OPERATORS[name] = operators

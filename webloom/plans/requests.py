@@ -103,7 +103,7 @@ def _challenge(d: Spark) -> str:
     every = f"SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 403 ELSE 200 END AS status, '' AS headers, html AS body FROM pages UNION ALL SELECT * FROM (VALUES {rows}) AS v(page_id, status, headers, body)"
     low = f"SELECT page_id, status, {d.replace(u.ascii_lower('headers'), ': +', ':')} AS headers, {u.ascii_lower('body')} AS body, {t.solid_length(d, d.replace('body', '<[^>]*>', ' '))} AS solid FROM ({every})"
     return f"""SELECT page_id, {s.challenge(d, "status", "headers", "body", "solid")} AS challenge, status IN {s.BLOCKING} AS blocking, status IN (429, 503) AS retryable, status BETWEEN 200 AND 299 AS ok,
-        solid > 0 AND solid * 5 < 1000 AS collapsed, {s.any_of(d, "body", ("captcha", "datadome", "just a moment", "access denied"))} AS wall FROM ({low})"""
+        solid > 0 AND solid * 5 < 1000 AS collapsed, {s.any_of(d, "body", s.WALL_MARKERS)} AS wall FROM ({low})"""
 
 
 # Hits that stand in for result lists: an engine ranks its users by value.
@@ -111,9 +111,9 @@ HITS = """SELECT event_type AS engine, row_number() OVER (PARTITION BY event_typ
     CASE WHEN event_id % 2 = 0 THEN 'https://S.example/u/' ELSE 'http://s.example/u/' END || CAST(user_id AS VARCHAR(20)) || CASE WHEN event_id % 5 = 0 THEN '/?utm_source=q' ELSE '' END AS url FROM events"""
 
 
-def _fusion(d: Spark, only: str = "") -> str:
+def _fusion(d: Spark) -> str:
     """The limit is applied after all hits are merged and sorted."""
-    keyed = f"SELECT *, {u.canonical_key(d, 'url')} AS k, {d.octets('trim(title)')} + {d.octets('trim(description)')} AS rich FROM (SELECT * FROM ({HITS}){only})"
+    keyed = f"SELECT *, {u.canonical_key(d, 'url')} AS k, {d.octets('trim(title)')} + {d.octets('trim(description)')} AS rich FROM ({HITS})"
     per = f"SELECT k, engine, min(rank) AS best FROM ({keyed}) GROUP BY k, engine"
     fused = f"SELECT k, round(sum(CAST(1.0 AS DOUBLE) / best), 9) AS score, min(best) AS best_rank, {d.ordered('engine', ',', 'engine')} AS engines, count(*) AS n_engines FROM ({per}) GROUP BY k"
     first = f"SELECT k, url, title, engine FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank, rich DESC, url, title, engine) AS r FROM ({keyed})) WHERE r = 1"
@@ -121,8 +121,8 @@ def _fusion(d: Spark, only: str = "") -> str:
         SELECT f.*, o.url, o.title, row_number() OVER (ORDER BY f.score DESC, f.best_rank, o.url, o.title, o.engine) AS position FROM ({fused}) f JOIN ({first}) o ON f.k = o.k) WHERE position <= 100"""
 
 
-def _enriched(d: Spark, only: str = "") -> str:
-    hits = f"SELECT * FROM ({HITS}){only}"
+def _enriched(d: Spark) -> str:
+    hits = HITS
     docs = f"SELECT page_id, {d.extract('html', '(?is)<title[^>]*>(.*?)</title>')} AS page_title, CASE WHEN page_id % 4 = 0 THEN 'error' ELSE 'success' END AS status FROM pages"
     return f"""SELECT h.engine, CAST(h.rank AS BIGINT) AS rank, h.url, coalesce(p.page_title, h.title) AS title, coalesce(p.status, 'missing') AS status FROM ({hits}) h
         LEFT JOIN (SELECT * FROM ({docs}) WHERE status = 'success') p ON TRY_CAST({d.extract("h.url", "/u/([0-9]+)")} AS BIGINT) = p.page_id"""
@@ -132,7 +132,7 @@ def _engines(d: Spark) -> str:
     names = ("duckduckgo", "bing", "brave", "baidu", "zapmeta", "yandex", "view", "click")
     rows = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
     counts = f"SELECT engine, count(*) AS n FROM ({HITS}) GROUP BY engine"
-    return f"""SELECT e.ord, e.engine, CASE WHEN c.n IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(c.n, 0) AS results, 'https://' || e.engine || '.example/?q=' || replace('a b', ' ', '+') AS search_url,
+    return f"""SELECT e.ord, e.engine, CASE WHEN c.n IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(c.n, 0) AS results, 'https://' || e.engine || '.example/?' || CASE e.engine WHEN 'baidu' THEN 'wd' WHEN 'yandex' THEN 'text' ELSE 'q' END || '=' || replace('a b', ' ', '+') AS search_url,
         max(CASE WHEN c.n IS NOT NULL THEN 1 ELSE 0 END) OVER () = 0 AS all_failed FROM (SELECT CAST(ord AS BIGINT) AS ord, engine FROM (VALUES {rows}) AS v(ord, engine)) e LEFT JOIN ({counts}) c ON e.engine = c.engine"""
 
 
@@ -144,6 +144,6 @@ both("endpoint_replay", "J05 G07 M02 M03 D24 D25 E38", _replay)
 both("robots_decisions", "A08 E01 E02 E03 E04 G04", _robots)
 both("robots_sitemaps", "A07 A08", _robot_sitemaps)
 both("challenge_flags", "E06 E07 E08 E09 E10 E12 E13 E36 E37 E38 F13 G05", _challenge)
-both("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _fusion, compared=lambda d: _fusion(d, " WHERE rank <= 200"))
-both("hits_enriched", "G01 G02 M13", _enriched, compared=lambda d: _enriched(d, " WHERE rank <= 100"))
+both("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _fusion)
+both("hits_enriched", "G01 G02 M13", _enriched)
 both("engine_outcomes", "A09 A10 D37 D38 I08 M14", _engines)

@@ -15,7 +15,7 @@ def read_files(spark: SparkSession, path: str, base_url: str) -> DataFrame:
     """Raw HTML files as pages: the path below base_url is the URL; bytes that are not UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(
-        F.xxhash64("path").alias("page_id"), F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_extract("path", "([^/]*)$", 1)).alias("url"), F.decode("content", F.lit("UTF-8")).alias("html")
+        F.xxhash64("path").alias("page_id"), F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_extract("path", "([^/]*)$", 1)).alias("url"), F.make_valid_utf8(F.col("content").cast("string")).alias("html")
     )
 
 
