@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -95,13 +96,26 @@ def test_sources(spark, tmp_path):
 
 
 def test_session_store(spark, tmp_path):
-    rows = [(1, "2024-01-01 00:00:00", "open"), (1, "2024-01-01 00:00:30", "click"), (1, "2024-01-01 00:02:00", "open"), (2, "2024-01-01 00:00:00", "open"), (2, "2024-01-01 00:00:05", "close")]
-    spark.createDataFrame(rows, "session_id long, ts string, type string").selectExpr("session_id", "cast(ts AS timestamp) ts", "type").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session_id long, ts timestamp, type string").parquet(str(tmp_path / "in"))
-    q = sessions.session_store(stream).writeStream.format("memory").queryName("store").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.session_id: (r.n, r.open) for r in spark.table("store").collect()}
-    assert got == {1: (1, True), 2: (2, False)}
+    first = [(1, "2024-01-01 00:00:00", "open"), (1, "2024-01-01 00:00:30", "click"), (1, "2024-01-01 00:02:00", "open"), (2, "2024-01-01 00:00:00", "open"), (2, "2024-01-01 00:00:05", "close")]
+    later = [(3, "2024-01-01 01:00:00", "open")]
+    for i, rows in enumerate((first, later, [(3, "2024-01-01 01:00:10", "click")])):
+        spark.createDataFrame(rows, "session_id long, ts string, type string").selectExpr("session_id", "cast(ts AS timestamp) ts", "type").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema("session_id long, ts timestamp, type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = sessions.session_store(stream).writeStream.format("memory").queryName("store").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = sorted((r.session_id, r.n, r.state) for r in spark.table("store").collect())
+    # the silent second session of 1 expires by the clock of the others' events
+    assert got == [(1, 1, "expired"), (1, 1, "open"), (1, 2, "expired"), (2, 2, "closed"), (3, 1, "open"), (3, 2, "open")]
+
+
+def test_bad_patterns_are_named(spark):
+    links = spark.createDataFrame([("https://h/", 0, "https://h/a"), ("https://h/", 1, "https://h/b"), ("https://h/", 2, "https://h/c/a")], "url string, pos int, link string")
+    with pytest.raises(ValueError, match=r"invalid excludePaths pattern '\(x'"):
+        crawl(links, "https://h/", exclude=["ok", "(x"])
+    with pytest.raises(ValueError, match="invalid includePaths pattern"):
+        crawl(links, "https://h/", include="[")
+    assert sorted(r.url for r in crawl(links, "https://h/", include=["^/a", "^/b", "^/c"], exclude=["^/c/"]).collect()) == ["https://h/", "https://h/a", "https://h/b"]
 
 
 def test_verbs(spark):

@@ -192,9 +192,14 @@ def links(doc: Element, url: str) -> list[str]:
     return list(out)
 
 
-def scrape(source: str | None, url: str | None, status: int = 200, content_type: str = "text/html", only_main: bool = True, include: list[str] = (), exclude: list[str] = ()) -> dict:
-    """markdown, incomplete, metadata, html and links of one page; a page that fails has its error said."""
+FORMATS = ("markdown", "html", "links", "metadata")
+
+
+def scrape(source: str | None, url: str | None, status: int = 200, content_type: str = "text/html", only_main: bool = True, include: list[str] = (), exclude: list[str] = (), formats: tuple[str, ...] = FORMATS) -> dict:
+    """markdown, incomplete, metadata, html and links of one page; a page that fails has its error said. What is
+    not among formats is not built and is None, and so is incomplete without markdown."""
     url, source = url or "", source or ""
+    out = dict.fromkeys(("markdown", "incomplete", "metadata", "html", "links", "error"))
     try:
         media = content_type.split(";")[0].strip().lower()
         if media == "application/json" or media.endswith("+json"):
@@ -202,12 +207,22 @@ def scrape(source: str | None, url: str | None, status: int = 200, content_type:
                 md = json.dumps(json.loads(source), indent=2, ensure_ascii=False)
             except ValueError:
                 md = source.strip()
-            return {"markdown": md, "incomplete": False, "metadata": metadata(parse(""), url, status, content_type), "html": source, "links": [], "error": None}
+            made = {"markdown": md, "incomplete": False, "metadata": metadata(parse(""), url, status, content_type), "html": source, "links": []}
+            return out | {k: v for k, v in made.items() if k in formats or k == "incomplete" and "markdown" in formats}
         kept = filter_tags(source, include, exclude)
         doc = parse(kept)
-        meta, found = metadata(doc, url, status, content_type), links(doc, url)
+        if "metadata" in formats:
+            out["metadata"] = metadata(doc, url, status, content_type)
+        if "links" in formats:
+            out["links"] = links(doc, url)
+        if "html" not in formats and "markdown" not in formats:
+            return out
         body = clean_tree(doc, url, only_main)
-        html, md = inner(body), post_process(render(body))
+        if "html" in formats:
+            out["html"] = inner(body)
+        if "markdown" not in formats:
+            return out
+        md = post_process(render(body))
         if only_main and solid(md) < THIN:
             whole = clean_tree(parse(kept), url, False)
             article = readable(whole)
@@ -220,7 +235,7 @@ def scrape(source: str | None, url: str | None, status: int = 200, content_type:
         lines = md.split("\n")
         loading = [is_skeleton(x) for x in lines]
         md = re.sub(r"\n{3,}", "\n\n", "\n".join(x for x, s in zip(lines, loading, strict=True) if not s))
-        return {"markdown": md, "incomplete": sum(loading) >= SKELETONS, "metadata": meta, "html": html, "links": found, "error": None}
+        return out | {"markdown": md, "incomplete": sum(loading) >= SKELETONS}
     except RecursionError as e:
         return {"markdown": "", "incomplete": True, "metadata": {"url": url}, "html": "", "links": [], "error": str(e)}
 

@@ -1,92 +1,224 @@
-"""CSS selectors: compounds of tag, #id, .class, [attribute] tests and :first-child, descendant and child combinators, lists."""
+"""CSS selectors: types, ids, classes, attribute tests, structural pseudo-classes, :not, :is, :where and :has;
+descendant, child and sibling combinators; lists."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from webloom.html.tree import Element
 
-PART = re.compile(r"""\s*(?:(>)\s*|(,)\s*)?((?:\*|[\w-]+)?(?:#[\w-]+|\.[\w-]+|\[[^\]]+\]|:first-child|:last-child)*)""")
-SIMPLE = re.compile(r"""#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:(first|last)-child""")
+IDENT = re.compile(r"-?(?:[^\W\d]|[-_])[\w-]*")
+ATTRIBUTE = re.compile(r"""\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*([iIsS])?\s*)?\]""")
+COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+STEP = re.compile(r"\s*(?:(odd|even)|([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+))\s*", re.I)
+#: name of the pseudo-class: (counted from the end, among equal tags only, the steps where they are fixed)
+NTH = {
+    "first-child": (False, False, (0, 1)), "last-child": (True, False, (0, 1)), "first-of-type": (False, True, (0, 1)), "last-of-type": (True, True, (0, 1)),
+    "nth-child": (False, False, None), "nth-last-child": (True, False, None), "nth-of-type": (False, True, None), "nth-last-of-type": (True, True, None),
+}
+
+Places = dict[int, dict[int, tuple]]
+Test = Callable[[Element, Places], bool]
 
 
 class SelectorError(ValueError):
     pass
 
 
+def _place(e: Element, places: Places) -> tuple[int, int, int, int, Element | None]:
+    """(index, rest, index and rest among equal tags, element before) of an element among its siblings; a parent's
+    children are counted once a search."""
+    if e.parent is None:
+        return 0, 0, 0, 0, None
+    if id(e.parent) not in places:
+        family = [c for c in e.parent.children if isinstance(c, Element)]
+        tags: dict[str, int] = {}
+        for c in family:
+            tags[c.tag] = tags.get(c.tag, 0) + 1
+        seen: dict[str, int] = {}
+        of = places[id(e.parent)] = {}
+        for i, c in enumerate(family):
+            k = seen.get(c.tag, 0)
+            seen[c.tag] = k + 1
+            of[id(c)] = (i, len(family) - 1 - i, k, tags[c.tag] - 1 - k, family[i - 1] if i else None)
+    return places[id(e.parent)][id(e)]
+
+
+def _nth(last: bool, typed: bool, a: int, b: int) -> Test:
+    def test(e: Element, places: Places) -> bool:
+        n = _place(e, places)[2 * typed + last] + 1 - b
+        return n == 0 if a == 0 else n % a == 0 and n // a >= 0
+
+    return test
+
+
+def _attribute(name: str, op: str | None, value: str, fold: bool) -> Test:
+    want = value.lower() if fold else value
+
+    def test(e: Element, places: Places) -> bool:
+        got = e.attrs.get(name)
+        if got is None or op is None:
+            return got is not None
+        got = got.lower() if fold else got
+        if op == "=":
+            return got == want
+        if op == "|=":
+            return got == want or got.startswith(want + "-")
+        if op == "~=":
+            return want in got.split()
+        return bool(want) and (got.startswith(want) if op == "^=" else got.endswith(want) if op == "$=" else want in got)
+
+    return test
+
+
+class _Reader:
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def fail(self):
+        raise SelectorError(f"bad selector {self.text!r}")
+
+    def match(self, pattern: re.Pattern) -> re.Match | None:
+        m = pattern.match(self.text, self.at)
+        if m:
+            self.at = m.end()
+        return m
+
+    def take(self, token: str) -> bool:
+        if self.text.startswith(token, self.at):
+            self.at += len(token)
+            return True
+        return False
+
+    def ident(self) -> str:
+        return (self.match(IDENT) or self.fail())[0]
+
+    def lists(self) -> list[list[tuple[str, tuple[Test, ...]]]]:
+        """Chains up to the end, or up to a parenthesis that closes."""
+        out = [self.chain()]
+        while self.match(re.compile(r"\s*,\s*")):
+            out.append(self.chain())
+        self.match(re.compile(r"\s+"))
+        return out
+
+    def chain(self) -> list[tuple[str, tuple[Test, ...]]]:
+        chain, sign = [], " "
+        while True:
+            chain.append((sign, self.compound()))
+            back, m = self.at, self.match(COMBINATOR)
+            if not m:
+                return chain
+            sign = m[1] or " "
+            if not m[1] and (self.at == len(self.text) or self.text[self.at] in ",)"):
+                self.at = back
+                return chain
+
+    def compound(self) -> tuple[Test, ...]:
+        tests, begin = [], self.at
+        if not self.take("*"):
+            m = self.match(IDENT)
+            if m:
+                tag = m[0].lower()
+                tests.append(lambda e, places: e.tag == tag)
+        while self.at < len(self.text) and self.text[self.at] in "#.[:":
+            tests.append(self.simple())
+        if self.at == begin:
+            self.fail()
+        return tuple(tests)
+
+    def simple(self) -> Test:
+        if self.take("#"):
+            name = (self.match(re.compile(r"[\w-]+")) or self.fail())[0]
+            return lambda e, places: e.attrs.get("id") == name
+        if self.take("."):
+            name = self.ident()
+            return lambda e, places: name in e.classes()
+        if self.text[self.at] == "[":
+            m = self.match(ATTRIBUTE) or self.fail()
+            return _attribute(m[1].lower(), m[2], m[3] or m[4] or m[5] or "", (m[6] or "").lower() == "i")
+        self.take(":")
+        return self.pseudo(self.ident().lower())
+
+    def pseudo(self, name: str) -> Test:
+        if name in NTH:
+            last, typed, steps = NTH[name]
+            return _nth(last, typed, *(steps or self.steps()))
+        if name in ("only-child", "only-of-type"):
+            k = 2 * (name == "only-of-type")
+            return lambda e, places: _place(e, places)[k] == _place(e, places)[k + 1] == 0
+        if name == "empty":
+            return lambda e, places: not any(isinstance(c, Element) or c for c in e.children)
+        if name == "root":
+            return lambda e, places: e.parent is None or e.parent.tag == "#document"
+        if name not in ("not", "is", "where", "has") or not self.take("("):
+            self.fail()
+        self.match(re.compile(r"\s+"))
+        if name == "has":
+            direct = bool(self.match(re.compile(r">\s*")))
+        chains = self.lists()
+        if not self.take(")"):
+            self.fail()
+        if name == "has":
+            below = lambda e: (c for c in e.children if isinstance(c, Element)) if direct else e.walk()
+            return lambda e, places: any(_fits(x, c, len(c) - 1, places) for x in below(e) for c in chains)
+        want = name != "not"
+        return lambda e, places: any(_fits(e, c, len(c) - 1, places) for c in chains) is want
+
+    def steps(self) -> tuple[int, int]:
+        if not self.take("("):
+            self.fail()
+        m = self.match(STEP)
+        if not m or not self.take(")"):
+            self.fail()
+        if m[1]:
+            return 2, int(m[1].lower() == "odd")
+        if m[5]:
+            return 0, int(m[5])
+        return int(m[2] + "1" if m[2] in ("", "+", "-") else m[2]), int((m[3] or "") + (m[4] or "0"))
+
+
 @lru_cache(maxsize=4096)
-def compile_selector(text: str) -> list[list[tuple[str, tuple]]]:
+def compile_selector(text: str) -> list[list[tuple[str, tuple[Test, ...]]]]:
     """Alternatives, each a chain of (combinator, compound), innermost last."""
-    out, chain, at = [], [], 0
-    text = text.strip()
-    if not text:
+    r = _Reader(text.strip())
+    if not r.text:
         raise SelectorError("empty selector")
-    while at < len(text):
-        m = PART.match(text, at)
-        if not m or not m[3]:
-            raise SelectorError(f"bad selector {text!r}")
-        if m[2]:
-            if not chain:
-                raise SelectorError(f"bad selector {text!r}")
-            out.append(chain)
-            chain = []
-        if m[1] and not chain:
-            raise SelectorError(f"bad selector {text!r}")
-        body = m[3]
-        tag = re.match(r"\*|[\w-]*", body)[0]
-        tests = tuple((s[1], s[2], s[3], s[4], s[5] or s[6] or s[7] or "", s[8]) for s in SIMPLE.finditer(body, len(tag)))
-        if sum(len(s[0]) for s in SIMPLE.finditer(body, len(tag))) != len(body) - len(tag):
-            raise SelectorError(f"bad selector {text!r}")
-        chain.append((">" if m[1] else " ", (tag.lower() if tag not in ("", "*") else "", tests)))
-        at = m.end()
-    out.append(chain)
+    out = r.lists()
+    if r.at != len(r.text):
+        r.fail()
     return out
 
 
-def _is(e: Element, compound: tuple) -> bool:
-    tag, tests = compound
-    if tag and e.tag != tag or e.tag == "#document":
-        return False
-    for ident, cls, attr, op, value, nth in tests:
-        if ident:
-            if e.attrs.get("id") != ident:
-                return False
-        elif cls:
-            if cls not in e.classes():
-                return False
-        elif nth:
-            family = [c for c in e.parent.children if isinstance(c, Element)] if e.parent else [e]
-            if family[0 if nth == "first" else -1] is not e:
-                return False
-        else:
-            got = e.attrs.get(attr.lower())
-            if got is None:
-                return False
-            if op and not {"=": got == value, "~=": value in got.split(), "^=": bool(value) and got.startswith(value), "$=": bool(value) and got.endswith(value), "*=": bool(value) and value in got, "|=": got == value or got.startswith(value + "-")}[op]:
-                return False
-    return True
-
-
-def _fits(e: Element, chain: list, k: int) -> bool:
-    if not _is(e, chain[k][1]):
+def _fits(e: Element, chain: list, k: int, places: Places) -> bool:
+    if e.tag == "#document" or not all(test(e, places) for test in chain[k][1]):
         return False
     if k == 0:
         return True
-    if chain[k][0] == ">":
-        return e.parent is not None and _fits(e.parent, chain, k - 1)
-    return any(_fits(a, chain, k - 1) for a in e.ancestors())
+    sign = chain[k][0]
+    if sign == ">":
+        return e.parent is not None and _fits(e.parent, chain, k - 1, places)
+    if sign == " ":
+        return any(_fits(a, chain, k - 1, places) for a in e.ancestors())
+    before = _place(e, places)[4]
+    while before is not None:
+        if _fits(before, chain, k - 1, places):
+            return True
+        before = None if sign == "+" else _place(before, places)[4]
+    return False
 
 
 def matches(e: Element, selector: str) -> bool:
-    return any(_fits(e, c, len(c) - 1) for c in compile_selector(selector))
+    places: Places = {}
+    return any(_fits(e, c, len(c) - 1, places) for c in compile_selector(selector))
 
 
 def select(scope: Element, selector: str, limit: int | None = None) -> list[Element]:
     """Matching elements below scope, in document order."""
-    chains, out = compile_selector(selector), []
+    chains, out, places = compile_selector(selector), [], {}
     for e in scope.walk():
-        if any(_fits(e, c, len(c) - 1) for c in chains):
+        if any(_fits(e, c, len(c) - 1, places) for c in chains):
             out.append(e)
             if limit is not None and len(out) >= limit:
                 break

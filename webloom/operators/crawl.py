@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import operator
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.operators.storage import materialise
@@ -10,10 +14,23 @@ from webloom.operators.storage import materialise
 MAX_DEPTH, LIMIT = 2, 10
 
 
-def crawl(links: DataFrame, seed: str, max_depth: int = MAX_DEPTH, limit: int = LIMIT, include: str | None = None, exclude: str | None = None, same_host: bool = True) -> DataFrame:
+def checked_patterns(spark: SparkSession, patterns: str | Sequence[str] | None, field: str) -> list[str]:
+    """The patterns, each tried by the engine that will run it; ValueError names the field and the first bad one."""
+    out = [patterns] if isinstance(patterns, str) else list(patterns or ())
+    for p in out:
+        try:
+            spark.range(1).select(F.lit("").rlike(p)).collect()
+        except Exception as e:
+            raise ValueError(f"invalid {field} pattern {p!r}: {str(e).splitlines()[0]}") from e
+    return out
+
+
+def crawl(links: DataFrame, seed: str, max_depth: int = MAX_DEPTH, limit: int = LIMIT, include: str | Sequence[str] | None = None, exclude: str | Sequence[str] | None = None, same_host: bool = True) -> DataFrame:
     """(url, depth, place) in the order of a queue that starts with seed. ``links`` has (url, pos, link): a page's
     links in order; a link without such rows is a leaf. A level is one join, one dedupe and one ordered limit,
-    and places are given by (parent's place, position), so the order is the queue's own.
+    and places are given by (parent's place, position), so the order is the queue's own. A path is followed when one
+    of the include patterns is found in it, or there are none, and none of the exclude patterns; a pattern that is not
+    one raises ValueError.
 
     At most ``limit`` pages are ever admitted, so the frontier that is joined is bounded by it."""
     spark = links.sparkSession
@@ -23,10 +40,10 @@ def crawl(links: DataFrame, seed: str, max_depth: int = MAX_DEPTH, limit: int =
     path = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     if same_host:
         edges = edges.where(host(F.col("url")) == host(F.lit(seed)))
-    if exclude:
-        edges = edges.where(~path.rlike(exclude))
-    if include:
-        edges = edges.where(path.rlike(include))
+    for pattern in checked_patterns(spark, exclude, "excludePaths"):
+        edges = edges.where(~path.rlike(pattern))
+    if wanted := checked_patterns(spark, include, "includePaths"):
+        edges = edges.where(functools.reduce(operator.or_, (path.rlike(p) for p in wanted)))
     done = spark.createDataFrame([(seed.split("#")[0], 0, 0)], "url string, depth int, place int")
     level, n = done, 1
     for depth in range(1, max_depth + 1):

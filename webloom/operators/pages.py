@@ -18,7 +18,7 @@ from webloom.html.tree import parse
 from webloom.session import ship
 
 PAGE = "markdown string, incomplete boolean, metadata string, html string, links array<string>, error string"
-FORMATS = ("markdown", "html", "links", "metadata")
+FORMATS = p.FORMATS
 
 
 def per_row(df: DataFrame, key: str, extra: list[str], fields: str, make) -> DataFrame:
@@ -41,7 +41,8 @@ def per_row(df: DataFrame, key: str, extra: list[str], fields: str, make) -> Dat
 
 
 def scrape_pages(pages: DataFrame, key: str = "page_id", formats: tuple[str, ...] = FORMATS, only_main: bool = True, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Markdown, cleaned HTML, metadata (JSON) and links of every page; formats not asked for are null.
+    """Markdown, cleaned HTML, metadata (JSON) and links of every page; formats not asked for are not
+    built and null, and so is incomplete without Markdown.
     Columns status and content_type are used where they exist."""
     df = pages
     for name, default in (("status", F.lit(200)), ("content_type", F.lit("text/html"))):
@@ -49,9 +50,10 @@ def scrape_pages(pages: DataFrame, key: str = "page_id", formats: tuple[str, ...
             df = df.withColumn(name, default)
 
     def make(url, html, status, content_type):
-        got = p.scrape(html, url, status or 200, content_type or "text/html", only_main, include, exclude)
-        got["metadata"] = json.dumps(got["metadata"], ensure_ascii=False)
-        return [{k: v if k in formats or k in ("incomplete", "error") else None for k, v in got.items()}]
+        got = p.scrape(html, url, status or 200, content_type or "text/html", only_main, include, exclude, formats)
+        if got["metadata"] is not None:
+            got["metadata"] = json.dumps(got["metadata"], ensure_ascii=False)
+        return [got]
 
     return per_row(df, key, ["url", "html", "status", "content_type"], PAGE, make)
 

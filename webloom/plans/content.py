@@ -45,7 +45,7 @@ def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.with_rendered(pages)
 
 
-only("markdown_pages", "C01 C02 C03 C04 C05 C07 C10 C14 C15 C16 C19 C30 C31 B01 A03", lambda s, d: p.scrape_pages(_pages(s, d), formats=("markdown",)).select("page_id", "markdown", "incomplete", "error"))
+only("markdown_pages", "C01 C02 C03 C04 C05 C07 C10 C14 C15 C16 C19 C30 C31 A03", lambda s, d: p.scrape_pages(_pages(s, d), formats=("markdown",)).select("page_id", "markdown", "incomplete", "error"))
 only("page_metadata", "C22 C23 C24 C25 C26 C27", lambda s, d: p.scrape_pages(_pages(s, d), formats=("metadata",)).select("page_id", "metadata"))
 only("cleaned_html", "C12 C09 F03", lambda s, d: p.scrape_pages(_pages(s, d), formats=("html",)).select("page_id", "html"))
 only("filtered_html", "C13 K05 K06 M10 G09 G10", lambda s, d: p.scrape_pages(_pages(s, d), formats=("html",), include=("article", "h1"), exclude=("b", ".ad")).select("page_id", "html"))
@@ -58,7 +58,7 @@ only("crawl", "K02 E30 E31 L16 G03", _crawl)
 only("rendered_choice", "M04 C28 E18 E13", _rendered)
 only(
     "session_windows",
-    "H09 H06",
+    "H06",
     lambda s, d: sessions.session_counts(table(s, d, "events")).select("user_id", "n", F.unix_micros(F.col("opened").cast("timestamp")).alias("opened")),
     """SELECT user_id, n, opened FROM (SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS opened FROM (
          SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from webloom.functions import signals as s
 from webloom.functions import urls as u
 from webloom.functions.dialect import Spark
 from webloom.plans.base import both
-from webloom.plans.requests import INTERCEPTS
 
 MAX_JOBS, MAX_BYTES, PAGE_BYTES = 1024, 256 << 20, 10 << 20
+IDLE = 3_600_000_000
 RANGE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 # One job per customer of the event log: its events are pages, errors, blocked pages and cancellations.
 JOB_EVENTS = """SELECT CASE WHEN user_id % 2 = 0 THEN 'crawl' ELSE 'batch' END AS kind, user_id AS job, event_id AS pos, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN CASE WHEN event_id % 40 = 0 THEN 'cancelled' ELSE 'robots_blocked' END ELSE 'page' END AS event,
@@ -69,8 +68,8 @@ def _webhooks(d: Spark) -> str:
 def _logs(d: Spark) -> str:
     """Newest first, bounded, without health checks and credentials."""
     rows = f"SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN '/health' ELSE '/v1/scrape' END AS route, 'https://u:p@h' || CAST(user_id AS VARCHAR(20)) || '.example/x' AS url, event_type FROM events"
-    ring = f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY id DESC) AS n FROM ({rows}) WHERE route NOT IN ('/health', '/admin/logs')) WHERE n <= 500"
-    return f"SELECT id, route, {u.redact_credentials(d, 'url')} AS url, {u.host(d, 'url')} AS host FROM (SELECT *, row_number() OVER (ORDER BY id DESC) AS m FROM ({ring})) WHERE m <= least(greatest(200, 1), 500)"
+    ring = f"SELECT * FROM ({rows}) WHERE route NOT IN ('/health', '/admin/logs') ORDER BY id DESC LIMIT 500"
+    return f"SELECT id, route, {u.redact_credentials(d, 'url')} AS url, {u.host(d, 'url')} AS host FROM (SELECT * FROM ({ring}) ORDER BY id DESC LIMIT least(greatest(200, 1), 500))"
 
 
 def _envelopes(d: Spark) -> str:
@@ -84,29 +83,28 @@ def _envelopes(d: Spark) -> str:
         CASE WHEN format IN ('screenshot', 'pdf') THEN 422 WHEN format = 'bogus' THEN 400 ELSE 200 END AS format_code FROM ({rows})"""
 
 
-def _sessions(d: Spark) -> str:
-    """Sessions of a user end after an idle hour, and after a lifetime of six."""
-    idle, life = 3_600_000_000, 6 * 3_600_000_000
+def _idle_sessions(d: Spark) -> str:
     gap = f"SELECT user_id, event_id, {d.micros('ts')} AS tm, lag({d.micros('ts')}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events"
-    marked = f"SELECT *, sum(CASE WHEN before IS NULL OR tm - before > {idle} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY tm, event_id {RANGE}) AS island FROM ({gap})"
-    cut = f"SELECT *, CAST(floor((tm - min(tm) OVER (PARTITION BY user_id, island)) / {life}) AS BIGINT) AS part FROM ({marked})"
-    per = f"SELECT user_id, CAST(island AS BIGINT) AS island, part, min(tm) AS opened, max(tm) AS last_at, count(*) AS n FROM ({cut}) GROUP BY user_id, island, part"
-    events = f"SELECT opened AS tm, 1 AS step, user_id FROM ({per}) UNION ALL SELECT last_at + {idle}, -1, user_id FROM ({per})"
-    load = f"SELECT max(held) AS peak FROM (SELECT sum(step) OVER (ORDER BY tm, step, user_id {RANGE}) AS held FROM ({events}))"
-    return f"SELECT p.user_id, p.island, p.part, p.opened, p.last_at, p.n, CAST(l.peak AS BIGINT) AS peak_sessions FROM ({per}) p CROSS JOIN ({load}) l"
-
-
-def _captures(d: Spark) -> str:
-    """Windows of intercepts, kept open by content requests alone and while loads are in flight."""
-    quiet = 1_800_000_000
-    rows = f"SELECT page_id, seq, {d.micros('ts')} AS tm, {d.micros('ts')} + CAST(floor(value * 10000000) AS BIGINT) AS done, {s.is_tracker(d, 'url')} AS tracker, score >= 13 AS hit FROM (SELECT *, {s.score(d, 'url', 'target', 'accept', 'content_type')} AS score FROM ({INTERCEPTS}))"
-    content = f"SELECT *, max(done) OVER (PARTITION BY page_id ORDER BY tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM ({rows}) WHERE NOT tracker"
-    island = f"SELECT *, sum(CASE WHEN busy IS NULL OR tm - busy > {quiet} THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY tm, seq {RANGE}) AS w FROM ({content})"
-    numbered = f"SELECT *, row_number() OVER (PARTITION BY page_id, w ORDER BY tm, seq) AS n FROM ({island})"
-    win = f"SELECT page_id, CAST(w AS BIGINT) AS w, min(tm) AS opened, max(done) + {quiet} AS closes, count(*) AS n_content, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS n_hits, max(tm) - min(tm) > 8000000000 AS capped FROM ({numbered}) WHERE n <= 64 GROUP BY page_id, w"
-    seen = f"SELECT x.page_id, x.w, count(t.seq) AS n_trackers FROM ({win}) x LEFT JOIN (SELECT * FROM ({rows}) WHERE tracker) t ON x.page_id = t.page_id AND t.tm >= x.opened AND t.tm <= x.closes GROUP BY x.page_id, x.w"
-    return f"""SELECT x.page_id, x.w, x.opened, x.n_content, x.n_hits, s.n_trackers, CASE WHEN x.n_hits > 0 AND x.capped THEN 'window_closed' WHEN x.n_hits > 0 THEN 'quiesced' WHEN x.n_content = 1 THEN 'threw' ELSE 'no_intercepts' END AS outcome
-        FROM ({win}) x JOIN ({seen}) s ON x.page_id = s.page_id AND x.w = s.w"""
+    marked = f"SELECT *, sum(CASE WHEN before IS NULL OR tm - before > {IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY tm, event_id {RANGE}) AS island FROM ({gap})"
+    return f"SELECT user_id, CAST(island AS BIGINT) AS island, min(tm) AS opened, max(tm) AS last_at, count(*) AS n FROM ({marked}) GROUP BY user_id, island"
+
+
+def _sessions(d: Spark) -> str:
+    """Sessions of a user end after an idle hour; the most that were held at a time. Loads run within
+    hours and over the hours' sums, so that no task sees all sessions."""
+    per = _idle_sessions(d)
+    steps = f"SELECT opened AS tm, 1 AS step FROM ({per}) UNION ALL SELECT last_at + {IDLE}, -1 FROM ({per})"
+    placed = f"SELECT *, CAST(floor(tm / 3600000000) AS BIGINT) AS hour FROM ({steps})"
+    before = f"SELECT hour, sum(n) OVER (ORDER BY hour {RANGE}) - n AS held FROM (SELECT hour, sum(step) AS n FROM ({placed}) GROUP BY hour)"
+    within = f"SELECT hour, max(held) AS most FROM (SELECT hour, sum(step) OVER (PARTITION BY hour ORDER BY tm, step {RANGE}) AS held FROM ({placed})) GROUP BY hour"
+    load = f"SELECT max(b.held + w.most) AS peak FROM ({before}) b JOIN ({within}) w ON b.hour = w.hour"
+    return f"SELECT p.user_id, p.island, p.opened, p.last_at, p.n, CAST(l.peak AS BIGINT) AS peak_sessions FROM ({per}) p CROSS JOIN ({load}) l"
+
+
+def _sessions_compared(d: Spark) -> str:
+    """The SQL of sessions_idle: for each opening, the sessions open then."""
+    per = _idle_sessions(d)
+    return f"""WITH p AS ({per}) SELECT user_id, island, opened, last_at, n, (SELECT max(k) FROM (SELECT a.user_id, a.island, count(*) AS k FROM p a JOIN p b ON b.opened <= a.opened AND b.last_at + {IDLE} > a.opened GROUP BY a.user_id, a.island)) AS peak_sessions FROM p"""
 
 
 def _settled(d: Spark) -> str:
@@ -189,13 +187,21 @@ def _headers(d: Spark) -> str:
 
 
 def _cache(d: Spark) -> str:
-    """The least recently used records leave a bounded cache."""
+    """The least recently used records leave a bounded cache; running sums within buckets of uses and over the buckets."""
+    last = "SELECT user_id AS k, max(event_id) AS used, CAST(sum(floor(value)) AS BIGINT) AS bytes FROM events GROUP BY user_id"
+    placed = f"SELECT *, CAST(floor(used / 65536) AS BIGINT) AS bucket FROM ({last})"
+    after = f"SELECT bucket, sum(b) OVER (ORDER BY bucket DESC {RANGE}) - b AS held, sum(n) OVER (ORDER BY bucket DESC {RANGE}) - n AS ahead FROM (SELECT bucket, sum(bytes) AS b, count(*) AS n FROM ({placed}) GROUP BY bucket)"
+    within = f"SELECT *, sum(bytes) OVER (PARTITION BY bucket ORDER BY used DESC {RANGE}) AS inner_held, row_number() OVER (PARTITION BY bucket ORDER BY used DESC) AS place FROM ({placed})"
+    return f"SELECT w.k, w.used, w.bytes, CAST(a.held + w.inner_held AS BIGINT) AS held, a.held + w.inner_held <= 100000 AND a.ahead + w.place <= 4096 AS kept FROM ({within}) w JOIN ({after}) a ON w.bucket = a.bucket"
+
+
+def _cache_compared(d: Spark) -> str:
     last = "SELECT user_id AS k, max(event_id) AS used, CAST(sum(floor(value)) AS BIGINT) AS bytes FROM events GROUP BY user_id"
     return f"SELECT k, used, bytes, CAST(sum(bytes) OVER (ORDER BY used DESC {RANGE}) AS BIGINT) AS held, sum(bytes) OVER (ORDER BY used DESC {RANGE}) <= 100000 AND row_number() OVER (ORDER BY used DESC) <= 4096 AS kept FROM ({last})"
 
 
 def _props(d: Spark) -> str:
-    """A path into JSON text."""
+    """One key of JSON text."""
     return f"SELECT event_id, CAST({d.json_text('props', 'k')} AS BIGINT) AS k, {d.json_text('props', 'missing')} AS missing FROM events"
 
 
@@ -207,15 +213,14 @@ both("job_errors", "H18 I09", _errors)
 both("webhook_attempts", "B07 B08", _webhooks)
 both("access_logs", "B09 B10 B11 F19", _logs)
 both("result_envelopes", "B02 B03 B04 B05 B06 E05 E35 F35 G08", _envelopes)
-both("sessions_idle", "H06 H09 H10", _sessions)
-both("capture_outcomes", "H01 H02 H03 H04 H05", _captures)
+both("sessions_idle", "H06 H10", _sessions, compared=_sessions_compared)
 both("size_settled", "H07", _settled)
 both("host_spacing", "H19", _spacing)
 both("retry_attempts", "H21 E36 F27 F28", _retries)
 both("slot_gate", "H22 I10", _gate, compared=_gate_compared)
 both("timing_buckets", "I07 M09", _buckets)
-both("action_reports", "I12 F36", _actions)
-both("ladder_choice", "J15 M01 M02 M04 M07 M08 E18 F24 F25 F26 F30", _ladder)
-both("header_functions", "A04 A11 F12 F13 F14 F15 F20", _headers)
-both("cache_recency", "J12", _cache)
-both("props_json", "D24 D25", _props)
+both("action_reports", "I12", _actions)
+both("ladder_choice", "J15 M01 M02 M04 E18 F24 F25 F26 F30", _ladder)
+both("header_functions", "A04 A11 F12 F13 F15 F20", _headers)
+both("cache_recency", "J12", _cache, compared=_cache_compared)
+both("props_json", "plumbing", _props)

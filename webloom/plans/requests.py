@@ -140,10 +140,10 @@ both("endpoint_scores", "J01 E11 E19 E20 E21 E22 E23 E24 E25 E26 E27 E28 E29 F09
 both("best_endpoint", "J02 J03 F34", _best)
 both("endpoint_catalog", "J04 L13", _catalog)
 both("endpoint_counts", "I05 M06 H03", _counts)
-both("endpoint_replay", "J05 G07 M02 M03 D24 D25 E38", _replay)
+both("endpoint_replay", "J05 G07 M02 M03 E38", _replay)
 both("robots_decisions", "A08 E01 E02 E03 E04 G04", _robots)
 both("robots_sitemaps", "A07 A08", _robot_sitemaps)
 both("challenge_flags", "E06 E07 E08 E09 E10 E12 E13 E36 E37 E38 F13 G05", _challenge)
 both("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _fusion)
 both("hits_enriched", "G01 G02 M13", _enriched)
-both("engine_outcomes", "A09 A10 D37 D38 I08 M14", _engines)
+both("engine_outcomes", "D37 I08", _engines)

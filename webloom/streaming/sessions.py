@@ -41,24 +41,46 @@ def webhook_sink(df: DataFrame, deliver: Callable[[list[str]], None], events: tu
     return df.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def session_store(actions: DataFrame, idle_s: int = 60, life_s: int = 600) -> DataFrame:
-    """A keyed store of sessions over a stream of actions (session_id, ts, type): one row per batch and session with
-    its state. A session opens with its first action and ends with a close, an idle time or a lifetime."""
+def session_store(actions: DataFrame, idle_s: int = 60, life_s: int = 600, late: str = "10 seconds") -> DataFrame:
+    """A keyed store of sessions over a stream of actions (session_id, ts, type), on event time: rows of a session as
+    (session_id, opened, last_at, n, state). A session opens with its first action; it ends with a close, or when the
+    watermark passes its idle time or its lifetime, and is then forgotten. 'open' rows are the session after a
+    batch; every ended session gives one 'closed' or 'expired' row."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    columns = ["session_id", "opened", "last_at", "n", "state"]
+
     def step(key, batches, state):
-        opened, last, n, live = state.get if state.exists else (None, None, 0, True)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        for ts, kind in zip(rows["ts"], rows["type"], strict=True):
-            at = int(ts.timestamp())
-            if opened is None or not live or at - last > idle_s or at - opened > life_s:
-                opened, n, live = at, 0, True
-            last, n = at, n + 1
-            live = kind != "close"
-        state.update((opened, last, n, live))
-        yield pd.DataFrame({"session_id": [key[0]], "opened": [opened], "last_at": [last], "n": [n], "open": [live]})
-
-    return actions.groupBy("session_id").applyInPandasWithState(
-        step, "session_id long, opened long, last_at long, n long, open boolean", "opened long, last_at long, n long, live boolean", "update", GroupStateTimeout.NoTimeout
+        out = []
+
+        def row(at, last, n, how):
+            out.append((key[0], at, last, n, how))
+
+        if state.hasTimedOut:
+            row(*state.get, "expired")
+            state.remove()
+        else:
+            opened, last, n = state.get if state.exists else (None, 0, 0)
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+            for at, kind in zip(rows["ts"].astype("datetime64[s]").astype("int64"), rows["type"], strict=True):
+                at = int(at)
+                if opened is not None and (at - last > idle_s or at - opened > life_s):
+                    row(opened, last, n, "expired")
+                    opened = None
+                opened, last, n = (at, at, 1) if opened is None else (opened, max(at, last), n + 1)
+                if kind == "close":
+                    row(opened, last, n, "closed")
+                    opened = None
+            if opened is None:
+                if state.exists:
+                    state.remove()
+            else:
+                row(opened, last, n, "open")
+                state.update((opened, last, n))
+                state.setTimeoutTimestamp(max(1000 * (min(last + idle_s, opened + life_s) + 1), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns)
+
+    return actions.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(
+        step, "session_id long, opened long, last_at long, n long, state string", "opened long, last_at long, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
