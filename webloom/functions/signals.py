@@ -75,13 +75,13 @@ def is_tracker(d: Spark, url: str) -> str:
 
 
 def is_asset(d: Spark, path: str) -> str:
-    """E21."""
-    return d.rlike(u.ascii_lower(path), rf"(?:{'|'.join(map(re.escape, ASSET_EXTENSIONS))})\z")
+    """By what follows the last dot, as no extension holds another."""
+    return f"({d.extract(u.ascii_lower(path), r'([.][^.]*)$')} IN ({', '.join(map(d.lit, ASSET_EXTENSIONS))}))"
 
 
 def same_origin(d: Spark, url: str, target: str) -> str:
     """A relative URL, or one of the target's host."""
-    return f"({u.host(d, url)} = '' OR {u.host(d, url)} = {u.host(d, target)})"
+    return f"({u.host(d, url)} IN ('', {u.host(d, target)}))"
 
 
 def json_intent(accept: str, content_type: str) -> str:
@@ -99,9 +99,9 @@ def is_safe(method: str) -> str:
     return f"(upper(trim({method})) IN ('GET', 'HEAD', 'OPTIONS'))"
 
 
-def is_read_post(d: Spark, method: str, url: str, content_type: str) -> str:
-    """E26."""
-    return f"(upper(trim({method})) IN ('POST', 'PUT') AND ({any_of(d, u.ascii_lower(u.path(d, url)), READ_POST_MARKERS)} OR {json_type(content_type)}))"
+def is_read_post(d: Spark, method: str, url: str, content_type: str, path: str = "") -> str:
+    """E26; path: the url's path in lower case, where it is at hand."""
+    return f"(upper(trim({method})) IN ('POST', 'PUT') AND ({any_of(d, path or u.ascii_lower(u.path(d, url)), READ_POST_MARKERS)} OR {json_type(content_type)}))"
 
 
 def is_streaming(d: Spark, url: str, accept: str) -> str:
@@ -109,20 +109,30 @@ def is_streaming(d: Spark, url: str, accept: str) -> str:
     return f"({d.rlike(url, r'^\s*[wW][sS][sS]?://')} OR contains(lower({accept}), 'text/event-stream'))"
 
 
-def is_replayable(d: Spark, method: str, url: str, accept: str, content_type: str, unsafe: bool = False) -> str:
+def is_replayable(d: Spark, method: str, url: str, accept: str, content_type: str, unsafe: bool = False, path: str = "") -> str:
     """E28."""
-    return f"(NOT {is_streaming(d, url, accept)} AND ({'true' if unsafe else 'false'} OR {is_safe(method)} OR {is_read_post(d, method, url, content_type)}))"
+    return f"(NOT {is_streaming(d, url, accept)} AND ({'true' if unsafe else 'false'} OR {is_safe(method)} OR {is_read_post(d, method, url, content_type, path)}))"
 
 
 def score(d: Spark, url: str, target: str, accept: str, content_type: str) -> str:
     """J01."""
-    path = u.ascii_lower(u.path(d, url))
+    return score_of(d, u.ascii_lower(u.path(d, url)), same_origin(d, url, target), is_analytics(d, url), json_intent(accept, content_type))
+
+
+def score_of(d: Spark, path: str, same: str, analytics: str, intent: str) -> str:
+    """J01 over a path in lower case and facts that are at hand."""
     return (
-        f"(CASE WHEN {same_origin(d, url, target)} THEN {SAME_ORIGIN} ELSE 0 END + CASE WHEN {any_of(d, path, API_MARKERS)} OR {u.versioned(d, path)} THEN {API_PATH} ELSE 0 END"
-        f" + CASE WHEN {json_intent(accept, content_type)} THEN {JSON} ELSE 0 END + CASE WHEN {is_analytics(d, url)} THEN {ANALYTICS_PENALTY} ELSE 0 END + CASE WHEN {is_asset(d, path)} THEN {ASSET_PENALTY} ELSE 0 END)"
+        f"(CASE WHEN {same} THEN {SAME_ORIGIN} ELSE 0 END + CASE WHEN {any_of(d, path, API_MARKERS)} OR {u.versioned(d, path)} THEN {API_PATH} ELSE 0 END"
+        f" + CASE WHEN {intent} THEN {JSON} ELSE 0 END + CASE WHEN {analytics} THEN {ANALYTICS_PENALTY} ELSE 0 END + CASE WHEN {is_asset(d, path)} THEN {ASSET_PENALTY} ELSE 0 END)"
     )
 
 
+def scored(d: Spark, rows: str) -> str:
+    """Requests with their facts: what several operators read is its own column, made once a row."""
+    facts = f"SELECT *, {u.ascii_lower(u.path(d, 'url'))} AS url_path, {same_origin(d, 'url', 'target')} AS same_origin, {is_analytics(d, 'url')} AS analytics, {json_intent('accept', 'content_type')} AS json_intent FROM ({rows})"
+    return f"SELECT *, {score_of(d, 'url_path', 'same_origin', 'analytics', 'json_intent')} AS score, {is_replayable(d, 'method', 'url', 'accept', 'content_type', path='url_path')} AS replayable, {is_asset(d, 'url_path')} AS asset FROM ({facts})"
+
+
 def vendor(d: Spark, x: str) -> str:
     return f"coalesce({first_kind(d, x, VENDOR_MARKERS)}, CASE WHEN {u.guid_segment(d, x)} THEN 'kasada' END)"
 

@@ -17,13 +17,12 @@ INTERCEPTS = """SELECT user_id AS page_id, event_id AS seq, ts, value, 'https://
 
 
 def _scored(d: Spark) -> str:
-    return f"""SELECT *, {s.score(d, "url", "target", "accept", "content_type")} AS score, {s.is_replayable(d, "method", "url", "accept", "content_type")} AS replayable,
-        {s.is_analytics(d, "url")} AS analytics, {s.is_tracker(d, "url")} AS tracker FROM ({INTERCEPTS})"""
+    return s.scored(d, INTERCEPTS)
 
 
 def _scores(d: Spark) -> str:
-    return f"""SELECT seq, CAST(score AS INT) AS score, replayable, analytics, tracker, {s.same_origin(d, "url", "target")} AS same_origin, {s.is_asset(d, u.path(d, "url"))} AS asset, {s.is_safe("method")} AS safe,
-        {s.is_read_post(d, "method", "url", "content_type")} AS read_post, {s.is_streaming(d, "url", "accept")} AS streaming, {s.json_intent("accept", "content_type")} AS json_intent, replayable AND NOT analytics AS live,
+    return f"""SELECT seq, CAST(score AS INT) AS score, replayable, analytics, {s.is_tracker(d, "url")} AS tracker, same_origin, asset, {s.is_safe("method")} AS safe,
+        {s.is_read_post(d, "method", "url", "content_type", "url_path")} AS read_post, {s.is_streaming(d, "url", "accept")} AS streaming, json_intent, replayable AND NOT analytics AS live,
         {s.network_challenge(d, "url")} AS challenge FROM ({_scored(d)})"""
 
 
@@ -40,7 +39,7 @@ def _catalog(d: Spark) -> str:
 
 
 def _counts(d: Spark) -> str:
-    return f"""SELECT page_id, count(*) AS n_endpoints, CAST(sum(CASE WHEN replayable THEN 1 ELSE 0 END) AS BIGINT) AS n_replayable, CAST(sum(CASE WHEN NOT tracker THEN 1 ELSE 0 END) AS BIGINT) AS n_content,
+    return f"""SELECT page_id, count(*) AS n_endpoints, CAST(sum(CASE WHEN replayable THEN 1 ELSE 0 END) AS BIGINT) AS n_replayable, CAST(sum(CASE WHEN NOT {s.is_tracker(d, "url")} THEN 1 ELSE 0 END) AS BIGINT) AS n_content,
         min(CASE WHEN challenge IS NOT NULL THEN seq END) AS first_challenge FROM (SELECT *, {s.network_challenge(d, "url")} AS challenge FROM ({_scored(d)})) GROUP BY page_id"""
 
 

@@ -194,8 +194,7 @@ _SESSIONS = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS tm, row_num
 
 
 def _intercepts(d: Spark) -> str:
-    score = s.score(d, "url", "target", "accept", "content_type")
-    return f"SELECT page_id, seq, {d.micros('ts')} AS tm, {d.micros('ts')} + CAST(floor(value * 10000000) AS BIGINT) AS done, {s.is_tracker(d, 'url')} AS tracker, {score} >= 13 AS hit, seq % 97 = 0 AS threw FROM ({INTERCEPTS})"
+    return f"SELECT page_id, seq, {d.micros('ts')} AS tm, {d.micros('ts')} + CAST(floor(value * 10000000) AS BIGINT) AS done, {s.is_tracker(d, 'url')} AS tracker, score >= {s.MIN_VIABLE} AS hit, seq % 97 = 0 AS threw FROM ({s.scored(d, INTERCEPTS)})"
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
