@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import api
 from webloom.functions import records
 from webloom.functions.jsonpath import PathError, compile_path, filter_json
 from webloom.html import page
@@ -123,3 +124,45 @@ def test_action_labels(spark, kind, selector, key, direction, ms, want):
 def test_find_ignoring_case(spark):
     at = lambda text, needle: one(spark, records.find_ignoring_case(F.lit(text).cast("string"), F.lit(needle)))
     assert (at("abCde", "Cd"), at("abc", ""), at("abc", "x"), at("É", "é"), at("", "a"), at(None, "a")) == (2, 0, None, None, None, None)
+
+
+def test_discover(spark):
+    rows = [
+        (1, 1, "https://s.example/", "https://s.example/api/items", "get", "application/json", ""), (1, 2, "https://s.example/", "https://s.example/api/cart", "DELETE", "application/json", ""), (1, 0, "https://s.example/", "/app.js", "get", None, None),
+        (2, 5, "https://s.example/", "https://www.google-analytics.com/collect", "get", "", ""), (3, 1, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, seq long, target string, url string, method string, accept string, content_type string").withColumn("score", F.lit("clash"))
+    got = sorted((r.page_id, r["rank"], r.seq, r.method, r.score, r.replay) for r in api.discover(df).collect())
+    assert got[:3] == [(1, 1, 1, "GET", 23, True), (1, 2, 2, "DELETE", 23, False), (1, 3, 0, "GET", -40, False)] and got[3][:3] == (2, 1, 5) and not got[3][5] and got[4][0] == 3
+    assert api.discover(df, limit=1).count() == 3 and api.discover(df.limit(0)).count() == 0
+
+
+def test_render_and_maps(spark):
+    rows = [(1, "https://h.example/", "<article><p>one</p><a href='/b'>b</a><a href='/c#x'>c</a></article>"), (2, "https://h.example/b", "<p>two</p>"), (3, "https://h.example/c", ""), (4, "https://other.example/", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = lambda **kw: {r.page_id: r.output for r in api.render(api.scrape(pages, only_main=False), **kw).collect()}
+    got = out()
+    assert got[2] == "two\n" and got[3].startswith('{"page_id":3')
+    assert out(as_json=True)[2].startswith('{"page_id":2,"markdown":"two"') and "\n  " in out(as_json=True, pretty=True)[2].rstrip() and out(formats=("markdown", "html"))[2].startswith("{")
+    links = lambda **kw: [r.link for r in api.map_site(pages, "h.example", **kw).collect()]
+    sitemap = spark.createDataFrame([("https://h.example/s",), ("https://h.example/b",), ("https://x.example/",)], "url string")
+    assert links() == ["https://h.example/b", "https://h.example/c"] and links(sitemap=sitemap, sitemap_only=True) == ["https://h.example/b", "https://h.example/s"]
+    assert links(sitemap=sitemap) == ["https://h.example/b", "https://h.example/s", "https://h.example/c"] and links(sitemap=sitemap, ignore_sitemap=True, limit=0) == ["https://h.example/b"]
+    with pytest.raises(ValueError, match="mutually exclusive"):
+        links(ignore_sitemap=True, sitemap_only=True)
+    assert sorted((r.place, r.page_id) for r in api.scrape_mapped(pages, "https://h.example/", limit=2).collect()) == [(0, 1), (1, 2)]
+
+
+def test_command_line(spark, tmp_path):
+    from webloom import __main__ as cli
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, "https://h.example/", "<p>one <a href='/b'>b</a></p>", '{"a":[1,2]}')], "page_id long, url string, html string, data string").write.parquet(src)
+    read = lambda: [r.value for r in spark.read.text(out).collect()]
+    cli.run(spark, cli.arguments().parse_args(["scrape", src, out, "--whole"]))
+    assert read()[0].startswith("one ")
+    cli.run(spark, cli.arguments().parse_args(["map", src, out, "h.example"]))
+    assert read() == ['{"link":"https://h.example/b"}']
+    cli.run(spark, cli.arguments().parse_args(["extract", src, out, "$.a[*]"]))
+    assert read() == ['{"page_id":1,"data":"[1,2]","outcome":"many"}']
+    assert cli.main(["extract", src, out, "$["]) == 1 and cli.main(["nope"]) == 2
