@@ -103,3 +103,14 @@ def test_wall_markers(spark, duck, body, want):
 def test_assets_end_with_their_extension(spark, duck):
     assert value(spark, duck, signals.is_asset, "/a/B.JS") is True
     assert value(spark, duck, signals.is_asset, "/a/b.js/c") is False and value(spark, duck, signals.is_asset, "/ajs") is False
+
+
+@pytest.mark.parametrize(
+    "rule,path,want",
+    [
+        ("/a", "/abc", True), ("/a", "/b", False), ("/a$", "/a", True), ("/a$", "/ab", False), ("/*.php$", "/x.php", True), ("/*.php$", "/a.php.php", False), ("/*.php", "/a.php.php", True), ("/*b*d", "/abcd", True), ("/*d*b", "/abcd", False),
+        ("*", "/x", True), ("/a*$", "/abc", True), ("/a**c$", "/abc", True), ("*x", "/y", False), ("/100%_", "/100%_a", True), ("/100%_", "/100ab", False), ("$", "/", False), ("/\u00e9*f", "/\u00e9ef", True),
+    ],
+)
+def test_rule_fits(spark, duck, rule, path, want):
+    assert value(spark, duck, signals.rule_fits, rule, path) is want

@@ -152,3 +152,15 @@ def network_challenge(d: Spark, url: str) -> str:
     """E11."""
     x = u.ascii_lower(url)
     return f"coalesce({first_kind(d, x, NETWORK_MARKERS)}, CASE WHEN {u.guid_segment(d, x)} THEN 'kasada' END)"
+
+
+def rule_fits(d: Spark, rule: str, path: str) -> str:
+    """An access rule's pieces between stars are found in the path one after the other, each where it first
+    occurs, the first one at the start; a dollar at the end asks for nothing after the last piece."""
+    anchored = d.ends(rule, d.lit("$"))
+    pattern = f"CASE WHEN {anchored} THEN substr({rule}, 1, length({rule}) - 1) ELSE {rule} END"
+    # what is left of the path after a Y, or N
+    begin = f"CASE WHEN {d.starts(path, 'x')} THEN 'Y' || substr({path}, length(x) + 1) ELSE 'N' END"
+    step = f"CASE WHEN a = '' THEN {begin} WHEN a = 'N' OR x = '' THEN a WHEN instr(substr(a, 2), x) = 0 THEN 'N' ELSE 'Y' || substr(a, 1 + instr(substr(a, 2), x) + length(x)) END"
+    left = d.fold(d.split(pattern, "*"), "a", "x", step)
+    return d.let("rest", left, f"rest <> 'N' AND (NOT {anchored} OR rest = 'Y' OR {d.ends(rule, d.lit('*$'))})")

@@ -78,10 +78,7 @@ def _robots(d: Spark) -> str:
     site = d.extract("host", r"([^.]+\.[^.]+)$")
     target = d.replace(d.replace("url", r"#.*$"), r"^[A-Za-z]+://[^/?#]*")
     pages = f"SELECT page_id, {site} AS site, CASE WHEN {target} = '' THEN '/' ELSE {target} END AS target FROM (SELECT page_id, url, {u.host(d, 'url')} AS host FROM pages)"
-    # rules as literal prefixes with wildcards, compared piece by piece: '*' any text, '$' the end
-    like = "replace(replace(replace(r.v, '!', '!!'), '%', '!%'), '_', '!_')"
-    like = f"CASE WHEN {d.ends('r.v', d.lit('$'))} THEN replace(substring({like}, 1, length({like}) - 1), '*', '%') ELSE replace({like}, '*', '%') || '%' END"
-    hits = f"SELECT p.page_id, r.k, length(r.v) AS size, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.v) DESC, r.k) AS n FROM ({pages}) p JOIN ({_robot_rules(d)}) r ON p.site = r.site AND p.target LIKE {like} ESCAPE '!'"
+    hits = f"SELECT p.page_id, r.k, length(r.v) AS size, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.v) DESC, r.k) AS n FROM ({pages}) p JOIN ({_robot_rules(d)}) r ON p.site = r.site WHERE {s.rule_fits(d, 'r.v', 'p.target')}"
     return f"SELECT p.page_id, p.site, coalesce(h.k, 'none') AS rule, coalesce(h.k <> 'disallow', true) OR p.target = '/robots.txt' AS allowed FROM ({pages}) p LEFT JOIN (SELECT * FROM ({hits}) WHERE n = 1) h ON p.page_id = h.page_id"
 
 
