@@ -84,7 +84,7 @@ def _query_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The expected rows are literal: one for each shape of address.
-_QUERY_PAIRS = """SELECT event_id, CASE event_id % 6 WHEN 1 THEN '/a%20b/' WHEN 2 THEN '/rel/p' WHEN 4 THEN '/p/' || CAST(user_id AS VARCHAR) ELSE '/' END AS path, CASE event_id % 6 WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS n,
+_QUERY_PAIRS = """SELECT event_id, CASE event_id % 6 WHEN 1 THEN '/a%20b/' WHEN 2 THEN '/rel/p' WHEN 4 THEN '/p/' || CAST(user_id AS VARCHAR) ELSE '/' END AS path, CAST(CASE event_id % 6 WHEN 1 THEN 5 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n,
     CASE event_id % 6 WHEN 1 THEN 'q→x y|e→é|flag→|→v|a→b=c' WHEN 2 THEN 'k→' || event_type || '|z→' WHEN 3 THEN 'only→1#f' ELSE '' END AS pairs FROM events"""
 
 
@@ -176,7 +176,7 @@ def _finds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", at("THE").alias("word_at"), at("").alias("empty_at"), at("É").alias("accent_at"), at("no such thing").alias("none_at"))
 
 
-_FINDS = """SELECT doc_id, nullif(strpos(replace(replace(replace(text, 'T', 't'), 'H', 'h'), 'E', 'e'), 'the'), 0) - 1 AS word_at, CASE WHEN text IS NOT NULL THEN 0 END AS empty_at, nullif(strpos(text, 'É'), 0) - 1 AS accent_at,
+_FINDS = """SELECT doc_id, nullif(strpos(replace(replace(replace(text, 'T', 't'), 'H', 'h'), 'E', 'e'), 'the'), 0) - 1 AS word_at, CAST(CASE WHEN text IS NOT NULL THEN 0 END AS BIGINT) AS empty_at, nullif(strpos(text, 'É'), 0) - 1 AS accent_at,
     nullif(strpos(lower(text), 'no such thing'), 0) - 1 AS none_at FROM documents"""
 
 
