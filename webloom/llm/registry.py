@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import bpe, langid, ngramjoin, packing, pii, secrets, urlfilter, vectors, wrappers
+from webloom.llm import bpe, centroids, langid, lexical, ngramjoin, packing, pii, quality, secrets, urlfilter, vectors, wrappers
 
 QUERIES = {
     "op1_html": wrappers.op1_html,
@@ -15,6 +15,15 @@ QUERIES = {
     "op8_neighbours": vectors.op8_neighbours,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
+    "op11_quality": quality.op11_quality,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_search": lexical.op13_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_near_vectors": vectors.SQL3, "op5_jaccard": ngramjoin.SQL, "op6_urls": urlfilter.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_vectors": vectors.SQL3,
+    "op5_jaccard": ngramjoin.SQL,
+    "op6_urls": urlfilter.sql(),
+    "op12_centroids": centroids.sql(),
+    "op13_search": lexical.SQL,
+}
