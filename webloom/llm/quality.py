@@ -40,6 +40,8 @@ BINS = 1 << 14
 KEEP_FROM = 0.3
 #: Fixed point of statistics and of cosines.
 UNIT, COS_UNIT = 1 << 16, 1 << 12
+#: Fixed point of weights: a score's products and their sum are below 2^53 and so exact.
+WEIGHT_UNIT = 1 << 36
 #: Columns of sums in one row that a task hands on.
 WIDE = 16
 NAMES = (
@@ -111,7 +113,12 @@ def cosines(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray, width: float
     """Features in fixed point, with a constant last."""
     w, phase = projections()
     x = np.clip((stats - mean) / scale, -8, 8)
-    z = np.rint(np.cos(x @ (w * np.sqrt(width / len(NAMES))) + phase) * COS_UNIT)
+    w = w * np.sqrt(width / len(NAMES))
+    # added up in one order, whatever the batch: a matrix product's order depends on its shape
+    angle = np.tile(phase, (len(x), 1))
+    for j in range(len(NAMES)):
+        angle += x[:, j : j + 1] * w[j]
+    z = np.rint(np.cos(angle) * COS_UNIT)
     return np.hstack([z, np.full((len(z), 1), float(COS_UNIT))])
 
 
@@ -159,12 +166,12 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     width: float
-    weights: np.ndarray  # FOLDS + 1 rows, the last from all folds
+    weights: np.ndarray  # FOLDS + 1 rows of whole numbers, in units of 1 / WEIGHT_UNIT, the last from all folds
     steps_x: np.ndarray
     steps_y: np.ndarray
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return cosines(stats, self.mean, self.scale, self.width) @ self.weights.T
+        return cosines(stats, self.mean, self.scale, self.width) @ self.weights.T / WEIGHT_UNIT
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.raw(stats)[:, -1], self.steps_x, self.steps_y), 0.0, 1.0)
@@ -239,7 +246,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
     scale = np.array([max(UNIT / 1000, ((n * q - s * s) ** 0.5) / n) for s, q in zip(first, second, strict=True)])
     summed = rows.mapInArrow(_normal_equations(mean, scale), SUMS).groupBy("fold", "width", "part").agg(*[F.sum(f"s{i}") for i in range(WIDE)])
     k, weights = choose(*unpack(summed.collect()))
-    model = Model(mean, scale, WIDTHS[k], weights, np.zeros(1), np.zeros(1))
+    model = Model(mean, scale, WIDTHS[k], np.rint(weights * WEIGHT_UNIT), np.zeros(1), np.zeros(1))
     bins = rows.mapInArrow(_bins(model), "bin int, n long, good long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("bin").collect()
     x = np.array([(r["bin"] + 0.5) / BINS * 2 - 0.5 for r in bins])
     model.steps_x, model.steps_y = isotonic(x, np.array([r["good"] for r in bins], float), np.array([r["n"] for r in bins], float))
