@@ -110,5 +110,5 @@ def test_scripts_and_results():
     from webloom.plans.content import RESULTS
 
     hits = [h for e, u, html in RESULTS for h in p.parse_results(e, html, u)]
-    assert [(h["engine"], h["rank"], h["url"]) for h in hits][:3] == [("duckduckgo", 1, "https://a.example/1"), ("duckduckgo", 3, "https://b.example"), ("bing", 1, "https://a.example/")]
+    assert [(h["engine"], h["rank"], h["url"]) for h in hits][:3] == [("duckduckgo", 1, "https://a.example/1"), ("duckduckgo", 3, "https://b.example/"), ("bing", 1, "https://a.example/")]
     assert {h["engine"] for h in hits} == set(p.ENGINES) and hits[0]["description"] == "first" and hits[0]["title"] == "One & two"

@@ -1,7 +1,12 @@
-"""URL functions as SQL text for a dialect. Arguments are SQL expressions."""
+"""URL functions as SQL text for a dialect. Arguments are SQL expressions.
+
+The engine resolves references and makes keys by the parser in ``urlparse``; the check has texts of its own, which know
+the forms that the tables' links have.
+"""
 
 from __future__ import annotations
 
+from webloom.functions import urlparse
 from webloom.functions.dialect import Spark
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,16 +69,25 @@ def is_tracking(d: Spark, name: str) -> str:
 
 
 def without_dots(d: Spark, p: str) -> str:
-    """A path that begins with a slash, its dot segments resolved."""
+    """For the check: a path that begins with a slash, its dot segments resolved."""
     step = f"CASE WHEN x = '.' THEN a WHEN x = '..' THEN {d.replace('a', '/[^/]*$')} ELSE a || '/' || x END"
     folded = d.fold(d.split(f"substr({p}, 2)", "/"), "a", "x", step)
     return f"CASE WHEN NOT contains({p}, '/.') THEN {p} WHEN {d.rlike(p, r'/[.][.]?$')} THEN {folded} || '/' ELSE {folded} END"
 
 
+def _coded(d: Spark, x: str) -> str:
+    """For the check: characters that no URL holds, as percent-encoded UTF-8."""
+    odd = r"""[^\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7a\x7c\x7e]"""
+    each = f"CASE WHEN {d.rlike('c', odd)} THEN url_encode(c) ELSE c END"
+    return f"CASE WHEN {d.rlike(x, odd)} THEN {d.join(d.transform(d.extract_all(x, '(?s)(.)'), 'c', each), '')} ELSE {x} END"
+
+
 def canonical_key(d: Spark, u: str) -> str:
-    """no scheme, lower host, port unless it is the scheme's own, path without dot segments and trailing
-    slashes, parameters in order without trackers and written anew, no fragment. What has no scheme is read as
-    https; what has no host even then, or one with white space, is lowered and cut at its fragment."""
+    """no scheme, the host as a parser writes it, port unless it is the scheme's own, path without dot segments and
+    trailing slashes, parameters in order without trackers and written anew, no fragment. What is no URL is tried with https before it,
+    and else lowered and cut at its fragment."""
+    if d.name == "spark":
+        return urlparse.canonical_key(u, is_tracking(d, "n"))
     raw = f"trim({u})"
     url = f"CASE WHEN {has_scheme(d, raw)} AND contains({raw}, '://') THEN {raw} ELSE 'https://' || {raw} END"
     name, value = d.decoded(d.extract("p", r"^([^=]*)")), d.decoded(d.extract("p", r"^[^=]*=(.*)$"))
@@ -86,19 +100,29 @@ def canonical_key(d: Spark, u: str) -> str:
 
 
 def resolve(d: Spark, base: str, ref: str) -> str:
-    """absolute, protocol-relative, root-relative, query, fragment and plain relative references; dot segments
-    of relative paths are resolved."""
+    """what a reference names on a page; references that are empty, fragments, have a scheme or name nothing stay as they are."""
+    if d.name == "spark":
+        return urlparse.resolve(base, ref)
+    t = f"trim({ref})"
+    return f"CASE WHEN {t} = '' OR {d.starts(t, d.lit('#'))} OR {has_scheme(d, t)} THEN {ref} ELSE {joined(d, base, t)} END"
+
+
+def joined(d: Spark, base: str, ref: str) -> str:
+    """The URL that a reference names on a page, null where it names none."""
+    if d.name == "spark":
+        return urlparse.joined(base, ref)
     root = f"{d.extract(base, r'^([A-Za-z][A-Za-z0-9+.-]*)://')} || '://' || {authority(d, base)}"
     folder = d.extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^/?#]*)*/)")
     place, rest = d.extract(ref, r"^([^?#]*)"), d.extract(ref, r"^[^?#]*(.*)$")
     below = f"CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {place}"
-    return (
-        f"CASE WHEN {ref} = '' OR {d.starts(ref, d.lit('#'))} OR {has_scheme(d, ref)} THEN {ref} "
-        f"WHEN {d.starts(ref, d.lit('//'))} THEN {d.extract(base, r'^([A-Za-z][A-Za-z0-9+.-]*):')} || ':' || {ref} "
+    made = (
+        f"CASE WHEN {has_scheme(d, ref)} THEN {ref} WHEN {d.starts(ref, d.lit('//'))} THEN {d.extract(base, r'^([A-Za-z][A-Za-z0-9+.-]*):')} || ':' || {ref} "
         f"WHEN {d.starts(ref, d.lit('/'))} THEN {root} || {without_dots(d, place)} || {rest} "
         f"WHEN {d.starts(ref, d.lit('?'))} THEN {d.extract(base, r'^([^?#]*)')} || {ref} "
+        f"WHEN {ref} = '' OR {d.starts(ref, d.lit('#'))} THEN {without_fragment(d, base)} || {ref} "
         f"ELSE {root} || {d.let('b', below, without_dots(d, 'b'))} || {rest} END"
     )
+    return d.let("j", made, _coded(d, "j"))
 
 
 def same_site(d: Spark, h: str, site: str) -> str:

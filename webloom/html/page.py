@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import json
 import re
-from urllib.parse import parse_qs, urljoin, urlsplit
+from urllib.parse import parse_qs, urlsplit
 
+from webloom.html import weburl
 from webloom.html.markdown import render
 from webloom.html.select import SelectorError, compile_selector, matches, select
 from webloom.html.tree import Comment, Element, inner, parse, serialise
@@ -38,13 +39,11 @@ def solid(text: str) -> int:
 
 def resolve(base: str | None, ref: str) -> str:
     """An absolute URL for a reference; fragments, other schemes and unusable bases leave it as it is."""
-    ref = ref.strip()
-    if not ref or ref.startswith("#") or SCHEME.match(ref) or not base or "://" not in base:
-        return ref
-    try:
-        return urljoin(base, ref)
-    except ValueError:
+    t = ref.strip()
+    if not t or t.startswith("#") or SCHEME.match(t) or not base:
         return ref
+    got = weburl.joined(base, t)
+    return ref if got is None else got
 
 
 def base_of(doc: Element, url: str) -> str:
@@ -381,10 +380,12 @@ ENGINES = {
 
 def result_url(raw: str, base: str) -> str | None:
     """Absolute http URL of a result; a redirect that carries its target in uddg is unwrapped."""
-    url = urljoin(base, raw.strip()) if raw.strip() else ""
+    url = weburl.written(weburl.parse(raw)) or weburl.joined(base, raw) or ""
+    if not raw.strip() or not url:
+        return None
     parts = urlsplit(url)
     if parts.hostname in ("duckduckgo.com", "html.duckduckgo.com") and parts.path.startswith("/l/"):
-        url = parse_qs(parts.query).get("uddg", [url])[0]
+        url = weburl.written(weburl.parse(parse_qs(parts.query).get("uddg", [url])[0])) or url
     return url if urlsplit(url).scheme in ("http", "https") else None
 
 

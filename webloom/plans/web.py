@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from webloom.functions import text as t
 from webloom.functions import urls as u
 from webloom.functions.dialect import Spark
@@ -16,32 +18,67 @@ def _url_parts(d: Spark) -> str:
         {u.without_fragment(d, "url")} AS normalized, {u.guid_segment(d, "url")} AS guid FROM pages"""
 
 
+#: References as pages hold them, and what each names on a page, for the check: {o} is the page's origin, {s} its scheme, {d} its folder, {u} its folder's
+#: folder, {p} the page without query and fragment, {q} with its query; null where the reference stays as it is.
+CASES = (
+    ("  y ", "{d}y"), ("a b?c d#e f", "{d}a%20b?c%20d#e%20f"), ("..\\x", "{u}x"), ("//X.com/../z", "{s}://x.com/z"), ("//b\u00fccher.example/\u00fc?\u00e4'", "{s}://xn--bcher-kva.example/%C3%BC?%C3%A4%27"),
+    ("/./a/%2E%2e/b", "{o}/b"), ("?x=1", "{p}?x=1"), ("#z", None), ("", None), ("//0x7F.1/", "{s}://127.0.0.1/"), ("//[2001:DB8:0:0:1:0:0:1]:08080/", "{s}://[2001:db8::1:0:0:1]:8080/"),
+    ("//u:p@h.example:21/a", "{s}://u:p@h.example:21/a"), ("//exa mple/", None), ("mailto:A@b.c", None), ("HTTPS://E.com:443", None), ("\\\\h\\p\\..\\q", "{s}://h/q"), ("/a\tb\nc", "{o}/abc"), ("//256.1.1.1/", None),
+    ("//\u4f8b\u3048.\u30c6\u30b9\u30c8/", "{s}://xn--r8jz45g.xn--zckzah/"), (".", "{d}"), ("x{y}|z^", "{d}x%7By%7D|z^"), ("/a//../b/", "{o}/a/b/"), ("//h:99999/", None), ("//\uff25\uff38.com/%zz", "{s}://ex.com/%zz"),
+)
+
+
 def _url_cases(d: Spark) -> str:
-    values = ", ".join(
-        f"({i}, {d.lit(x)})"
-        for i, x in enumerate(
-            ["https://EX.com:443/a/?utm_source=x&b=1&ref=q#f", "http://ex.com:80", "http://ex.com:8080/p//?fbclid=1", "//cdn.ex.com/x", "mailto:a@b.c", "/rel/path?x=1", "HTTPS://u:p@Ex.com/v2/items", "not a url/#frag/", "ftp://h/x", "https://e.com/0123abcd-0123-0123-0123-0123456789ab/s.js"]
-        )
-    )
-    return f"""SELECT id, url, {u.canonical_key(d, "url")} AS canonical, {u.is_http(d, "url")} AS is_http, {u.host(d, "url")} AS host, {u.port(d, "url")} AS port, {u.path(d, "url")} AS path,
-        {u.has_scheme(d, "url")} AS has_scheme, {u.redact_credentials(d, "url")} AS redacted, {u.versioned(d, u.path(d, "url"))} AS versioned, {u.guid_segment(d, "url")} AS guid,
-        {u.resolve(d, "'https://site.example/dir/page?q=1'", "url")} AS resolved FROM (VALUES {values}) AS v(id, url)"""
+    """Every reference of CASES on every page."""
+    at = d.explode("SELECT page_id, url FROM pages", "page_id, url", d.array([d.lit(r) for r, _ in CASES]), "ref")
+    return f"SELECT page_id, pos, {u.resolve(d, 'url', 'ref')} AS resolved, {u.joined(d, 'url', 'ref')} IS NOT NULL AS joins FROM ({at})"
+
+
+def _url_cases_plain() -> str:
+    part = {
+        "o": "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)", "s": "regexp_extract(url, '^([a-z]+)', 1)", "d": "regexp_extract(url, '^([a-z]+://[^/?#]*/([^?#]*/)?)', 1)",
+        "u": "regexp_extract(url, '^([a-z]+://[^/?#]*/([^?#]*/)?)', 1)", "p": "regexp_extract(url, '^([^?#]*)', 1)", "q": "regexp_extract(url, '^([^#]*)', 1)",
+    }
+    part["u"] = f"regexp_replace({part['d']}, '([^/:])/[^/]+/$', '\\1/')"
+
+    def row(k: int, ref: str, want: str | None) -> str:
+        fixed = ref.replace("'", "''")
+        value = "'" + fixed + "'" if want is None else " || ".join(part[w[1]] if w[:1] == "{" else "'" + w.replace("'", "''") + "'" for w in re.split(r"([{][osdupq][}])", want) if w)
+        joins = want is not None or ref in ("#z", "", "HTTPS://E.com:443")
+        return f"SELECT page_id, CAST({k} AS BIGINT) AS pos, {value} AS resolved, {str(joins).lower()} AS joins FROM pages"
+
+    return " UNION ALL ".join(row(k, r, w) for k, (r, w) in enumerate(CASES))
+
+
+def _spellings(d: Spark) -> str:
+    """the key of every page's URL, spelled in ways that a parser takes for the same."""
+    host, rest = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)", "regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1)"
+    spelled = ["url", f"upper(regexp_extract(url, '^([a-z]+)', 1)) || '://' || upper({host}) || {rest}", f"'https://' || {host} || ':443' || {rest}", f"'http://u:p@' || {host} || ':080' || {rest}", f"'  ' || {host} || {rest} || ' '",
+               f"'https:' || {host} || {rest}", f"'https:\\\\\\\\' || {host} || '/%2e/x/..' || {rest}", f"'https://' || {host} || {rest} || '#top'", f"'https://' || replace({host}, 'e', '%65') || {rest}"]
+    every = d.explode("SELECT page_id, url FROM pages", "page_id", d.array(spelled), "spelled")
+    return f"SELECT page_id, pos, {u.canonical_key(d, 'spelled')} AS canonical FROM ({every})"
+
+
+def _spellings_plain() -> str:
+    path = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+    kept = "array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|ref|fbclid)(=|$)')), '&')"
+    key = f"regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END"
+    return f"SELECT page_id, CAST(n AS BIGINT) AS pos, {key} AS canonical FROM pages, range(9) AS r(n)"
 
 
 def _canonical(d: Spark) -> str:
-    key = u.canonical_key(d, "url")
-    return f"SELECT {key} AS canonical, count(*) AS n_pages, min(page_id) AS first_page FROM pages GROUP BY {key}"
+    return f"SELECT canonical, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, {u.canonical_key(d, 'url')} AS canonical FROM pages) GROUP BY canonical"
 
 
 def _links(d: Spark) -> str:
     hrefs = d.explode("SELECT page_id, url, html FROM pages", "page_id, url", d.extract_all("html", HREF), "href")
-    kept = f"SELECT page_id, pos, {u.resolve(d, 'url', 'trim(href)')} AS link FROM ({hrefs}) WHERE trim(href) <> '' AND NOT {d.rlike('trim(href)', r'^(#|(?i)(javascript|mailto|tel):)')}"
-    return f"SELECT page_id, link, min(pos) AS pos FROM ({kept}) GROUP BY page_id, link"
+    kept = f"SELECT page_id, pos, {u.joined(d, 'url', 'trim(href)')} AS link FROM ({hrefs}) WHERE trim(href) <> '' AND NOT {d.rlike('trim(href)', r'^(#|(?i)(javascript|mailto|tel):)')}"
+    return f"SELECT page_id, link, min(pos) AS pos FROM ({kept}) WHERE link IS NOT NULL GROUP BY page_id, link"
 
 
 def _hrefs(d: Spark) -> str:
     hrefs = d.explode("SELECT page_id, url, html FROM pages", "page_id, url", d.extract_all("html", r"""(?i)href\s*=\s*["']([^"']*)["']"""), "href")
-    return f"SELECT * FROM (SELECT page_id, pos, {u.resolve(d, 'url', 'href')} AS link FROM ({hrefs})) WHERE {u.is_http(d, 'link')}"
+    return f"SELECT * FROM (SELECT page_id, pos, {u.joined(d, 'url', 'href')} AS link FROM ({hrefs})) WHERE {u.is_http(d, 'link')}"
 
 
 def _titles(d: Spark) -> str:
@@ -158,7 +195,8 @@ def _log_lines(d: Spark) -> str:
 both("percent_encoded", "F31", _encoded)
 both("log_lines", "K07", _log_lines)
 both("url_parts", "F02 F04 F09 F10 F11 E10 E22 E32", _url_parts)
-both("url_cases", "F01 F02 F03 F05 F07 F19 F39 M28 E10 E22 E32", _url_cases)
+both("url_cases", "F01 F02 F03 F39 M28", _url_cases, lambda d: _url_cases_plain())
+both("url_spellings", "F05 F06 F07", _spellings, lambda d: _spellings_plain())
 both("canonical_urls", "F05 F06 F07", _canonical)
 both("page_links", "D01 F01 C09 J08", _links)
 both("page_hrefs", "D02", _hrefs)
