@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from webloom.functions import state
 from webloom.functions import text as t
 from webloom.functions import urls as u
 from webloom.functions.dialect import Spark
@@ -130,17 +131,11 @@ _STATES = [
 
 def _state(d: Spark) -> str:
     rows = ", ".join(f"({i}, {d.lit(x)})" for i, x in enumerate(_STATES))
-    valid = lambda x: f"try_parse_json({x}) IS NOT NULL" if d.name == "spark" else f"json_valid({x})"
-    next_data = d.extract("html", r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>')
-    ld = d.filter(d.extract_all("html", r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), "x", valid("x"))
-    ids = d.filter(d.extract_all("html", r"/_next/static/([A-Za-z0-9_.-]+)/"), "x", "x NOT IN ('chunks', 'css', 'media', 'image')")
-    plausible = lambda x: f"CASE WHEN {d.rlike(x, '^[A-Za-z0-9_.-]{1,128}$')} THEN {x} END"
-    manifest = d.extract("html", r"/_next/static/([A-Za-z0-9_.-]+)/_(?:build|ssg)Manifest")
-    build = f"coalesce({plausible(d.extract(next_data, chr(34) + 'buildId' + chr(34) + r'\s*:\s*' + chr(34) + '([^' + chr(34) + ']*)'))}, {plausible(d.extract('html', r'__BUILD_ID\s*=\s*.([A-Za-z0-9_.-]+)'))}, {plausible(manifest)}, {plausible(d.at(ids, 1))})"
-    return f"""SELECT id, CASE WHEN {next_data} <> '' AND {valid(next_data)} THEN 'next_data' WHEN {d.size(ld)} > 0 THEN 'json_ld' ELSE 'miss' END AS origin, {d.size(ld)} AS n_ld, {build} AS build_id,
-        (contains(html, '__next_f') OR contains(html, 'self.__next_f')) AND NOT contains(html, '__NEXT_DATA__') AS app_router,
-        CASE WHEN {build} IS NOT NULL THEN '/_next/data/' || {build} || '/index.json' END AS data_url FROM (
-        SELECT id, html FROM (VALUES {rows}) AS v(id, html) UNION ALL SELECT 1000 + page_id, html FROM pages)"""
+    blob = state.next_data(d, "html")
+    ld = d.filter(d.extract_all("html", r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), "x", state.valid_json(d, "x"))
+    facts = f"""SELECT id, CASE WHEN {blob} <> '' AND {state.valid_json(d, blob)} THEN 'next_data' WHEN {d.size(ld)} > 0 THEN 'json_ld' ELSE 'miss' END AS origin, {d.size(ld)} AS n_ld,
+        {state.build_id(d, "html")} AS build_id, {state.app_router(d, "html")} AS app_router FROM (SELECT id, html FROM (VALUES {rows}) AS v(id, html) UNION ALL SELECT 1000 + page_id, html FROM pages)"""
+    return f"SELECT *, CASE WHEN build_id IS NOT NULL THEN '/_next/data/' || build_id || '/index.json' END AS data_url FROM ({facts})"
 
 
 def _scripts(d: Spark) -> str:
