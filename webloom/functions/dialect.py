@@ -82,6 +82,10 @@ class Spark:
     def explode(self, base: str, columns: str, xs: str, name: str = "x") -> str:
         return f"SELECT {columns}, CAST(pos AS BIGINT) AS pos, {name} FROM ({base}) LATERAL VIEW posexplode({xs}) e AS pos, {name}"
 
+    def once(self, base: str, columns: str, expression: str, name: str) -> str:
+        """A column whose expression is planned and evaluated once, however often the column is used."""
+        return f"SELECT {columns}, {name} FROM ({base}) LATERAL VIEW explode(array({expression})) o AS {name}"
+
     def micros(self, ts: str) -> str:
         return f"unix_micros(CAST({ts} AS TIMESTAMP))"
 
@@ -158,6 +162,9 @@ class Duck(Spark):
     def explode(self, base: str, columns: str, xs: str, name: str = "x") -> str:
         return f"SELECT {columns}, CAST(pos_ AS BIGINT) - 1 AS pos, {name} FROM (SELECT *, unnest(l_) AS {name}, generate_subscripts(l_, 1) AS pos_ FROM (SELECT *, {xs} AS l_ FROM ({base})))"
 
+    def once(self, base: str, columns: str, expression: str, name: str) -> str:
+        return f"SELECT {columns}, {expression} AS {name} FROM ({base})"
+
     def micros(self, ts: str) -> str:
         return f"epoch_us({ts})"
 

@@ -192,7 +192,7 @@ def _states(raw: str, base: str | None) -> str:
 
 
 def parsed(raw: str, base: str | None = None) -> str:
-    """The parts (scheme, auth, host, port, path, query, fragment) of a URL, or of a reference with the name of a base's parts."""
+    """The parts (scheme, auth, host, port, path, query, fragment) of a URL, or of a reference with the name of a base's parts, which may be null."""
     rooted = ""
     if base:
         cut = struct(
@@ -204,20 +204,30 @@ def parsed(raw: str, base: str | None = None) -> str:
     return f"CASE WHEN {S.rlike(raw, PLAIN)} THEN {_cut(raw)} {rooted}ELSE {_states(raw, base)} END"
 
 
+PARTS = "struct<scheme: string, auth: string, host: string, port: string, path: string, query: string, fragment: string>"
+
+
 def written(p: str) -> str:
     """A URL of its parts; null for those that failed or have no authority."""
     return f"concat({p}.scheme, '://', {p}.auth, {p}.path, coalesce(concat('?', {p}.query), ''), coalesce(concat('#', {p}.fragment), ''))"
 
 
 def joined(base: str, ref: str) -> str:
-    """The URL that a reference names on a page; null where base or reference is none, or it names no place with a host."""
-    return let("ub", parsed(base), let("ur", ref, let("up", parsed("ur", "ub"), written("up"))))
+    """The URL that a reference names on a page; null where base or reference is none, or it names no place with a host. The parser is written
+    once: folded over the base, then the reference with the base's parts."""
+    start = struct(n="0", p=f"CAST(NULL AS {PARTS})")
+    step = f"CASE WHEN f.n = 1 AND f.p IS NULL THEN f ELSE {struct(n='f.n + 1', p=parsed('t', 'f.p'))} END"
+    return f"aggregate(array({base}, {ref}), {start}, (f, t) -> {step}, f -> {let('up', 'CASE WHEN f.n = 2 THEN f.p END', written('up'))})"
+
+
+def kept_or(ref: str, named: str) -> str:
+    t = f"regexp_replace({ref}, {S.lit(r'^\s+|\s+\z')}, '')"
+    return f"CASE WHEN {t} = '' OR {t} LIKE '#%' OR {S.rlike(t, SCHEME)} THEN {ref} ELSE coalesce({named}, {ref}) END"
 
 
 def resolve(base: str, ref: str) -> str:
     """references that are empty, fragments or have a scheme stay as they are, as do those that cannot be joined."""
-    t = f"regexp_replace({ref}, {S.lit(r'^\s+|\s+\z')}, '')"
-    return f"CASE WHEN {t} = '' OR {t} LIKE '#%' OR {S.rlike(t, SCHEME)} THEN {ref} ELSE coalesce({joined(base, t)}, {ref}) END"
+    return kept_or(ref, joined(base, f"regexp_replace({ref}, {S.lit(r'^\s+|\s+\z')}, '')"))
 
 
 def canonical_key(url: str, is_tracking: str) -> str:
@@ -229,5 +239,5 @@ def canonical_key(url: str, is_tracking: str) -> str:
     kept = f"CASE WHEN k.query IS NULL OR k.query = '' THEN '' ELSE array_join(transform({pairs}, x -> concat(url_encode(x.n), '=', url_encode(x.v))), '&') END"
     full = let("m", kept, "concat(lower(k.host), CASE WHEN k.port = '' THEN '' ELSE concat(':', k.port) END, rtrim('/', k.path), CASE WHEN m = '' THEN '' ELSE concat('?', m) END)")
     fallback = "lower(regexp_replace(regexp_replace(r, '#(?s:.*)', ''), '/+\\\\z', ''))"
-    parts = f"coalesce({parsed('r')}, {parsed('concat(' + chr(39) + 'https://' + chr(39) + ', r)')})"
+    parts = f"aggregate(array(r, concat('https://', r)), CAST(NULL AS {PARTS}), (f, t) -> CASE WHEN f IS NOT NULL THEN f ELSE {parsed('t')} END)"
     return let("r", f"regexp_replace({url}, {S.lit(r'^\s+|\s+\z')}, '')", f"CASE WHEN r = '' THEN '' ELSE {let('k', parts, f'CASE WHEN k.host IS NULL THEN {fallback} ELSE {full} END')} END")

@@ -107,6 +107,14 @@ def resolve(d: Spark, base: str, ref: str) -> str:
     return f"CASE WHEN {t} = '' OR {d.starts(t, d.lit('#'))} OR {has_scheme(d, t)} THEN {ref} ELSE {joined(d, base, t)} END"
 
 
+def resolved(d: Spark, ref: str, named: str) -> str:
+    """F01, F03 where it is at hand what the reference is joined to."""
+    if d.name == "spark":
+        return urlparse.kept_or(ref, named)
+    t = f"trim({ref})"
+    return f"CASE WHEN {t} = '' OR {d.starts(t, d.lit('#'))} OR {has_scheme(d, t)} THEN {ref} ELSE coalesce({named}, {ref}) END"
+
+
 def joined(d: Spark, base: str, ref: str) -> str:
     """The URL that a reference names on a page, null where it names none."""
     if d.name == "spark":

@@ -45,6 +45,11 @@ def answers_by_request(answers: DataFrame) -> DataFrame:
     return by.agg(first.alias("a")).select("a_method", "a_url", F.col("a.status").alias("a_status"), F.col("a.body").alias("a_body"))
 
 
+def once(df: DataFrame, name: str, expression: str) -> DataFrame:
+    """Adds a column whose expression is planned and evaluated once, however often the column is used."""
+    return df.select("*", F.explode(F.array(F.expr(expression))).alias(name))
+
+
 def good() -> Column:
     return F.coalesce(F.col("a_status").between(200, 299) & F.expr("try_parse_json(a_body) IS NOT NULL"), F.lit(False))
 
@@ -64,7 +69,7 @@ def routed(pages: DataFrame, answers: DataFrame) -> DataFrame:
     """Stage 1 over unresolved pages: adds route (the data route's URL, null where a page has none), a_status and routed (its JSON)."""
     path, pairs = records.path_and_pairs("url")
     route = F.when(~F.col("app_router") & F.col("build_id").isNotNull(), records.data_route(F.col("build_id"), path, pairs))
-    asked = pages.withColumn("route", route).withColumn("route", F.expr(f"CASE WHEN route IS NOT NULL THEN coalesce({urlparse.joined('url', 'route')}, route) END"))
+    asked = once(pages.withColumn("path", route), "route", f"CASE WHEN path IS NOT NULL THEN coalesce({urlparse.joined('url', 'path')}, path) END").drop("path")
     met = asked.join(answers.where("a_method = 'GET'"), F.col("route") == F.col("a_url"), "left")
     return met.withColumn("routed", F.when(good(), F.col("a_body"))).drop("a_method", "a_url", "a_body")
 
@@ -103,7 +108,8 @@ def replayed(requests: DataFrame, answers: DataFrame, tries: int = 1, allow_unsa
     up to it. The best are ranked with a limit, so that only ``tries`` rows a page and task are moved."""
     best = Window.partitionBy("page_id").orderBy(F.desc("score"), "seq")
     ranked = requests.where(eligible(allow_unsafe) & (F.col("score") >= signals.MIN_VIABLE)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= tries)
-    met = ranked.select("page_id", "place", "score", F.upper(F.trim("method")).alias("method"), F.expr(f"coalesce({urlparse.joined('target', 'url')}, url)").alias("at")).join(
+    placed = once(ranked.select("page_id", "place", "score", F.upper(F.trim("method")).alias("method"), "target", "url"), "at", f"coalesce({urlparse.joined('target', 'url')}, url)")
+    met = placed.select("page_id", "place", "score", "method", "at").join(
         answers, (F.col("method") == F.col("a_method")) & (F.col("at") == F.col("a_url")), "left"
     )
     detail = F.concat("method", F.lit(" "), "at", F.lit(" (score "), "score", F.lit(")"))

@@ -110,7 +110,8 @@ HITS = """SELECT event_type AS engine, row_number() OVER (PARTITION BY event_typ
 def _fusion(d: Spark) -> str:
     """The limit is applied after all hits are merged and sorted. Two levels of aggregates, whose minima are combined before the shuffle: a key's hits are
     never sorted in one place."""
-    keyed = f"SELECT *, {u.canonical_key(d, 'url')} AS k, {d.octets('trim(title)')} + {d.octets('trim(description)')} AS rich FROM ({HITS})"
+    rich = f"{d.octets('trim(title)')} + {d.octets('trim(description)')} AS rich"
+    keyed = d.once(HITS, f"engine, rank, url, title, {rich}", u.canonical_key(d, "url"), "k")
     first = "named_struct('rank', rank, 'poor', -rich, 'url', url, 'title', title, 'engine', engine)"
     per = f"SELECT k, engine, min(rank) AS best, min({first}) AS o FROM ({keyed}) GROUP BY k, engine"
     fused = f"SELECT k, round(sum(CAST(1.0 AS DOUBLE) / best), 9) AS score, min(best) AS best_rank, {d.ordered('engine', ',', 'engine')} AS engines, count(*) AS n_engines, min(o) AS o FROM ({per}) GROUP BY k"

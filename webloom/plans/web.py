@@ -32,7 +32,8 @@ CASES = (
 def _url_cases(d: Spark) -> str:
     """Every reference of CASES on every page."""
     at = d.explode("SELECT page_id, url FROM pages", "page_id, url", d.array([d.lit(r) for r, _ in CASES]), "ref")
-    return f"SELECT page_id, pos, {u.resolve(d, 'url', 'ref')} AS resolved, {u.joined(d, 'url', 'ref')} IS NOT NULL AS joins FROM ({at})"
+    met = d.once(at, "page_id, pos, ref", u.joined(d, "url", "ref"), "named")
+    return f"SELECT page_id, pos, {u.resolved(d, 'ref', 'named')} AS resolved, named IS NOT NULL AS joins FROM ({met})"
 
 
 def _url_cases_plain() -> str:
@@ -57,7 +58,7 @@ def _spellings(d: Spark) -> str:
     spelled = ["url", f"upper(regexp_extract(url, '^([a-z]+)', 1)) || '://' || upper({host}) || {rest}", f"'https://' || {host} || ':443' || {rest}", f"'http://u:p@' || {host} || ':080' || {rest}", f"'  ' || {host} || {rest} || ' '",
                f"'https:' || {host} || {rest}", f"'https:\\\\\\\\' || {host} || '/%2e/x/..' || {rest}", f"'https://' || {host} || {rest} || '#top'", f"'https://' || replace({host}, 'e', '%65') || {rest}"]
     every = d.explode("SELECT page_id, url FROM pages", "page_id", d.array(spelled), "spelled")
-    return f"SELECT page_id, pos, {u.canonical_key(d, 'spelled')} AS canonical FROM ({every})"
+    return d.once(every, "page_id, pos", u.canonical_key(d, "spelled"), "canonical")
 
 
 def _spellings_plain() -> str:
@@ -68,18 +69,19 @@ def _spellings_plain() -> str:
 
 
 def _canonical(d: Spark) -> str:
-    return f"SELECT canonical, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT page_id, {u.canonical_key(d, 'url')} AS canonical FROM pages) GROUP BY canonical"
+    return f"SELECT canonical, count(*) AS n_pages, min(page_id) AS first_page FROM ({d.once('SELECT page_id, url FROM pages', 'page_id', u.canonical_key(d, 'url'), 'canonical')}) GROUP BY canonical"
 
 
 def _links(d: Spark) -> str:
     hrefs = d.explode("SELECT page_id, url, html FROM pages", "page_id, url", d.extract_all("html", HREF), "href")
-    kept = f"SELECT page_id, pos, {u.joined(d, 'url', 'trim(href)')} AS link FROM ({hrefs}) WHERE trim(href) <> '' AND NOT {d.rlike('trim(href)', r'^(#|(?i)(javascript|mailto|tel):)')}"
+    plain = f"SELECT * FROM ({hrefs}) WHERE trim(href) <> '' AND NOT {d.rlike('trim(href)', r'^(#|(?i)(javascript|mailto|tel):)')}"
+    kept = d.once(plain, "page_id, pos", u.joined(d, "url", "trim(href)"), "link")
     return f"SELECT page_id, link, min(pos) AS pos FROM ({kept}) WHERE link IS NOT NULL GROUP BY page_id, link"
 
 
 def _hrefs(d: Spark) -> str:
     hrefs = d.explode("SELECT page_id, url, html FROM pages", "page_id, url", d.extract_all("html", r"""(?i)href\s*=\s*["']([^"']*)["']"""), "href")
-    return f"SELECT * FROM (SELECT page_id, pos, {u.joined(d, 'url', 'href')} AS link FROM ({hrefs})) WHERE {u.is_http(d, 'link')}"
+    return f"SELECT * FROM ({d.once(hrefs, 'page_id, pos', u.joined(d, 'url', 'href'), 'link')}) WHERE {u.is_http(d, 'link')}"
 
 
 def _titles(d: Spark) -> str:
