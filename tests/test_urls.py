@@ -12,7 +12,7 @@ BASE = "http://EX.com:80/a/b c/d?q#f"
 JOINS = [("  y ","http://ex.com/a/b%20c/y"),("a b","http://ex.com/a/b%20c/a%20b"),("..\\x","http://ex.com/a/x"),("//X.com/../z","http://x.com/z"),("//bücher.example/ü?ä'#`","http://xn--bcher-kva.example/%C3%BC?%C3%A4%27#%60"),
 ("/./a/%2E%2e/b","http://ex.com/b"),("?x","http://ex.com/a/b%20c/d?x"),("#z","http://ex.com/a/b%20c/d?q#z"),("","http://ex.com/a/b%20c/d?q"),("//0x7F.1/","http://127.0.0.1/"),("//[2001:DB8:0:0:1:0:0:1]:080/","http://[2001:db8::1:0:0:1]/"),
 ("//u:p@h.example:0443/a","http://u:p@h.example:443/a"),("//exa mple/",None),("https:x","https://x/"),("http:x","http://ex.com/a/b%20c/x"),("http:/x","http://ex.com/x"),("https://a.b/../../c/./d/..","https://a.b/c/"),
-("//a:b/",None),("//a:99999/",None),("mailto:x@y",None),("ftp://x:21/","ftp://x/"),("\\\\h\\p\\..\\q","http://h/q"),("///h2/x","http://h2/x"),("/a\tb\nc","http://ex.com/abc"),("//1.2.3/","http://1.2.0.3/"),("//256.1.1.1/",None),("//1.2.3.4.5/",None),("//4294967295/","http://255.255.255.255/"),("//4294967296/",None),
+("//a:b/",None),("//a:99999/",None),("mailto:x@y","mailto:x@y"),("Data:a b?c d#é\x01x","data:a b?c%20d#%C3%A9%01x"),("ftp://x:21/","ftp://x/"),("\\\\h\\p\\..\\q","http://h/q"),("///h2/x","http://h2/x"),("/a\tb\nc","http://ex.com/abc"),("//1.2.3/","http://1.2.0.3/"),("//256.1.1.1/",None),("//1.2.3.4.5/",None),("//4294967295/","http://255.255.255.255/"),("//4294967296/",None),
 ("//[::1]/","http://[::1]/"),("//[::]/","http://[::]/"),("//[1:2:3:4:5:6:7:8]/","http://[1:2:3:4:5:6:7:8]/"),("//[::ffff:1.2.3.4]/","http://[::ffff:102:304]/"),("//[1::2::3]/",None),("//[1:0:0:0:2:0:0:0]/","http://[1::2:0:0:0]/"),("//[0:0:1:0:0:0:0:0]/","http://[0:0:1::]/"),("//[1:2]/",None),("//[10:0:0:1:0:0:10:0]/","http://[10::1:0:0:10:0]/"),
 ("//ＥＸ.com/","http://ex.com/"),("//a%41b.com/","http://aab.com/"),("//a%00b/",None),("//@h/","http://h/"),("//u@h/","http://u@h/"),("//u%:p:q@x@h/","http://u%:p%3Aq%40x@h/"),("//münchen-ost.example。de/","http://xn--mnchen-ost-9db.example.de/"),("//例え.テスト/","http://xn--r8jz45g.xn--zckzah/"),("//правда.рф/","http://xn--80aafi6cg.xn--p1ai/"),("//ñandú.cl/","http://xn--and-6ma2c.cl/"),("//😀.la/","http://xn--e28h.la/"),("//straße.de/","http://xn--strae-oqa.de/"),
 ("a/../b/./c","http://ex.com/a/b%20c/b/c"),("/..","http://ex.com/"),("/a//../b","http://ex.com/a/b"),(".","http://ex.com/a/b%20c/"),("x{y}|z^","http://ex.com/a/b%20c/x%7By%7D|z^"),("foo://H/../x","foo://H/x"),("/ok/path?x=1#y","http://ex.com/ok/path?x=1#y"),("//h:0/","http://h:0/"),("//h:/","http://h/"),("//h.",'http://h./'),("/a?b?c#d#e","http://ex.com/a?b?c#d#e")]

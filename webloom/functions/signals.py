@@ -59,9 +59,14 @@ def any_of(d: Spark, x: str, markers) -> str:
     return d.rlike(x, "|".join(map(re.escape, markers)))
 
 
-def first_kind(d: Spark, x: str, table) -> str:
+def holds(d: Spark, x: str, markers) -> str:
+    """The same for long texts that are at hand: each marker is searched by itself, several times as fast as a pattern of them all."""
+    return "(" + " OR ".join(f"contains({x}, {d.lit(m)})" for m in markers) + ")"
+
+
+def first_kind(d: Spark, x: str, table, found=any_of) -> str:
     """Kind of the first signature of a table with a token in x; null if there is none."""
-    return "CASE " + " ".join(f"WHEN {any_of(d, x, tokens)} THEN '{kind}'" for kind, tokens in table) + " END"
+    return "CASE " + " ".join(f"WHEN {found(d, x, tokens)} THEN '{kind}'" for kind, tokens in table) + " END"
 
 
 def is_analytics(d: Spark, url: str) -> str:
@@ -134,12 +139,12 @@ def scored(d: Spark, rows: str) -> str:
 
 
 def vendor(d: Spark, x: str) -> str:
-    return f"coalesce({first_kind(d, x, VENDOR_MARKERS)}, CASE WHEN {u.guid_segment(d, x)} THEN 'kasada' END)"
+    return f"coalesce({first_kind(d, x, VENDOR_MARKERS, holds)}, CASE WHEN {u.guid_segment(d, x)} THEN 'kasada' END)"
 
 
 def challenge(d: Spark, status: str, headers: str, body: str, solid: str) -> str:
     """Headers are name:value lines in lower case, body is lower-cased, solid its rendered non-space length."""
-    phrase, marker = first_kind(d, body, PHRASES), f"coalesce({vendor(d, body)}, {vendor(d, headers)})"
+    phrase, marker = first_kind(d, body, PHRASES, holds), f"coalesce({vendor(d, body)}, {vendor(d, headers)})"
     blocking = f"{status} IN {BLOCKING}"
     return (
         f"CASE WHEN contains({headers}, 'cf-mitigated:challenge') THEN 'cloudflare' "

@@ -169,7 +169,7 @@ def _states(raw: str, base: str | None) -> str:
         sp="o.sp",
         opaque="o.absolute AND NOT o.sp AND NOT o.head LIKE '//%'",
         authority=f"CASE WHEN {own} THEN regexp_extract({slashes}, '^[^/]*', 0) END",
-        path=f"CASE WHEN {own} THEN regexp_extract({slashes}, '^[^/]*((?s:.*))', 1) WHEN o.head LIKE '/%' THEN o.head WHEN o.head = '' THEN {b('path')} ELSE concat(regexp_extract({b('path')}, '^((?s:.*)/)', 1), o.head) END",
+        path=f"CASE WHEN {own} THEN regexp_extract({slashes}, '^[^/]*((?s:.*))', 1) WHEN o.absolute OR o.head LIKE '/%' THEN o.head WHEN o.head = '' THEN {b('path')} ELSE concat(regexp_extract({b('path')}, '^((?s:.*)/)', 1), o.head) END",
         query=f"CASE WHEN o.head = '' AND NOT o.absolute THEN coalesce(o.query, {b('query')}) ELSE o.query END",
         fragment="o.fragment",
     )
@@ -186,7 +186,7 @@ def _states(raw: str, base: str | None) -> str:
     path = let("p", "CASE WHEN o.sp AND o.path = '' THEN '/' ELSE o.path END", let("p", encoded("p", PATH_SET), without_dots("p")))
     query = f"CASE WHEN o.sp THEN {encoded('o.query', SPECIAL_QUERY_SET)} ELSE {encoded('o.query', QUERY_SET)} END"
     done = struct(scheme="o.e", auth="a.auth", host="a.host", port="a.port", path=path, query=query, fragment=encoded("o.fragment", FRAGMENT_SET))
-    none = struct(scheme="o.e", auth="CAST(NULL AS STRING)", host="CAST(NULL AS STRING)", port="CAST(NULL AS STRING)", path="o.path", query="o.query", fragment="o.fragment")
+    none = struct(scheme="o.e", auth="CAST(NULL AS STRING)", host="CAST(NULL AS STRING)", port="CAST(NULL AS STRING)", path=encoded("o.path", CONTROL), query=encoded("o.query", QUERY_SET), fragment=encoded("o.fragment", FRAGMENT_SET))
     full = f"CASE WHEN o.e IS NULL THEN NULL WHEN o.opaque THEN {none} ELSE {let('a', f'CASE WHEN o.authority IS NULL THEN {inherited} ELSE {authority} END', f'CASE WHEN a.auth IS NOT NULL THEN {done} END')} END"
     return let("o", opened, let("o", split, let("o", placed, full)))
 
@@ -208,18 +208,23 @@ PARTS = "struct<scheme: string, auth: string, host: string, port: string, path:
 
 
 def written(p: str) -> str:
-    """A URL of its parts; null for those that failed or have no authority."""
-    return f"concat({p}.scheme, '://', {p}.auth, {p}.path, coalesce(concat('?', {p}.query), ''), coalesce(concat('#', {p}.fragment), ''))"
+    """A URL of its parts; null for those that failed."""
+    return f"concat({p}.scheme, CASE WHEN {p}.auth IS NULL THEN ':' ELSE concat('://', {p}.auth) END, {p}.path, coalesce(concat('?', {p}.query), ''), coalesce(concat('#', {p}.fragment), ''))"
 
 
 def joined(base: str, ref: str) -> str:
-    """The URL that a reference names on a page; null where base or reference is none, or it names no place with a host. The parser is written
+    """The URL that a reference names on a page; null where base or reference is none. The parser is written
     once: folded over the base, then the reference with the base's parts."""
     start = struct(n="0", p=f"CAST(NULL AS {PARTS})")
     step = f"CASE WHEN f.n = 1 AND f.p IS NULL THEN f ELSE {struct(n='f.n + 1', p=parsed('t', 'f.p'))} END"
     return f"aggregate(array({base}, {ref}), {start}, (f, t) -> {step}, f -> {let('up', 'CASE WHEN f.n = 2 THEN f.p END', written('up'))})"
 
 
+def normal(url: str) -> str:
+    """A URL as the standard writes it; null where it is none."""
+    return let("up", parsed(url), written("up"))
+
+
 def kept_or(ref: str, named: str) -> str:
     t = f"regexp_replace({ref}, {S.lit(r'^\s+|\s+\z')}, '')"
     return f"CASE WHEN {t} = '' OR {t} LIKE '#%' OR {S.rlike(t, SCHEME)} THEN {ref} ELSE coalesce({named}, {ref}) END"

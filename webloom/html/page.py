@@ -181,12 +181,15 @@ def metadata(doc: Element, url: str, status: int, content_type: str) -> dict:
 
 
 def links(doc: Element, url: str) -> list[str]:
-    base, out = base_of(doc, url), {}
+    """What the anchors name, in order and once; as written where the page's own URL is none."""
+    base, out = weburl.parse(url), {}
+    tag = next((e for e in doc.walk() if e.tag == "base" and "href" in e.attrs), None)
+    if base and tag is not None:
+        base = weburl.parse(tag.attrs["href"].strip(), base) or base
     for e in doc.walk():
         href = e.attrs.get("href", "").strip() if e.tag == "a" else ""
         if href and not href.startswith("#") and not re.match(r"(?i)(javascript|mailto|tel):", href):
-            got = resolve(base, href)
-            if "://" in got:
+            if got := weburl.written(weburl.parse(href, base)) if base else href:
                 out[got] = None
     return list(out)
 

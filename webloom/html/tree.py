@@ -75,6 +75,8 @@ class Comment(str):
 
 
 class _Builder(HTMLParser):
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Element("#document")
@@ -140,6 +142,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.cdata_elem in ("title", "textarea"):
+            data = entities.unescape(data)
         if self.in_head and not self.stack:
             if not data.strip():
                 return

@@ -85,7 +85,7 @@ def _authority(raw: str, scheme: str) -> str | None:
 
 
 def parse(raw: str, base: tuple | None = None) -> tuple | None:
-    """(scheme, authority, path, query, fragment) of a URL, or of a reference to a parsed base; None where it fails or has no authority."""
+    """(scheme, authority, path, query, fragment) of a URL, or of a reference to a parsed base; None where it fails; authority is None for mailto: and the like."""
     s = re.sub(r"[\t\n\r]", "", raw.strip("".join(map(chr, range(33)))))
     m = SCHEME.match(s)
     scheme, rest = (m[1].lower(), s[m.end() :]) if m else ("", s)
@@ -106,7 +106,7 @@ def parse(raw: str, base: tuple | None = None) -> tuple | None:
         raw_authority, slash, path = whole.partition("/")
         authority, path = _authority(raw_authority, scheme), slash + path
     elif m:
-        return None
+        return scheme, None, encoded(head, ""), None if query is None else encoded(query, QUERY_SET), encoded(fragment, FRAGMENT_SET) if hash_ else None
     else:
         authority, path = base[1], head if head.startswith("/") else base[2].rpartition("/")[0] + "/" + head if head else base[2]
         query = base[3] if not head and query is None else query
@@ -122,7 +122,7 @@ def written(parts: tuple | None) -> str | None:
     if parts is None:
         return None
     scheme, authority, path, query, fragment = parts
-    return f"{scheme}://{authority}{path}" + ("" if query is None else f"?{query}") + ("" if fragment is None else f"#{fragment}")
+    return f"{scheme}:{path if authority is None else f'//{authority}{path}'}" + ("" if query is None else f"?{query}") + ("" if fragment is None else f"#{fragment}")
 
 
 def joined(base: str, ref: str) -> str | None:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from webloom.functions import records, signals, state, urlparse
 from webloom.functions.dialect import SPARK
 from webloom.html import page as p
+from webloom.html import weburl
 from webloom.operators.pages import per_row
 from webloom.operators.storage import materialise
 
@@ -55,22 +56,24 @@ def good() -> Column:
 
 
 def embedded(pages: DataFrame) -> DataFrame:
-    """Stage 0: (page_id, url, origin, data, build_id, app_router), origin null for pages without state."""
+    """Stage 0: (page_id, url, origin, data, build_id, app_router, route): origin is null for pages without state, route is the URL of a page's data, null where its framework serves none."""
 
-    def make(url, html, build_id, app_router):
+    def make(url, html, build_id, app_router, path):
         got = p.embedded_state(html or "")
-        return [{"url": url, "origin": got[0] if got else None, "data": json.dumps(got[1], ensure_ascii=False) if got else None, "build_id": build_id, "app_router": bool(app_router)}]
+        return [{
+            "url": url, "origin": got[0] if got else None, "data": json.dumps(got[1], ensure_ascii=False) if got else None, "build_id": build_id, "app_router": bool(app_router),
+            "route": path and (weburl.joined(url or "", path) or path),
+        }]
 
     marked = pages.select("page_id", "url", "html", F.expr(state.build_id(SPARK, "html")).alias("build_id"), F.expr(state.app_router(SPARK, "html")).alias("app_router"))
-    return per_row(marked, "page_id", ["url", "html", "build_id", "app_router"], "url string, origin string, data string, build_id string, app_router boolean", make)
+    path, pairs = records.path_and_pairs("url")
+    placed = marked.withColumn("path", F.when(~F.col("app_router") & F.col("build_id").isNotNull(), records.data_route(F.col("build_id"), path, pairs)))
+    return per_row(placed, "page_id", ["url", "html", "build_id", "app_router", "path"], "url string, origin string, data string, build_id string, app_router boolean, route string", make)
 
 
 def routed(pages: DataFrame, answers: DataFrame) -> DataFrame:
-    """Stage 1 over unresolved pages: adds route (the data route's URL, null where a page has none), a_status and routed (its JSON)."""
-    path, pairs = records.path_and_pairs("url")
-    route = F.when(~F.col("app_router") & F.col("build_id").isNotNull(), records.data_route(F.col("build_id"), path, pairs))
-    asked = once(pages.withColumn("path", route), "route", f"CASE WHEN path IS NOT NULL THEN coalesce({urlparse.joined('url', 'path')}, path) END").drop("path")
-    met = asked.join(answers.where("a_method = 'GET'"), F.col("route") == F.col("a_url"), "left")
+    """Stage 1 over unresolved pages: adds a_status and routed (the JSON of a page's route)."""
+    met = pages.join(answers.where("a_method = 'GET'"), F.col("route") == F.col("a_url"), "left")
     return met.withColumn("routed", F.when(good(), F.col("a_body"))).drop("a_method", "a_url", "a_body")
 
 
@@ -108,8 +111,10 @@ def replayed(requests: DataFrame, answers: DataFrame, tries: int = 1, allow_unsa
     up to it. The best are ranked with a limit, so that only ``tries`` rows a page and task are moved."""
     best = Window.partitionBy("page_id").orderBy(F.desc("score"), "seq")
     ranked = requests.where(eligible(allow_unsafe) & (F.col("score") >= signals.MIN_VIABLE)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= tries)
-    placed = once(ranked.select("page_id", "place", "score", F.upper(F.trim("method")).alias("method"), "target", "url"), "at", f"coalesce({urlparse.joined('target', 'url')}, url)")
-    met = placed.select("page_id", "place", "score", "method", "at").join(
+    # the URL parser is planned by itself, not again with every stage of the joins around it
+    few = materialise(ranked.select("page_id", "place", "score", F.upper(F.trim("method")).alias("method"), "target", "url"), "ladder-tried")
+    placed = materialise(once(few, "at", f"coalesce({urlparse.joined('target', 'url')}, url)").drop("target", "url"), "ladder-asked")
+    met = placed.join(
         answers, (F.col("method") == F.col("a_method")) & (F.col("at") == F.col("a_url")), "left"
     )
     detail = F.concat("method", F.lit(" "), "at", F.lit(" (score "), "score", F.lit(")"))

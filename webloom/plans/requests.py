@@ -99,7 +99,7 @@ def _challenge(d: Spark) -> str:
     every = f"SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 403 ELSE 200 END AS status, '' AS headers, html AS body FROM pages UNION ALL SELECT * FROM (VALUES {rows}) AS v(page_id, status, headers, body)"
     low = f"SELECT page_id, status, {d.replace(u.ascii_lower('headers'), ': +', ':')} AS headers, {u.ascii_lower('body')} AS body, {t.solid_length(d, d.replace('body', '<[^>]*>', ' '))} AS solid FROM ({every})"
     return f"""SELECT page_id, {s.challenge(d, "status", "headers", "body", "solid")} AS challenge, status IN {s.BLOCKING} AS blocking, status IN (429, 503) AS retryable, status BETWEEN 200 AND 299 AS ok,
-        solid > 0 AND solid * 5 < 1000 AS collapsed, {s.any_of(d, "body", s.WALL_MARKERS)} AS wall FROM ({low})"""
+        solid > 0 AND solid * 5 < 1000 AS collapsed, {s.holds(d, "body", s.WALL_MARKERS)} AS wall FROM ({low})"""
 
 
 # Hits that stand in for result lists: an engine ranks its users by value.
