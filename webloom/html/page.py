@@ -11,6 +11,7 @@ from urllib.parse import parse_qs, urlsplit
 
 from webloom.html import weburl
 from webloom.html.markdown import render
+from webloom.html.readable import readable
 from webloom.html.select import SelectorError, compile_selector, matches, select
 from webloom.html.tree import Comment, Element, inner, parse, serialise
 
@@ -121,24 +122,6 @@ def filter_tags(source: str, include: list[str] = (), exclude: list[str] = ()) -
     return "".join(serialise(e) for e in found.values() if not any(id(a) in found for a in e.ancestors()))
 
 
-def readable(doc: Element) -> Element | None:
-    """The element whose paragraphs weigh most: text less link text, with shares from children."""
-    scores: dict[int, float] = {}
-    by_id: dict[int, Element] = {}
-    for p in doc.walk():
-        if p.tag not in ("p", "pre", "td", "blockquote"):
-            continue
-        text = p.text(" ")
-        if len(text) < 25:
-            continue
-        links = sum(len(a.text(" ")) for a in p.walk() if a.tag == "a")
-        weight = (1 + text.count(",") + min(3, len(text) // 100)) * (1 - links / max(1, len(text)))
-        for a, share in zip(p.ancestors(), (1, 0.5, 0.25), strict=False):
-            scores[id(a)] = scores.get(id(a), 0) + weight * share
-            by_id[id(a)] = a
-    return by_id[max(scores, key=scores.get)] if scores else None
-
-
 def post_process(md: str) -> str:
     md = re.sub(r"(?i)(!\[[^\]]*\])\(\s*data:[^)]*\)", r"\1(<Base64-Image-Removed>)", md)
     md = re.sub(r"\[([^\[\]]*\n[^\[\]]*)\]\(", lambda m: "[" + m[1].replace("\n", "\\\n") + "](", md)
@@ -227,7 +210,7 @@ def scrape(source: str | None, url: str | None, status: int = 200, content_type:
         md = post_process(render(body))
         if only_main and solid(md) < THIN:
             whole = clean_tree(parse(kept), url, False)
-            article = readable(whole)
+            article = readable(whole.parent or whole)
             for alt in ([article] if article is not None else []) + [whole]:
                 if solid(md) >= THIN:
                     break

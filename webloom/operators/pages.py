@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.html import page as p
+from webloom.html.readable import readable
 from webloom.html.tree import parse
 from webloom.session import ship
 
@@ -92,6 +93,16 @@ def tree_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return per_row(pages, key, ["url", "html"], "pos long, link string", lambda url, html: [{"pos": i, "link": x} for i, x in enumerate(p.links(parse(html or ""), url or ""))])
 
 
+def main_content(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The text of each page's main content by scores, whatever its selectors say; null where it has none."""
+
+    def make(html):
+        got = readable(parse(html or ""))
+        return [{"text": got.text(" ") if got is not None else None}]
+
+    return per_row(pages, key, ["html"], "text string", make)
+
+
 def search_hits(results: DataFrame, key: str = "id") -> DataFrame:
     """Hits of result pages (key, engine, url, html); engines that are not known give none."""
 

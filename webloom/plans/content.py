@@ -54,6 +54,7 @@ only("page_state", "D04 D07 D08 D09 D10", lambda s, d: p.page_state(_pages(s, d)
 only("script_inventory", "D22 D23", lambda s, d: p.page_scripts(_pages(s, d)))
 only("tree_links", "D01 C09 C10", lambda s, d: p.tree_links(_pages(s, d)))
 only("search_results", "D26 D27 D28 D29 D30 D31 D32 D33 D34 D36 F08 F16 F17 L04", _results)
+only("readable_pages", "C14", lambda s, d: p.main_content(_pages(s, d)).select("page_id", "text", F.length("text").alias("chars")))
 only("crawl", "K02 E30 E31 L16 G03", _crawl)
 only("rendered_choice", "M04 C28 E18 E13", _rendered)
 only(
