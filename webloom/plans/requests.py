@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from webloom.functions import signals as s
 from webloom.functions import text as t
 from webloom.functions import urls as u
-from webloom.functions.dialect import Spark
-from webloom.plans.base import both
+from webloom.functions.dialect import DUCK, SPARK, Spark
+from webloom.operators import rules
+from webloom.plans.base import both, only, run_sql
 
 # Requests that stand in for an intercept log: the event's type picks a shape.
 INTERCEPTS = """SELECT user_id AS page_id, event_id AS seq, ts, value, 'https://site' || CAST(user_id % 5 AS VARCHAR(10)) || '.example/' AS target,
@@ -74,12 +77,29 @@ def _robot_rules(d: Spark) -> str:
     return f"SELECT a.site, a.k, a.v FROM ({grouped}) a JOIN ({chosen}) c ON a.site = c.site AND a.g = c.g WHERE a.k IN ('allow', 'disallow') AND a.v <> ''"
 
 
-def _robots(d: Spark) -> str:
+def _targets(d: Spark) -> str:
     site = d.extract("host", r"([^.]+\.[^.]+)$")
     target = d.replace(d.replace("url", r"#.*$"), r"^[A-Za-z]+://[^/?#]*")
-    pages = f"SELECT page_id, {site} AS site, CASE WHEN {target} = '' THEN '/' ELSE {target} END AS target FROM (SELECT page_id, url, {u.host(d, 'url')} AS host FROM pages)"
-    hits = f"SELECT p.page_id, r.k, length(r.v) AS size, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.v) DESC, r.k) AS n FROM ({pages}) p JOIN ({_robot_rules(d)}) r ON p.site = r.site WHERE {s.rule_fits(d, 'r.v', 'p.target')}"
-    return f"SELECT p.page_id, p.site, coalesce(h.k, 'none') AS rule, coalesce(h.k <> 'disallow', true) OR p.target = '/robots.txt' AS allowed FROM ({pages}) p LEFT JOIN (SELECT * FROM ({hits}) WHERE n = 1) h ON p.page_id = h.page_id"
+    return f"SELECT page_id, {site} AS site, CASE WHEN {target} = '' THEN '/' ELSE {target} END AS target FROM (SELECT page_id, url, {u.host(d, 'url')} AS host FROM pages)"
+
+
+def _decided_plain(d: Spark, rules: str) -> str:
+    """For the check: every rule of a site (site, k, v) with every page of it."""
+    hits = f"SELECT p.page_id, r.k, r.v, length(r.v) AS size, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.v) DESC, r.k, r.v DESC) AS n FROM ({_targets(d)}) p JOIN (SELECT DISTINCT * FROM ({rules})) r ON p.site = r.site WHERE {s.rule_fits(d, 'r.v', 'p.target')}"
+    return f"SELECT p.page_id, p.site, coalesce(h.v, '') AS pattern, coalesce(h.k, 'none') AS rule, coalesce(h.k <> 'disallow', true) OR p.target = '/robots.txt' AS allowed FROM ({_targets(d)}) p LEFT JOIN (SELECT * FROM ({hits}) WHERE n = 1) h ON p.page_id = h.page_id"
+
+
+def _decided(spark: SparkSession, sf_dir: str, listed: str) -> DataFrame:
+    targets, found = run_sql(spark, sf_dir, _targets(SPARK)).withColumnRenamed("page_id", "id"), run_sql(spark, sf_dir, listed)
+    return rules.decide(targets, found.selectExpr("site", "k AS kind", "v AS rule")).selectExpr("id AS page_id", "site", "coalesce(rule, '') AS pattern", "coalesce(kind, 'none') AS rule", "allowed")
+
+
+def _page_rules(d: Spark) -> str:
+    """As many rules as pages have paths: whole ones, halves of them, with stars in and after them, and ends."""
+    path = d.extract("url", r"^[a-z]+://[^/?#]*([^?#]*)")
+    cut = f"substr({path}, 1, CAST(floor(length({path}) / 2) AS INT))"
+    rule = f"CASE page_id % 5 WHEN 0 THEN {path} WHEN 1 THEN {cut} || '*' WHEN 2 THEN {path} || '$' WHEN 3 THEN substr({path}, 1, 2) || '*' || substr({path}, length({path}), 1) || '$' ELSE {cut} || '*' || '?page=' END"
+    return f"SELECT {d.extract(u.host(d, 'url'), r'([^.]+\.[^.]+)$')} AS site, CASE WHEN page_id % 3 = 0 THEN 'allow' ELSE 'disallow' END AS k, {rule} AS v FROM pages"
 
 
 def _robot_sitemaps(d: Spark) -> str:
@@ -149,7 +169,8 @@ both("best_endpoint", "J02 J03 F34", _best)
 both("endpoint_catalog", "J04 L13", _catalog)
 both("endpoint_counts", "I05 M06 H03", _counts)
 both("endpoint_replay", "J05 G07 M02 M03 E38", _replay)
-both("robots_decisions", "A08 E01 E02 E03 E04 G04", _robots)
+only("robots_decisions", "A08 E01 E02 E03 E04 G04", lambda spark, sf_dir: _decided(spark, sf_dir, _robot_rules(SPARK)), _decided_plain(DUCK, _robot_rules(DUCK)))
+only("rule_index", "E02 E03 G04", lambda spark, sf_dir: _decided(spark, sf_dir, _page_rules(SPARK)), _decided_plain(DUCK, _page_rules(DUCK)))
 both("robots_sitemaps", "A07 A08", _robot_sitemaps)
 both("challenge_flags", "E06 E07 E08 E09 E10 E12 E13 E36 E37 E38 F13 G05", _challenge)
 both("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _fusion, _fusion_plain)
