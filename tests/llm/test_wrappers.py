@@ -40,7 +40,7 @@ def test_main_text(spark, style):
 
 
 def test_constant_text_in_the_main_group_is_template():
-    pages = [f"<body><article><div>Read it on our app, the best of apps</div><p>Text {i} {'word ' * (20 + i)}</p></article></body>" for i in range(6)]
+    pages = [f"<body><article><div><a href=/app>Read it on our app, the best of apps</a></div><p>Text {i} {'word ' * (20 + i)}</p></article></body>" for i in range(6)]
     tree = w.fold(w.parse(pages[0]))
     for p in pages[1:]:
         w.merge_into(tree, w.fold(w.parse(p)))
@@ -115,14 +115,14 @@ def test_texts_of_copies_are_kept():
 
 
 def test_a_template_text_is_dropped_in_its_place_only():
-    note = "<div>Read it on our app</div>"
+    note = "<div><a href=/app>Read it on our app</a></div>"
     got = texts([article(i, note if i == 3 else "<p>Read it on our app</p>" if i == 4 else "", note) for i in range(6)])
     assert [t.count("Read it on our app") for t in got] == [0, 0, 0, 1, 1, 0]
     assert [t.split("\n")[0] for t in got] == [f"Title {i}" for i in range(6)]
 
 
 def test_empty_pages_do_not_hide_a_template_text(spark):
-    note = "<div>Read it on our app</div>"
+    note = "<div><a href=/app>Read it on our app</a></div>"
     rows = [(i, "https://h/", article(i, before=note)) for i in range(6)] + [(7, "https://h/", None), (8, "https://h/", ""), (9, "https://g/", None)]
     got = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[7] == got[8] == got[9] == "" and got[0].startswith("Title 0")
@@ -163,6 +163,36 @@ def test_constant_titles_and_texts_in_an_article_are_kept():
         assert texts(pages) == [f"Daily report\nunique {i}\nThe end." for i in range(n)]
 
 
+def test_words_that_an_article_shares_with_others_are_kept():
+    for n in (1, 2, 3, 8):
+        pages = [article(i, "<div>Thank you.</div>", "<div>Dear readers,</div>") for i in range(n)]
+        assert all(t.startswith("Dear readers,\nTitle") and t.endswith("\nThank you.") for t in texts(pages))
+
+
+@pytest.mark.parametrize("name", ['class="notice-of-award"', 'class="related-work"', 'id="social-history"', 'class="login-theory"', 'class="nav-mesh x"'])
+def test_names_that_hold_a_word_of_chrome_are_kept(name):
+    for n in (1, 3):
+        assert [t.split("\n")[2:] for t in texts([article(i, f"<section {name}><p>Part {i}</p></section>") for i in range(n)])] == [[f"Part {i}"] for i in range(n)]
+
+
+@pytest.mark.parametrize("name", ['class="related-posts"', 'id="share-buttons"', 'class="cookie-notice"', 'class="social_share-box y"', 'class="comments"'])
+def test_names_of_chrome_go(name):
+    assert "Part" not in alone(article(1, f"<section {name}><p>Part</p></section>"))
+
+
+def test_lists_of_links_without_an_article_element():
+    refs = "<ul><li><a href=/1>First reference</a><li><a href=/2>Second reference</a></ul>"
+    menu = "<ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul>"
+    page = lambda i: f"<body><div><h1>Title {i}</h1><p>{'Text of the page. ' * 9}{i}</p>{refs.replace('reference', f'reference {i}')}</div></body>"
+    assert alone(page(1)).endswith("First reference 1\nSecond reference 1")
+    assert [t.split("\n")[-1] for t in texts([page(i) for i in range(4)])] == [f"Second reference {i}" for i in range(4)]
+    assert "Home" not in alone(f"<body><div>{menu}<p>{'Text of the page. ' * 9}</p></div></body>")
+
+
+def test_formulas_are_text():
+    assert alone("<article><p>x is</p><math><mi>a</mi><mo>+</mo><mn>1</mn></math><p>here</p></article>").split("\n") == ["x is", "a+1", "here"]
+
+
 def test_lists_of_links_in_an_article_are_kept():
     refs = "<ul>" + "".join(f"<li><a href=/{k}>Reference number {k}</a>" for k in range(4)) + "</ul>"
     assert alone(article(1, refs)).split("\n")[2:] == [f"Reference number {k}" for k in range(4)]

@@ -10,9 +10,10 @@ The wrapper tells slots from template: a text that is the same on two pages or m
 in their paragraphs (copies count as one page), is template, and has no weight. The group that holds most
 of the other text is the main group; an article or main element goes before others. So two pages that differ are
 the least that show a template; a page alone, or among copies, is read by its own structure. In the main group,
-everything stays but: menus, footers, sidebars, forms, adverts, notices and comments, by their tags and names; groups
+everything stays but: menus, footers, sidebars, forms, adverts, notices and comments, by their tags and by names that say nothing else; groups
 whose name may mean such things as well as content, if the wrapper has them as template; and at its two ends, before
-the first slot and after the last, template texts, in an article or main element those in plain containers alone.
+the first slot and after the last, template texts, in an article or main element links in plain containers alone. Without such an element, a list of links
+goes if it is template too, or stands ahead of all text.
 A page without the wrapper's main group is read by its own structure, less the weight of the host's template texts.
 
 Defined results: null or empty html gives ""; pages without url, or without a host, share the wrapper of the
@@ -61,8 +62,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = HEADINGS | frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hgroup details summary".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no markup, or is not shown as text: it goes on to the end tag.
-RAW = frozenset("script style noscript template svg iframe object textarea select canvas audio video math button title".split())
-NESTED = frozenset("svg template object math".split())
+RAW = frozenset("script style noscript template svg iframe object textarea select canvas audio video button title".split())
+NESTED = frozenset("svg template object".split())
 ENDS = {t: re.compile(rf"<(/?){t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW}
 HEAD = frozenset("title meta link style script base noscript template head".split())
 CHROME = frozenset("nav header footer aside form fieldset menu dialog search address".split())
@@ -77,6 +78,13 @@ CHROME_NAMES = re.compile(
 WEAK_NAMES = re.compile(r"(?:^|[-_ ])(?:alert|side|widget|foot|header|skip|search|tags|copyright|legal|disclaimer)(?:$|[-_ ])", re.I)
 #: Of the former, the ones that hold even where a name also has a word of MAIN_NAMES.
 STRONG_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|nav|navbar|menu|sidebar|comment(?:s|list|section)?|footer|cookies?|related|share|sharing|newsletter|breadcrumbs?)(?:$|[-_ ])", re.I)
+#: A name that says nothing else: each of its words names chrome, or a mere part of the page.
+WHOLE_NAMES = re.compile(
+    r"(?:(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?|sidebar|related|recommend\w*|"
+    r"share|sharing|social|follow|comment(?:s|list|section)?|disqus|replies|respond|footer|masthead|topbar|toolbar|pager|pagination|login|signup|taglist|"
+    r"area|bar|block|bottom|box|buttons?|container|header|icons?|inner|items?|left|links?|list|media|module|articles|outer|panel|posts|right|section|site|slot|stories|thread|title|top|unit|us|widget|wrap|wrapper)(?:$|[-_]+))+",
+    re.I,
+)
 MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body|text)(?:$|[-_ ])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -378,9 +386,10 @@ def chrome(sig: str, in_main: bool) -> int:
     if not rest or tag in ("html", "body", "article", "main"):
         return 0
     names = rest.split(".")
-    if any(CHROME_NAMES.search(n) and not MAIN_NAMES.search(n) or STRONG_NAMES.search(n) for n in names):
+    may = [n for n in names if CHROME_NAMES.search(n) and not MAIN_NAMES.search(n) or STRONG_NAMES.search(n)]
+    if any(WHOLE_NAMES.fullmatch(n) for n in may):
         return 2
-    return int(any(WEAK_NAMES.search(n) and not MAIN_NAMES.search(n) for n in names))
+    return int(bool(may) or any(WEAK_NAMES.search(n) and not MAIN_NAMES.search(n) for n in names))
 
 
 def is_template(w: list, text: list) -> bool:
@@ -480,7 +489,9 @@ class Reader:
                 every = always and not k[OPT] and k[PAGES] == self.w[PAGES]
                 if k[SIG] == "#":
                     if is_template(self.w, k):
-                        texts.append(((where, k[CONST]), times, every and not k[REP] and not content))
+                        # an article's own words may be the same on all its pages too: there, a notice is one that links elsewhere
+                        notice = not self.article or 2 * k[LINK] >= k[SLOT] > 0
+                        texts.append(((where, k[CONST]), times, every and not k[REP] and not content and notice))
                     else:
                         texts.append((None, 0, False))
                 elif not self.drops(k[SIG], f"{where}>{k[SIG]}"):
@@ -505,28 +516,33 @@ class Reader:
             nodes = [k for x in nodes for k in x[1:] if isinstance(k, list) and k[0] == sig]
         if not nodes:
             return None
-        left, found = dict(self.ends), []
+        left, found, begun = dict(self.ends), [], False
 
         def look(node, where, found):
+            nonlocal begun
             for k in node[1:]:
                 if isinstance(k, tuple):
-                    key = (where, hash_text(k[0])) if left else None
+                    key = (where, hash_text(k[0]))
                     if left.get(key, 0) > 0:
                         left[key] -= 1
                     else:
-                        found.append(k)
+                        found.append((*k, key in self.template))
+                        begun = True
                 elif not self.drops(k[0], f"{where}>{k[0]}"):
                     inner: list = []
+                    before = begun
                     look(k, f"{where}>{k[0]}", inner)
                     if not self.article and tag_of(k[0]) in ("ul", "ol", "menu", "dl") and len(inner) > 1:
-                        n, linked = sum(len(t) for t, _ in inner), sum(x for _, x in inner)
-                        if linked > 0.7 * n:  # a menu, where no article element says otherwise
+                        n, linked = sum(len(t[0]) for t in inner), sum(t[1] for t in inner)
+                        # a menu, where no article element says otherwise: links that other pages have too, or ahead of all text
+                        if linked > 0.7 * n and (all(t[2] for t in inner) or not before):
+                            begun = before
                             continue
                     found += inner
 
         for x in nodes:
             look(x, "".join(f">{sig}" for sig in self.path), found)
-        return "\n".join(t for t, _ in found)
+        return "\n".join(t[0] for t in found)
 
     def main_text(self, root: list) -> str:
         """The main text of a page of the host."""
