@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions.dialect import DUCK
 from webloom.operators import crawl as c
+from webloom.operators import markup
 from webloom.operators import pages as p
 from webloom.plans.base import both, only, table
+from webloom.plans.web import _links
 from webloom.streaming import sessions
 
 SCHEMA = {"title": "h1", "paragraphs": {"selector": "article p", "all": True}, "menu": {"selector": "nav li", "all": True, "fields": {"text": "a", "href": {"selector": "a", "attr": "href"}}}, "none": ".missing"}
@@ -40,6 +43,36 @@ def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.crawl(links.unionByName(site), seed, limit=100)
 
 
+def _site_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links of all pages, every page of a host being linked from the host's first one too; and those first ones."""
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1))
+    pages = _pages(spark, sf_dir).where("url IS NOT NULL")
+    firsts = pages.groupBy(host.alias("host")).agg(F.min_by("url", "page_id").alias("seed"))
+    links = markup.links(pages).join(pages.select("page_id", "url"), "page_id").select("url", "pos", "link")
+    site = pages.select(host.alias("host"), "page_id", F.col("url").alias("link")).join(firsts, "host").select(F.col("seed").alias("url"), (F.col("page_id") + 1000).alias("pos"), "link")
+    return links.unionByName(site), firsts.select("seed")
+
+
+def _crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawls of all hosts in one run."""
+    return c.crawl_all(*_site_links(spark, sf_dir), limit=20, exclude="/the$")
+
+
+def _crawls_plain() -> str:
+    host = "lower(regexp_extract({0}, '^[a-z]+://([^/?#:]*)', 1))"
+    path = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+    level = """f{1} AS MATERIALIZED (SELECT l.seed, e.url, min(l.place * 100000000 + e.pos) AS o FROM e JOIN {0} l ON l.url = e.parent WHERE e.host = {2} AND NOT EXISTS (SELECT 1 FROM d{3} d WHERE d.seed = l.seed AND d.url = e.url) GROUP BY l.seed, e.url),
+        l{1} AS MATERIALIZED (SELECT seed, url, {1} AS depth, have + n - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY o, url) AS n FROM f{1}) JOIN (SELECT seed, count(*) AS have FROM d{3} GROUP BY seed) USING (seed) WHERE have + n <= 20),
+        d{1} AS MATERIALIZED (SELECT * FROM d{3} UNION ALL SELECT * FROM l{1})"""
+    return f"""WITH p AS (SELECT *, {host.format("url")} AS host FROM pages WHERE url IS NOT NULL),
+        s AS MATERIALIZED (SELECT host, arg_min(url, page_id) AS seed FROM p GROUP BY host),
+        raw AS (SELECT p.url AS parent, l.pos, l.link AS url FROM ({_links(DUCK)}) l JOIN p ON p.page_id = l.page_id UNION ALL SELECT s.seed, p.page_id + 1000, p.url FROM p JOIN s ON s.host = p.host),
+        e AS MATERIALIZED (SELECT *, {host.format("url")} AS host FROM (SELECT regexp_replace(parent, '#.*$', '') AS parent, pos, regexp_replace(url, '#.*$', '') AS url FROM raw) WHERE regexp_matches(url, '^https?://[^/]') AND NOT regexp_matches({path}, '/the$')),
+        d0 AS MATERIALIZED (SELECT DISTINCT regexp_replace(seed, '#.*$', '') AS seed, regexp_replace(seed, '#.*$', '') AS url, 0 AS depth, 0 AS place FROM s),
+        {level.format("d0", 1, host.format("l.seed"), 0)}, {level.format("l1", 2, host.format("l.seed"), 1)}
+        SELECT seed, url, CAST(depth AS INT) AS depth, CAST(place AS INT) AS place FROM d2"""
+
+
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir).withColumn("rendered_html", F.when(F.col("page_id") % 3 == 0, F.lit("<p>Loading</p>")).when(F.col("page_id") % 3 == 1, F.concat("html", F.lit("<p>more</p>"))))
     return p.with_rendered(pages)
@@ -56,6 +89,7 @@ only("tree_links", "D01 C09 C10", lambda s, d: p.tree_links(_pages(s, d)))
 only("search_results", "D26 D27 D28 D29 D30 D31 D32 D33 D34 D36 F08 F16 F17 L04", _results)
 only("readable_pages", "C14", lambda s, d: p.main_content(_pages(s, d)).select("page_id", "text", F.length("text").alias("chars")))
 only("crawl", "K02 E30 E31 L16 G03", _crawl)
+only("crawl_sites", "K02 K03 G03 E30", _crawls, _crawls_plain())
 only("rendered_choice", "M04 C28 E18 E13", _rendered)
 only(
     "session_windows",
