@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webloom.functions import signals as s
 from webloom.functions import text as t
 from webloom.functions import urls as u
 from webloom.functions.dialect import DUCK, SPARK, Spark
 from webloom.operators import rules
+from webloom.operators.ranks import numbered
 from webloom.plans.base import both, only, run_sql
 
 # Requests that stand in for an intercept log: the event's type picks a shape.
@@ -123,15 +128,31 @@ def _challenge(d: Spark) -> str:
 
 
 # Hits that stand in for result lists: an engine ranks its users by value.
-HITS = """SELECT event_type AS engine, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank, 'title ' || CAST(user_id AS VARCHAR(20)) AS title, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'about ' || CAST(event_id AS VARCHAR(20)) END AS description,
+LISTED = """SELECT event_type AS engine, event_id, value, 'title ' || CAST(user_id AS VARCHAR(20)) AS title, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'about ' || CAST(event_id AS VARCHAR(20)) END AS description,
     CASE WHEN event_id % 2 = 0 THEN 'https://S.example/u/' ELSE 'http://s.example/u/' END || CAST(user_id AS VARCHAR(20)) || CASE WHEN event_id % 5 = 0 THEN '/?utm_source=q' ELSE '' END AS url FROM events"""
+HITS = f"SELECT engine, row_number() OVER (PARTITION BY engine ORDER BY value DESC, event_id) AS rank, title, description, url FROM ({LISTED})"
+
+
+def _over_hits(text: Callable[[Spark, str], str]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over hits that are numbered without a window over a whole engine."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = numbered(run_sql(spark, sf_dir, LISTED), ["engine"], [F.desc("value"), F.asc("event_id")])
+        name = f"hits_{uuid.uuid4().hex}"
+        hits.createOrReplaceTempView(name)
+        try:
+            return run_sql(spark, sf_dir, text(SPARK, f"SELECT * FROM {name}"))
+        finally:
+            spark.catalog.dropTempView(name)
+
+    return run
 
 
-def _fusion(d: Spark) -> str:
+def _fusion(d: Spark, hits: str) -> str:
     """The limit is applied after all hits are merged and sorted. Two levels of aggregates, whose minima are combined before the shuffle: a key's hits are
     never sorted in one place."""
     rich = f"{d.octets('trim(title)')} + {d.octets('trim(description)')} AS rich"
-    keyed = d.once(HITS, f"engine, rank, url, title, {rich}", u.canonical_key(d, "url"), "k")
+    keyed = d.once(hits, f"engine, rank, url, title, {rich}", u.canonical_key(d, "url"), "k")
     first = "named_struct('rank', rank, 'poor', -rich, 'url', url, 'title', title, 'engine', engine)"
     per = f"SELECT k, engine, min(rank) AS best, min({first}) AS o FROM ({keyed}) GROUP BY k, engine"
     fused = f"SELECT k, round(sum(CAST(1.0 AS DOUBLE) / best), 9) AS score, min(best) AS best_rank, {d.ordered('engine', ',', 'engine')} AS engines, count(*) AS n_engines, min(o) AS o FROM ({per}) GROUP BY k"
@@ -149,8 +170,7 @@ def _fusion_plain(d: Spark) -> str:
         SELECT f.*, o.url, o.title, row_number() OVER (ORDER BY f.score DESC, f.best_rank, o.url, o.title, o.engine) AS position FROM ({fused}) f JOIN ({first}) o ON f.k = o.k) WHERE position <= 100"""
 
 
-def _enriched(d: Spark) -> str:
-    hits = HITS
+def _enriched(d: Spark, hits: str) -> str:
     docs = f"SELECT page_id, {d.extract('html', '(?is)<title[^>]*>(.*?)</title>')} AS page_title, CASE WHEN page_id % 4 = 0 THEN 'error' ELSE 'success' END AS status FROM pages"
     return f"""SELECT h.engine, CAST(h.rank AS BIGINT) AS rank, h.url, coalesce(p.page_title, h.title) AS title, coalesce(p.status, 'missing') AS status FROM ({hits}) h
         LEFT JOIN (SELECT * FROM ({docs}) WHERE status = 'success') p ON TRY_CAST({d.extract("h.url", "/u/([0-9]+)")} AS BIGINT) = p.page_id"""
@@ -159,7 +179,7 @@ def _enriched(d: Spark) -> str:
 def _engines(d: Spark) -> str:
     names = ("duckduckgo", "bing", "brave", "baidu", "zapmeta", "yandex", "view", "click")
     rows = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
-    counts = f"SELECT engine, count(*) AS n FROM ({HITS}) GROUP BY engine"
+    counts = f"SELECT engine, count(*) AS n FROM ({LISTED}) GROUP BY engine"
     return f"""SELECT e.ord, e.engine, CASE WHEN c.n IS NULL THEN 'empty' ELSE 'ok' END AS status, coalesce(c.n, 0) AS results, 'https://' || e.engine || '.example/?' || CASE e.engine WHEN 'baidu' THEN 'wd' WHEN 'yandex' THEN 'text' ELSE 'q' END || '=' || replace('a b', ' ', '+') AS search_url,
         max(CASE WHEN c.n IS NOT NULL THEN 1 ELSE 0 END) OVER () = 0 AS all_failed FROM (SELECT CAST(ord AS BIGINT) AS ord, engine FROM (VALUES {rows}) AS v(ord, engine)) e LEFT JOIN ({counts}) c ON e.engine = c.engine"""
 
@@ -173,6 +193,6 @@ only("robots_decisions", "A08 E01 E02 E03 E04 G04", lambda spark, sf_dir: _decid
 only("rule_index", "E02 E03 G04", lambda spark, sf_dir: _decided(spark, sf_dir, _page_rules(SPARK)), _decided_plain(DUCK, _page_rules(DUCK)))
 both("robots_sitemaps", "A07 A08", _robot_sitemaps)
 both("challenge_flags", "E06 E07 E08 E09 E10 E12 E13 E36 E37 E38 F13 G05", _challenge)
-both("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _fusion, _fusion_plain)
-both("hits_enriched", "G01 G02 M13", _enriched)
+only("rank_fusion", "I01 I02 I03 J06 J07 F32 F33 L14 M12", _over_hits(_fusion), _fusion_plain(DUCK))
+only("hits_enriched", "G01 G02 M13", _over_hits(_enriched), _enriched(DUCK, HITS))
 both("engine_outcomes", "D37 I08", _engines)
