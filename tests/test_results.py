@@ -80,16 +80,16 @@ def test_sessions_restart_their_lifetime(spark):
     """A session is 10 s idle or 25 s old at most; the one that follows an old one counts from its own opening."""
     times = {1: [0, 10, 20, 25, 26, 36, 47, 47], 2: [5]}
     df = spark.createDataFrame([(k, t) for k, ts in times.items() for t in reversed(ts)], "user long, at long")
-    got = sorted(map(tuple, folds.fold_sorted(df, ["user"], ["at"], [], folds.Sessions.FIELDS, lambda: folds.Sessions(10, 25)).collect()))
+    got = sorted(map(tuple, folds.fold_segments(df, ["user"], ["at"], [], folds.Sessions.FIELDS, lambda: folds.Sessions(10, 25)).collect()))
     assert got == [(1, 0, 25, 4, "lifetime"), (1, 26, 36, 2, "idle"), (1, 47, 47, 2, "idle"), (2, 5, 5, 1, "idle")]
-    assert folds.fold_sorted(df.limit(0), ["user"], ["at"], [], folds.Sessions.FIELDS, lambda: folds.Sessions(10, 25)).count() == 0
+    assert folds.fold_segments(df.limit(0), ["user"], ["at"], [], folds.Sessions.FIELDS, lambda: folds.Sessions(10, 25)).count() == 0
 
 
 def test_hard_cap_closes_a_window(spark):
     """Quiet 10, cap 50: requests in flight keep a window open up to the cap, and the next request opens another."""
     rows = [(1, 0, 5, False, True, False), (1, 8, 9, True, False, False), (1, 14, 200, False, False, False), (1, 49, 50, True, True, False), (1, 51, 52, False, False, True), (1, 70, 71, True, False, False), (1, 90, 90, False, False, False)]
     df = spark.createDataFrame([(p, t, i, d, tr, h, x) for i, (p, t, d, tr, h, x) in enumerate(rows)], "page long, at long, seq long, done long, tracker boolean, hit boolean, threw boolean")
-    got = sorted(map(tuple, folds.fold_sorted(df, ["page"], ["at", "seq"], ["done", "tracker", "hit", "threw"], folds.Captures.FIELDS, lambda: folds.Captures(10, 50, 64)).collect()))
+    got = sorted(map(tuple, folds.fold_segments(df, ["page"], ["at", "seq"], ["done", "tracker", "hit", "threw"], folds.Captures.FIELDS, lambda: folds.Captures(10, 50, 64)).collect()))
     assert got == [(1, 0, 50, 2, 1, 2, "window_closed"), (1, 51, 62, 1, 0, 0, "threw"), (1, 90, 100, 1, 0, 0, "no_intercepts")]
 
 

@@ -183,7 +183,7 @@ _FINDS = """SELECT doc_id, nullif(strpos(replace(replace(replace(text, 'T', 't')
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lifetimes count from a session's own opening."""
     rows = run_sql(spark, sf_dir, "SELECT user_id, event_id, unix_micros(CAST(ts AS TIMESTAMP)) AS tm FROM events WHERE ts IS NOT NULL")
-    return folds.fold_sorted(rows, ["user_id"], ["tm", "event_id"], [], folds.Sessions.FIELDS, lambda: folds.Sessions(IDLE, LIFE))
+    return folds.fold_segments(rows, ["user_id"], ["tm", "event_id"], [], folds.Sessions.FIELDS, lambda: folds.Sessions(IDLE, LIFE))
 
 
 _SESSIONS = f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -200,7 +200,7 @@ def _intercepts(d: Spark) -> str:
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window that the hard cap closes ends there, and the next request opens another."""
     rows = run_sql(spark, sf_dir, _intercepts(SPARK))
-    return folds.fold_sorted(rows, ["page_id"], ["tm", "seq"], ["done", "tracker", "hit", "threw"], folds.Captures.FIELDS, lambda: folds.Captures(QUIET, CAP, MOST))
+    return folds.fold_segments(rows, ["page_id"], ["tm", "seq"], ["done", "tracker", "hit", "threw"], folds.Captures.FIELDS, lambda: folds.Captures(QUIET, CAP, MOST))
 
 
 _CAPTURES = f"""WITH RECURSIVE i AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tm, seq) AS n FROM ({_intercepts(DUCK)})),
