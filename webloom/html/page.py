@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import parse_qs, urlsplit
 
 from webloom.html import weburl
 from webloom.html.markdown import render
 from webloom.html.readable import readable
-from webloom.html.select import SelectorError, compile_selector, matches, select
+from webloom.html.select import Matcher, Matches, SelectorError, compile_selector, matches, select
 from webloom.html.tree import Comment, Element, inner, parse, serialise
 
 # Lists of selectors, names and limits that decide results and are kept as they must be.
@@ -300,18 +302,39 @@ def embedded_state(source: str) -> tuple[str, object] | None:
 
 
 def extract_schema(source: str, url: str, schema: dict) -> tuple[dict, list[str]]:
-    """Values of a selector schema, and warnings for what of it cannot be used."""
+    """Values of a selector schema, and warnings for what of it cannot be used. The selectors of all fields, nested ones too, are matched in one traversal."""
     doc, warnings = parse(source), []
-    return _fields(doc, schema, base_of(doc, url), 0, warnings), warnings
+    found = _matcher(tuple(_selectors(schema, 0))).over(doc)
+    return _fields(doc, found, schema, base_of(doc, url), 0, warnings), warnings
 
 
-def _fields(scope: Element, schema: dict, base: str, depth: int, warnings: list[str]) -> dict:
+@lru_cache(maxsize=64)
+def _matcher(selectors: tuple[str, ...]) -> Matcher:
+    return Matcher(list(selectors))
+
+
+def _selectors(schema: dict, depth: int) -> Iterator[str]:
+    """The selectors of a schema that can be used."""
+    for spec in list(schema.values())[:MAX_FIELDS]:
+        spec = {"selector": spec} if isinstance(spec, str) else spec
+        if not isinstance(spec, dict) or not isinstance(spec.get("selector"), str):
+            continue
+        try:
+            compile_selector(spec["selector"])
+        except SelectorError:
+            continue
+        yield spec["selector"]
+        if isinstance(spec.get("fields"), dict) and depth < MAX_DEPTH:
+            yield from _selectors(spec["fields"], depth + 1)
+
+
+def _fields(scope: Element, found: Matches, schema: dict, base: str, depth: int, warnings: list[str]) -> dict:
     if len(schema) > MAX_FIELDS:
         warnings.append(f"only the first {MAX_FIELDS} fields are used")
-    return {name: _spec(scope, name, spec, base, depth, warnings) for name, spec in list(schema.items())[:MAX_FIELDS]}
+    return {name: _spec(scope, found, name, spec, base, depth, warnings) for name, spec in list(schema.items())[:MAX_FIELDS]}
 
 
-def _spec(scope: Element, name: str, spec, base: str, depth: int, warnings: list[str]):
+def _spec(scope: Element, found: Matches, name: str, spec, base: str, depth: int, warnings: list[str]):
     spec = {"selector": spec} if isinstance(spec, str) else spec
     if not isinstance(spec, dict) or not isinstance(spec.get("selector"), str):
         warnings.append(f"field {name!r}: no selector")
@@ -325,8 +348,8 @@ def _spec(scope: Element, name: str, spec, base: str, depth: int, warnings: list
     if fields is not None and depth >= MAX_DEPTH:
         warnings.append(f"field {name!r}: nested deeper than {MAX_DEPTH}")
         return None
-    found = [_fields(e, fields, base, depth + 1, warnings) if fields is not None else _read(e, spec.get("attr", "text"), base) for e in select(scope, spec["selector"], MAX_MATCHES if many else 1)]
-    return [v for v in found if v is not None] if many else found[0] if found else None
+    got = [_fields(e, found, fields, base, depth + 1, warnings) if fields is not None else _read(e, spec.get("attr", "text"), base) for e in found.of(spec["selector"], scope, MAX_MATCHES if many else 1)]
+    return [v for v in got if v is not None] if many else got[0] if got else None
 
 
 def _read(e: Element, attr: str, base: str) -> str | None:

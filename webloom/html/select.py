@@ -4,6 +4,7 @@ descendant, child and sibling combinators; lists."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -54,6 +55,16 @@ def _nth(last: bool, typed: bool, a: int, b: int) -> Test:
     return test
 
 
+def _named(kind: str, name: str, holds: Callable[[Element, str], bool]) -> Test:
+    """A test that an element's tag, id or classes answer alone; ``key`` says so."""
+
+    def test(e: Element, places: Places) -> bool:
+        return holds(e, name)
+
+    test.key = (kind, name)
+    return test
+
+
 def _attribute(name: str, op: str | None, value: str, fold: bool) -> Test:
     want = value.lower() if fold else value
 
@@ -120,8 +131,7 @@ class _Reader:
         if not self.take("*"):
             m = self.match(IDENT)
             if m:
-                tag = m[0].lower()
-                tests.append(lambda e, places: e.tag == tag)
+                tests.append(_named("tag", m[0].lower(), lambda e, name: e.tag == name))
         while self.at < len(self.text) and self.text[self.at] in "#.[:":
             tests.append(self.simple())
         if self.at == begin:
@@ -131,10 +141,9 @@ class _Reader:
     def simple(self) -> Test:
         if self.take("#"):
             name = (self.match(re.compile(r"[\w-]+")) or self.fail())[0]
-            return lambda e, places: e.attrs.get("id") == name
+            return _named("id", name, lambda e, name: e.attrs.get("id") == name)
         if self.take("."):
-            name = self.ident()
-            return lambda e, places: name in e.classes()
+            return _named("class", self.ident(), lambda e, name: name in e.classes())
         if self.text[self.at] == "[":
             m = self.match(ATTRIBUTE) or self.fail()
             return _attribute(m[1].lower(), m[2], m[3] or m[4] or m[5] or "", (m[6] or "").lower() == "i")
@@ -223,3 +232,94 @@ def select(scope: Element, selector: str, limit: int | None = None) -> list[Elem
             if limit is not None and len(out) >= limit:
                 break
     return out
+
+
+class Matches:
+    """What some selectors match in a document: elements in its order, cut to a scope by their places."""
+
+    def __init__(self, order: list[Element], ends: dict[int, tuple[int, int]], found: dict[str, list[int]]):
+        self.order, self.ends, self.found = order, ends, found
+
+    def of(self, selector: str, scope: Element, limit: int | None = None) -> list[Element]:
+        """The same as ``select``."""
+        places = self.found[selector]
+        begin, end = self.ends[id(scope)]
+        low, high = bisect_right(places, begin), bisect_right(places, end)
+        return [self.order[i] for i in places[low : high if limit is None else min(high, low + limit)]]
+
+
+class Matcher:
+    """Many selectors as one automaton. A bit stands for each compound of each chain; an element's bits follow from those of its parent, its ancestors and its
+    earlier siblings by one shift each, so a single traversal finds the matches of all selectors. Compounds are looked up by tag, id and class; other tests are only made
+    where the rest of the chain already fits."""
+
+    def __init__(self, selectors: list[str]):
+        self.start = self.any = self.rest = 0
+        self.by = {" ": 0, ">": 0, "+": 0, "~": 0}
+        self.keys: dict[tuple[str, str], int] = {}
+        self.tests: dict[int, tuple[Test, ...]] = {}
+        self.final: dict[int, list[str]] = {}
+        bit = 1
+        for text in dict.fromkeys(selectors):
+            for chain in compile_selector(text):
+                for k, (sign, tests) in enumerate(chain):
+                    if k:
+                        self.by[sign] |= bit
+                    else:
+                        self.start |= bit
+                    keyed = [t for t in tests if hasattr(t, "key")]
+                    best = min(keyed, key=lambda t: ("id", "class", "tag").index(t.key[0]), default=None)
+                    if best is None:
+                        self.any |= bit
+                    else:
+                        self.keys[best.key] = self.keys.get(best.key, 0) | bit
+                    if left := tuple(t for t in tests if t is not best):
+                        self.rest |= bit
+                        self.tests[bit] = left
+                    last, bit = bit, bit << 1
+                self.final.setdefault(last, []).append(text)
+        self.ending = sum(self.final)
+        self.texts = list(dict.fromkeys(selectors))
+
+    def over(self, doc: Element) -> Matches:
+        order: list[Element] = [doc]
+        ends: dict[int, tuple[int, int]] = {}
+        found: dict[str, list[int]] = {t: [] for t in self.texts}
+        places: Places = {}
+        keys, final = self.keys, self.final
+        inside, child, after, later = self.by[" "], self.by[">"], self.by["+"], self.by["~"]
+        # of each open element: its children that are left, its bits, those of it and its ancestors, of the sibling before, and of all earlier ones
+        stack = [[iter(doc.children), 0, 0, 0, 0, doc, 0]]
+        while stack:
+            top = stack[-1]
+            e = next((c for c in top[0] if isinstance(c, Element)), None)
+            if e is None:
+                ends[id(top[5])] = (top[6], len(order) - 1)
+                stack.pop()
+                continue
+            at = len(order)
+            order.append(e)
+            bits = self.any | keys.get(("tag", e.tag), 0)
+            if e.attrs:
+                if name := e.attrs.get("id"):
+                    bits |= keys.get(("id", name), 0)
+                if "class" in e.attrs:
+                    for name in e.classes():
+                        bits |= keys.get(("class", name), 0)
+            bits &= self.start | (top[2] << 1) & inside | (top[1] << 1) & child | (top[3] << 1) & after | (top[4] << 1) & later
+            left = bits & self.rest
+            while left:
+                b = left & -left
+                left ^= b
+                if not all(t(e, places) for t in self.tests[b]):
+                    bits ^= b
+            done = bits & self.ending
+            while done:
+                b = done & -done
+                done ^= b
+                for text in final[b]:
+                    if not found[text] or found[text][-1] != at:
+                        found[text].append(at)
+            top[3], top[4] = bits, top[4] | bits
+            stack.append([iter(e.children), bits, top[2] | bits, 0, 0, e, at])
+        return Matches(order, ends, found)
