@@ -4,7 +4,8 @@ Base patterns give seed entities with exact spans. Each seed's neighbouring word
 the two words before it, the word before it, and the words around it. A bipartite graph ties patterns to the
 values that they extract, seeds and unlabelled candidates alike; confidence runs from values to patterns
 (the share of a pattern's values that a kind holds) and back to values (noisy-or over a value's patterns)
-until the trusted patterns stay the same, or for ``ROUNDS`` rounds. Candidates of a plausible shape whose confidence reaches ``ACCEPT`` become added
+until the trusted patterns are the same as in a round before: as in the last one, or, should they go in a circle, as in the one
+that closes it, whose values then count. Candidates of a plausible shape whose confidence reaches ``ACCEPT`` become added
 spans; base spans stay as they are.
 
 The scan looks at each text once. Only tokens with a digit or an at sign, and what stands around them, leave
@@ -29,8 +30,7 @@ from webloom.operators.storage import materialise
 KINDS = ("email", "ip", "card", "phone")
 #: Accepted spans up to this number in total are broadcast; beyond it they are joined by row.
 BROADCAST_SPANS = 300_000
-#: Most rounds of scoring, least distinct values of a pattern, and the confidences that patterns and values need.
-ROUNDS = 12
+#: Least distinct values of a pattern, and the confidences that patterns and values need.
 SUPPORT = 3
 PATTERN_CONFIDENCE = 0.6
 ACCEPT = 0.8
@@ -154,15 +154,15 @@ def plausible(value: str) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(value).rlike(SHAPES[k]), 1 << i).otherwise(0) for i, k in enumerate(KINDS)])
 
 
-def discover(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, pattern_confidence: float = PATTERN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame | None:
+def discover(scanned: DataFrame, support: int = SUPPORT, pattern_confidence: float = PATTERN_CONFIDENCE, accept: float = ACCEPT) -> DataFrame | None:
     """(value hash, found kind) of the candidates that the graph accepts; None if no pattern is trusted or no
     candidate has a plausible shape."""
     edges = materialise(graph(scanned), "pii-edges")
     if edges.where("kind is null and shapes > 0").isEmpty():
         return None
     known = edges.select("value", F.lit(None).cast("int").alias("found"), F.lit(0.0).alias("trust")).limit(0)
-    last = None
-    for _ in range(rounds):
+    seen = set()
+    while True:
         held = edges.join(known, "value", "left").select("pattern", F.coalesce("kind", "found").alias("k"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))).alias("t"))
         share = [F.sum(F.when(F.col("k") == i, F.col("t")).otherwise(0.0)) / F.count("*") for i in range(len(KINDS))]
         scores = held.groupBy("pattern").agg(F.count("*").alias("n"), F.array(*share).alias("c"))
@@ -173,9 +173,9 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, p
         now = tuple(trusted.agg(F.count("*"), F.sum(F.xxhash64("pattern", "found").cast("decimal(38,0)"))).first())
         if not now[0]:
             return None
-        if now == last:  # the same patterns would score the same values
+        if now in seen:  # the same patterns score the same values
             break
-        last = now
+        seen.add(now)
         open_edges = edges.where("kind is null and shapes > 0").join(trusted, "pattern").where("(shapes & shiftleft(1, found)) > 0")
         now = open_edges.groupBy("value", "found").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.99)))))).alias("trust"))
         known = materialise(now.groupBy("value").agg(F.max(F.struct("trust", "found")).alias("b")).select("value", "b.found", "b.trust"), "pii-values")
