@@ -18,14 +18,14 @@ def links(spark):
     return spark.createDataFrame([(*r, "x") for r in rows], "url string, pos int, link string, host string")
 
 
-@pytest.mark.parametrize("given", [{}, {"limit": 4}, {"max_depth": 4, "limit": 30}, {"exclude": "skip$", "limit": 12}, {"include": ["1", "2"]}, {"same_host": False, "limit": 25}, {"limit": 1}])
+@pytest.mark.parametrize("given", [{"limit": 4}, {"max_depth": 4, "limit": 30, "exclude": "skip$"}, {"include": ["1", "2"]}, {"same_host": False, "limit": 25}, {"limit": 1}])
 def test_each_crawl_is_as_it_is_alone(spark, links, given):
-    seeds = ["https://a.x/0", "https://a.x/1#top", "https://b.x/3", "https://nowhere.x/"]
-    got = c.crawl_all(links, spark.createDataFrame([(s, 1) for s in [*seeds, None, "https://a.x/1"]], "seed string, place int"), **given).collect()
+    seeds = ["https://a.x/0", "https://a.x/1#top", "https://b.x/3"]
+    got = c.crawl_all(links, spark.createDataFrame([(s, 1) for s in [*seeds, None, "https://a.x/1", "https://nowhere.x/"]], "seed string, place int"), **given).collect()
     for s in seeds:
         want = sorted(map(tuple, c.crawl(links, s, **given).collect()))
         assert sorted(tuple(r)[1:] for r in got if r.seed == s.split("#")[0]) == want
-    assert len({r.seed for r in got}) == 4
+    assert {r.seed for r in got} == {"https://a.x/0", "https://a.x/1", "https://b.x/3", "https://nowhere.x/"}
 
 
 def test_no_seeds(spark, links):

@@ -28,8 +28,7 @@ def data(n, gap, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("segments", [1, 7, 40])
-@pytest.mark.parametrize("gap", [4, 40, 400])
+@pytest.mark.parametrize("segments, gap", [(1, 40), (7, 4), (40, 40), (7, 400)])
 def test_sessions(spark, segments, gap):
     rows = data(600, gap)
     machine = lambda: folds.Sessions(100, 900)

@@ -50,7 +50,7 @@ def _placed(d: Spark, pages: str, sites: str) -> str:
 
 
 def _searched(d: Spark) -> str:
-    return f"SELECT site, count(*) AS n, CAST(sum(CASE WHEN contains(lower(link), 'P/') OR contains(lower(link), 'e') THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN source = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_listed FROM ({_map(d)}) GROUP BY site"
+    return f"SELECT site, count(*) AS n, CAST(sum(CASE WHEN contains(lower(link), 'p/') OR contains(lower(link), 'e') THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN source = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_listed FROM ({_map(d)}) GROUP BY site"
 
 
 def _admitted(d: Spark, link: str, seed: str) -> str:
