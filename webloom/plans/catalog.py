@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.plans import archive, content, jobs, ladder, markup, requests, results, site, streams, web  # noqa: F401
+from webloom.plans import archive, content, jobs, ladder, markup, requests, results, searches, site, streams, web  # noqa: F401
 from webloom.plans.base import OPERATORS, ORACLE_SQL, QUERIES, table
 
 
