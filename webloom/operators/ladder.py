@@ -65,7 +65,7 @@ def embedded(pages: DataFrame) -> DataFrame:
             "route": path and (weburl.joined(url or "", path) or path),
         }]
 
-    marked = pages.select("page_id", "url", "html", F.expr(state.build_id(SPARK, "html")).alias("build_id"), F.expr(state.app_router(SPARK, "html")).alias("app_router"))
+    marked = once(once(pages.select("page_id", "url", "html"), "build_id", state.build_id(SPARK, "html")), "app_router", state.app_router(SPARK, "html"))
     path, pairs = records.path_and_pairs("url")
     placed = marked.withColumn("path", F.when(~F.col("app_router") & F.col("build_id").isNotNull(), records.data_route(F.col("build_id"), path, pairs)))
     return per_row(placed, "page_id", ["url", "html", "build_id", "app_router", "path"], "url string, origin string, data string, build_id string, app_router boolean, route string", make)

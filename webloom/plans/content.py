@@ -10,6 +10,7 @@ from webloom.operators import crawl as c
 from webloom.operators import markup
 from webloom.operators import pages as p
 from webloom.plans.base import both, only, table
+from webloom.plans.markup import LANGUAGE, TITLE
 from webloom.plans.web import _links
 from webloom.streaming import sessions
 
@@ -58,19 +59,40 @@ def _crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.crawl_all(*_site_links(spark, sf_dir), limit=20, exclude="/the$")
 
 
-def _crawls_plain() -> str:
-    host = "lower(regexp_extract({0}, '^[a-z]+://([^/?#:]*)', 1))"
-    path = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+_HOST = "lower(regexp_extract({0}, '^[a-z]+://([^/?#:]*)', 1))"
+
+
+def _two_levels(seeds: str, site: str, limit: int, kept: str) -> str:
+    """Common tables of crawls two levels deep, the last one d2: seeds (seed), site: links besides the pages' own, kept: what a link must meet."""
     level = """f{1} AS MATERIALIZED (SELECT l.seed, e.url, min(l.place * 100000000 + e.pos) AS o FROM e JOIN {0} l ON l.url = e.parent WHERE e.host = {2} AND NOT EXISTS (SELECT 1 FROM d{3} d WHERE d.seed = l.seed AND d.url = e.url) GROUP BY l.seed, e.url),
-        l{1} AS MATERIALIZED (SELECT seed, url, {1} AS depth, have + n - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY o, url) AS n FROM f{1}) JOIN (SELECT seed, count(*) AS have FROM d{3} GROUP BY seed) USING (seed) WHERE have + n <= 20),
+        l{1} AS MATERIALIZED (SELECT seed, url, {1} AS depth, have + n - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY o, url) AS n FROM f{1}) JOIN (SELECT seed, count(*) AS have FROM d{3} GROUP BY seed) USING (seed) WHERE have + n <= {4}),
         d{1} AS MATERIALIZED (SELECT * FROM d{3} UNION ALL SELECT * FROM l{1})"""
-    return f"""WITH p AS (SELECT *, {host.format("url")} AS host FROM pages WHERE url IS NOT NULL),
-        s AS MATERIALIZED (SELECT host, arg_min(url, page_id) AS seed FROM p GROUP BY host),
-        raw AS (SELECT p.url AS parent, l.pos, l.link AS url FROM ({_links(DUCK)}) l JOIN p ON p.page_id = l.page_id UNION ALL SELECT s.seed, p.page_id + 1000, p.url FROM p JOIN s ON s.host = p.host),
-        e AS MATERIALIZED (SELECT *, {host.format("url")} AS host FROM (SELECT regexp_replace(parent, '#.*$', '') AS parent, pos, regexp_replace(url, '#.*$', '') AS url FROM raw) WHERE regexp_matches(url, '^https?://[^/]') AND NOT regexp_matches({path}, '/the$')),
+    return f"""WITH p AS (SELECT *, {_HOST.format("url")} AS host FROM pages WHERE url IS NOT NULL), s AS MATERIALIZED ({seeds}),
+        raw AS (SELECT p.url AS parent, l.pos, l.link AS url FROM ({_links(DUCK)}) l JOIN p ON p.page_id = l.page_id UNION ALL {site}),
+        e AS MATERIALIZED (SELECT *, {_HOST.format("url")} AS host FROM (SELECT regexp_replace(parent, '#.*$', '') AS parent, pos, regexp_replace(url, '#.*$', '') AS url FROM raw) WHERE regexp_matches(url, '^https?://[^/]') AND {kept}),
         d0 AS MATERIALIZED (SELECT DISTINCT regexp_replace(seed, '#.*$', '') AS seed, regexp_replace(seed, '#.*$', '') AS url, 0 AS depth, 0 AS place FROM s),
-        {level.format("d0", 1, host.format("l.seed"), 0)}, {level.format("l1", 2, host.format("l.seed"), 1)}
-        SELECT seed, url, CAST(depth AS INT) AS depth, CAST(place AS INT) AS place FROM d2"""
+        {level.format("d0", 1, _HOST.format("l.seed"), 0, limit)}, {level.format("l1", 2, _HOST.format("l.seed"), 1, limit)}"""
+
+
+def _crawls_plain() -> str:
+    kept = "NOT regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/the$')"
+    tables = _two_levels("SELECT host, arg_min(url, page_id) AS seed FROM p GROUP BY host", "SELECT s.seed, p.page_id + 1000, p.url FROM p JOIN s ON s.host = p.host", 20, kept)
+    return f"{tables} SELECT seed, url, CAST(depth AS INT) AS depth, CAST(place AS INT) AS place FROM d2"
+
+
+def _crawl_plain() -> str:
+    tables = _two_levels("SELECT arg_min(url, page_id) AS seed FROM p", "SELECT s.seed, p.page_id + 1000, p.url FROM p, s", 100, "true")
+    return f"{tables} SELECT url, CAST(depth AS INT) AS depth, CAST(place AS INT) AS place FROM d2"
+
+
+# What the given pages hold, which have plain markup: for the comparison with the tree.
+_METADATA = f"""WITH t AS (SELECT page_id, url, {TITLE} AS title, {LANGUAGE} AS lang FROM pages)
+    SELECT page_id, '{{' || CASE WHEN title = '' THEN '' ELSE '"title": ' || CAST(to_json(title) AS VARCHAR) || ', ' END || CASE WHEN lang = '' THEN '' ELSE '"language": "' || lang || '", ' END
+    || '"sourceURL": ' || CAST(to_json(url) AS VARCHAR) || ', "url": ' || CAST(to_json(url) AS VARCHAR) || ', "statusCode": 200, "contentType": "text/html"}}' AS metadata FROM t"""
+_TREE_LINKS = f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, link FROM ({_links(DUCK)})"
+_SCRIPTS = """SELECT page_id, pos - 1 AS pos, 'classic' AS kind, CAST(NULL AS VARCHAR) AS src, length(body) AS chars
+    FROM (SELECT page_id, unnest(s) AS body, generate_subscripts(s, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1) AS s FROM pages))"""
+_STATE = """SELECT page_id, 'nuxt' AS origin, '{"a": "}"}' AS data FROM pages WHERE page_id % 2 = 0"""
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,16 +101,16 @@ def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 only("markdown_pages", "C01 C02 C03 C04 C05 C07 C10 C14 C15 C16 C19 C30 C31 A03", lambda s, d: p.scrape_pages(_pages(s, d), formats=("markdown",)).select("page_id", "markdown", "incomplete", "error"))
-only("page_metadata", "C22 C23 C24 C25 C26 C27", lambda s, d: p.scrape_pages(_pages(s, d), formats=("metadata",)).select("page_id", "metadata"))
+only("page_metadata", "C22 C23 C24 C25 C26 C27", lambda s, d: p.scrape_pages(_pages(s, d), formats=("metadata",)).select("page_id", "metadata"), _METADATA)
 only("cleaned_html", "C12 C09 F03", lambda s, d: p.scrape_pages(_pages(s, d), formats=("html",)).select("page_id", "html"))
 only("filtered_html", "C13 K05 K06 M10 G09 G10", lambda s, d: p.scrape_pages(_pages(s, d), formats=("html",), include=("article", "h1"), exclude=("b", ".ad")).select("page_id", "html"))
 only("schema_rows", "D17 D18 D19 D20 D21 L09", lambda s, d: p.schema_rows(_pages(s, d), SCHEMA))
-only("page_state", "D04 D07 D08 D09 D10", lambda s, d: p.page_state(_pages(s, d).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit('<script>window.__NUXT__ = {"a": "}"};</script>'))).otherwise(F.col("html")))))
-only("script_inventory", "D22 D23", lambda s, d: p.page_scripts(_pages(s, d)))
-only("tree_links", "D01 C09 C10", lambda s, d: p.tree_links(_pages(s, d)))
+only("page_state", "D04 D07 D08 D09 D10", lambda s, d: p.page_state(_pages(s, d).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit('<script>window.__NUXT__ = {"a": "}"};</script>'))).otherwise(F.col("html")))), _STATE)
+only("script_inventory", "D22 D23", lambda s, d: p.page_scripts(_pages(s, d)), _SCRIPTS)
+only("tree_links", "D01 C09 C10", lambda s, d: p.tree_links(_pages(s, d)), _TREE_LINKS)
 only("search_results", "D26 D27 D28 D29 D30 D31 D32 D33 D34 D36 F08 F16 F17 L04", _results)
 only("readable_pages", "C14", lambda s, d: p.main_content(_pages(s, d)).select("page_id", "text", F.length("text").alias("chars")))
-only("crawl", "K02 E30 E31 L16 G03", _crawl)
+only("crawl", "K02 E30 E31 L16 G03", _crawl, _crawl_plain())
 only("crawl_sites", "K02 K03 G03 E30", _crawls, _crawls_plain())
 only("rendered_choice", "M04 C28 E18 E13", _rendered)
 only(

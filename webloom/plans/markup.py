@@ -30,7 +30,9 @@ ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 _LINKS = f"""WITH l AS (SELECT page_id, link, pos FROM ({_links(DUCK)}) UNION ALL SELECT page_id, {ORIGIN} || '/odd?a=1&b=2#f', 1000000 FROM pages UNION ALL SELECT page_id, {ORIGIN} || '/odd/%C3%BC', 1000001 FROM pages)
     SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, link FROM (SELECT page_id, link, min(pos) AS pos FROM l GROUP BY page_id, link)"""
 PLAIN = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
-_METADATA = f"""WITH t AS (SELECT page_id, url, trim(regexp_replace({PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages)
+TITLE = "trim(regexp_replace(" + PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + r", '\s+', ' ', 'g'))"
+LANGUAGE = """regexp_extract(html, '<html lang="([^"]*)"', 1)"""
+_METADATA = f"""WITH t AS (SELECT page_id, url, {TITLE} AS title, {LANGUAGE} AS lang FROM pages)
     SELECT page_id, 'title' AS key, CASE WHEN title = '' THEN 'A < B €' ELSE title END AS value FROM t UNION ALL SELECT page_id, 'language', lang FROM t WHERE lang <> ''
     UNION ALL SELECT page_id, k, v FROM t, (VALUES ('ogTitle', 'A < B €'), ('og:title', 'A < B €'), ('Keywords', 'a, b'), ('item', 'i')) AS m(k, v)
     UNION ALL SELECT page_id, 'favicon', regexp_extract(url, '^([a-z]+://[^/?#]*/([^?#]*/)?)', 1) || 'fav.ico' FROM t"""
