@@ -46,7 +46,7 @@ def _url_cases_plain() -> str:
     def row(k: int, ref: str, want: str | None) -> str:
         fixed = ref.replace("'", "''")
         value = "'" + fixed + "'" if want is None else " || ".join(part[w[1]] if w[:1] == "{" else "'" + w.replace("'", "''") + "'" for w in re.split(r"([{][osdupq][}])", want) if w)
-        joins = want is not None or ref in ("#z", "", "HTTPS://E.com:443")
+        joins = want is not None or ref in ("#z", "", "HTTPS://E.com:443", "mailto:A@b.c")
         return f"SELECT page_id, CAST({k} AS BIGINT) AS pos, {value} AS resolved, {str(joins).lower()} AS joins FROM pages"
 
     return " UNION ALL ".join(row(k, r, w) for k, (r, w) in enumerate(CASES))
