@@ -6,7 +6,8 @@ tokens that end at a place, and the pair-compatibility test picks the one that B
 beside the last token of the prefix before it. Back-pointers from the end give the ids; the work is linear
 in the word's length for a bounded token length. Words are memoised per Python worker, up to a bound.
 
-Defined results: null or empty text has no ids and decodes to ""; repeated rows give repeated results;
+Defined results: null or empty text has no ids and decodes to ""; repeated rows give repeated results; very long texts
+and words are encoded whole, in proportion to their length; there are no ties, as a prefix has one encoding;
 columns beyond those named are not read, so clashing names do not matter; an empty table gives an empty one.
 """
 

@@ -24,7 +24,7 @@ within each block, which connects what is near, so that few pairs are left for t
 them in several places.
 
 Defined results: null and empty texts have no shingles and stay alone; with one to four words the whole
-sequence is the one shingle; repeated rows and equal texts are linked; a null doc_id is a row of its own
+sequence is the one shingle; repeated rows and equal texts are linked; a similarity of just 0.8 links; very long texts are used whole; a null doc_id is a row of its own
 that can be linked but never names a component unless all ids in it are null; an empty table gives an empty
 one; only doc_id and text are read.
 """

@@ -7,7 +7,8 @@ their full bins and hand the documents of the others to a common pool, which is
 by best-fit decreasing, until no gap is left or the rounds are over. Only (id, length) rows move.
 
 Defined results: null or empty text is the end id alone (one piece of length 1); repeated rows are packed
-as often as they occur; an empty table gives an empty one; columns beyond doc_id and text are not read.
+as often as they occur; very long texts are cut into as many pieces as they need; ties: of equal lengths the one that is read first is placed first, into the bin opened or
+filled last among those of equal room; an empty table gives an empty one; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations

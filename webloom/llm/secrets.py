@@ -6,7 +6,8 @@ the cheapest segmentation into known words, dates, repeats, keyboard walks and s
 brute-force characters (costs are decimal logarithms). A segment may start anywhere. Values that cost at least ``MIN_COST`` become ``guess`` spans,
 unless they overlap a base span.
 
-Defined results: null and empty texts have no spans; very long texts and values are looked at whole; repeated rows give repeated results; an empty table
+Defined results: null and empty texts have no spans; very long texts and values are looked at whole; repeated rows give repeated results; ties: of segmentations of equal cost any gives the
+same verdict, as only the cost counts, and a value that costs just ``MIN_COST`` is a span; an empty table
 gives an empty one; only doc_id and text are read.
 """
 

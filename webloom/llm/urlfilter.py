@@ -5,7 +5,7 @@ literal below, or of the table passed in); its weights are whole numbers in a li
 path is column expressions alone: character trigrams, a polynomial hash, an array lookup and a sum.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is judged
-by the method on empty strings; very long urls are used whole; repeated rows give repeated results; an
+by the method on empty strings; very long urls are used whole; a margin of 0, between both verdicts, allows; repeated rows give repeated results; an
 empty table gives an empty one; only page_id and url are read.
 """
 
