@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last
 return the columns of documents. Stages cannot be expressed together in SQL (a trained model decides the
-first), so ORACLE_SQL is None and tests hold run() against a brute-force version.
+first), so ORACLE_SQL is None and tests hold run() against a brute-force version. Columns of any name beside doc_id and text pass
+through all stages but the last.
 """
 
 from __future__ import annotations
