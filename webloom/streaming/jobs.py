@@ -6,14 +6,18 @@ creation by ``life_s``, a timer ends its state, and gives a last row of those th
 
 Rows of a job within a micro-batch are taken in the order of (ts, seq), so what a task holds of one job is bounded by the batch (``maxFilesPerTrigger`` and the like); batches are taken
 as they come. Executors that are lost cost the batch: state is restored from the checkpoint.
+
+Every call of the state is a round trip out of the Python worker, and frames of few rows cost more than their rows: rows come one by one, units of a batch are told in
+the worker, and what a batch changes is written once at its end. Of a job that begins and is done in one batch no unit is stored.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from webloom.session import ship
@@ -22,6 +26,17 @@ OUT = "job long, version long, status string, total long, completed long, n_erro
 MOST_ERRORS = 100
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+COLUMNS = ("ts", "seq", "kind", "unit", "total", "text")
+EPOCH, MICRO = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc), dt.timedelta(microseconds=1)
+
+
+def _fields(rows: Iterator[Row]) -> Iterator[tuple]:
+    """COLUMNS of each row; their places are looked up once, as names cost a search a value."""
+    of = None
+    for r in rows:
+        of = of or itemgetter(*[r.__fields__.index(c) for c in COLUMNS])
+        yield of(tuple(r))
+
 
 class Jobs(StatefulProcessor):
     def __init__(self, life_s: int):
@@ -33,40 +48,45 @@ class Jobs(StatefulProcessor):
         self.errors = handle.getListState("errors", "text string")
         self.units = handle.getMapState("units", "unit long", "at long")
 
-    def _row(self, key, now, errors) -> pd.DataFrame:
+    def _row(self, key, now, errors) -> Row:
         status, total, completed, n_errors, version, created, last = now
-        return pd.DataFrame({"job": [key[0]], "version": [version], "status": [status], "total": [total], "completed": [completed], "n_errors": [n_errors], "errors": [errors], "created": [created], "last_at": [last]})
+        return Row(job=key[0], version=version, status=status, total=total, completed=completed, n_errors=n_errors, errors=list(errors), created=created, last_at=last)
 
-    def _kept(self) -> list[str]:
-        return [e[0] for e in self.errors.get()] if self.errors.exists() else []
+    def _kept(self, now) -> list[str]:
+        return [e[0] for e in self.errors.get()] if now[3] else []
 
     def _ends(self, now) -> int:
         """When a job's life ends, in milliseconds."""
         return now[5] // 1000 + self.life_s * 1000
 
-    def _last(self, key, now, errors) -> Iterator[pd.DataFrame]:
-        """The end of a life: a row if the job was not done, and nothing kept."""
+    def _last(self, key, now, errors) -> Iterator[Row]:
+        """The end of a life: a row if the job was not done."""
         if now[0] == "scraping":
             yield self._row(key, ["expired", *now[1:4], now[4] + 1, *now[5:]], errors)
+
+    def _forget(self) -> None:
         self.job.clear()
         self.errors.clear()
         self.units.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        now = list(self.job.get()) if self.job.exists() else None
-        errors = self._kept() if now else []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+        batch = sorted((((ts - EPOCH) // MICRO, seq is None, seq or 0, kind, unit, total, text) for ts, seq, kind, unit, total, text in _fields(rows)), key=itemgetter(0, 1, 2))
+        before = self.job.get()
+        now = list(before) if before else None
+        errors = self._kept(now) if now else []
         kept = len(errors)
-        for at, kind, unit, total, text in zip(batch["ts"].astype("datetime64[us]").astype("int64"), batch["kind"], batch["unit"], batch["total"], batch["text"], strict=True):
-            at = int(at)
+        # whether this life is in the state and so has its timer, and whether units of it may be there; those of this batch are told here
+        stored, units_stored, units = now is not None, now is not None and now[0] == "scraping", {}
+        for at, _, _, kind, unit, total, text in batch:
             if now is not None and at > now[5] + self.life_s * 1_000_000:
                 # the timer of this life was still to come: timers follow a batch's rows
-                self.handle.deleteTimer(self._ends(now))
                 yield from self._last(key, now, errors)
-                now, errors, kept = None, [], 0
+                if stored:
+                    self.handle.deleteTimer(self._ends(now))
+                    self._forget()
+                now, errors, kept, before, stored, units_stored, units = None, [], 0, None, False, False, {}
             if now is None:
                 now = ["scraping", int(total), 0, 0, 0, at, at]
-                self.handle.registerTimer(self._ends(now))
             if now[0] != "scraping":
                 continue
             now[4], now[6] = now[4] + 1, max(now[6], at)
@@ -76,21 +96,31 @@ class Jobs(StatefulProcessor):
                 now[3] += 1
                 if len(errors) < MOST_ERRORS:
                     errors.append(text or "")
-            elif kind == "unit" and not self.units.containsKey((int(unit),)):
-                self.units.updateValue((int(unit),), (at,))
-                now[2] += 1
-                if now[2] >= now[1]:
-                    now[0] = "completed"
-        if now[0] != "scraping":
+            elif kind == "unit" and unit not in units:
+                # None: counted by an earlier batch
+                units[unit] = None if units_stored and self.units.containsKey((unit,)) else at
+                if units[unit] is not None:
+                    now[2] += 1
+                    if now[2] >= now[1]:
+                        now[0] = "completed"
+        if not stored:
+            self.handle.registerTimer(self._ends(now))
+        if now[0] == "scraping":
+            for unit, at in units.items():
+                if at is not None:
+                    self.units.updateValue((unit,), (at,))
+        elif units_stored:
             self.units.clear()
-        self.job.update(tuple(now))
+        if tuple(now) != before:
+            self.job.update(tuple(now))
         if len(errors) > kept:
             self.errors.put([(e,) for e in errors])
         yield self._row(key, now, errors)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.job.exists():
-            yield from self._last(key, list(self.job.get()), self._kept())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        if now := self.job.get():
+            yield from self._last(key, list(now), self._kept(now))
+            self._forget()
 
     def close(self) -> None:
         pass
@@ -107,4 +137,4 @@ def job_stream(events: DataFrame, life_s: int = 86_400, late: str = "10 minutes"
     ship(events.sparkSession)
     use_state_store(events.sparkSession)
     named = events.select("job", "ts", "seq", "kind", "unit", "total", "text").withWatermark("ts", late)
-    return named.groupBy("job").transformWithStateInPandas(statefulProcessor=Jobs(life_s), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    return named.groupBy("job").transformWithState(statefulProcessor=Jobs(life_s), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
