@@ -72,3 +72,17 @@ def test_text_of_a_language_that_is_not_learnt_is_rejected(spark, docs, learnt):
     assert model.langs == learnt
     every = known.unionByName(spark.createDataFrame(odd, docs.schema))
     assert sorted(r.doc_id for r in langid.accepted(every, model).collect()) == sorted(r.doc_id for r in known.collect())
+
+
+@pytest.mark.parametrize("per_lang", [1, 40, 70, 1000])
+def test_sample_follows_one_rule_at_every_size(docs, per_lang):
+    def sample(of, n):
+        return sorted((r.lang, bytes(r.at), bytes(r.n), bytes(r.mixed_at), bytes(r.mixed_n)) for r in langid.labelled_sample(of, n).collect())
+
+    may = docs.where("doc_id is not null and text is not null and lang is not null and crc32(binary(string(doc_id))) % 3 <> 1").distinct()
+    got = sample(docs, per_lang)
+    assert {k: sum(r[0] == k for r in got) for k in SYL} == {r.lang: min(per_lang, r["count"]) for r in may.groupBy("lang").count().collect()}
+    # every text is shuffled too, however many there are
+    assert all(r[3] for r in got if r[1])
+    assert sample(docs.union(docs).repartition(7), per_lang) == got
+    assert set(got) <= set(sample(docs, per_lang + 1))

@@ -22,14 +22,14 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import map_rows, table
 
 BUCKETS = 1 << 12
 DIM = 16
-#: Sample bound: labelled texts per language, drawn by a hash of the id over all rows.
+#: Sample bound: labelled texts per language, those with the smallest hashes of all rows.
 SAMPLE_PER_LANG = 800
 GRAMS = (2, 3, 4, 5)
 MEMO_WORDS = 300_000
@@ -37,8 +37,6 @@ MEMO_WORDS = 300_000
 #: text is rejected or not; and so many subwords of no weight are added to a text, as few say little.
 REJECT_SHARE, SHUFFLED_SHARE = 0.001, 0.01
 PRIOR_SUBWORDS = 20
-#: Of large samples, one text in so many is also shuffled.
-SHUFFLED_EVERY = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -72,21 +70,21 @@ def shuffled(words: list[str]) -> list[str]:
     return [mixed[e - len(r) : e] for e, r in zip(ends, runs, strict=True)]
 
 
-def _counts(every: int = 1):
+def _counts():
     """Sparse subword counts of whole texts, each distinct word once: repeated lines weigh no more than others;
-    and those of one in every texts with its letters shuffled, empty for the others."""
+    and those of the texts with their letters shuffled, compressed, as they fill most buckets and all go to the driver."""
 
     def packed(words):
         x = np.bincount(word_buckets(words)[0], minlength=BUCKETS)
         i = np.flatnonzero(x)
         return i.astype("<u2").tobytes(), x[i].astype("<u4").tobytes()
 
-    def run(doc_id, text, lang):
+    def run(text, lang):
         out = {"lang": lang, "at": [], "n": [], "mixed_at": [], "mixed_n": []}
-        for i, t in zip(doc_id, text, strict=True):
+        for t in text:
             words = list(set((t or "").lower().split()))
-            mixed = shuffled(words) if zlib.crc32(f"mixed {i}".encode()) % every == 0 else []
-            for (at, n), name in ((packed(words), ""), (packed(mixed), "mixed_")):
+            mixed = [zlib.compress(b, 1) if b else b for b in packed(shuffled(words))]
+            for (at, n), name in ((packed(words), ""), (mixed, "mixed_")):
                 out[f"{name}at"].append(at)
                 out[f"{name}n"].append(n)
         return out
@@ -103,16 +101,14 @@ SAMPLE = "lang string, at binary, n binary, mixed_at binary, mixed_n binary"
 
 
 def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """SAMPLE: packed subword counts, as they are and shuffled, of about per_lang texts of each language (twice as many at most), out of
-    all rows that may be learnt from. The share drawn of each language follows from its count over all rows."""
-    may = docs.where(~held_out()).where("doc_id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in may.groupBy("lang").count().collect()}
-    if not counts:
-        return map_rows(may, ["doc_id", "text", "lang"], SAMPLE, _counts)
-    share = F.create_map(*[F.lit(x) for k, v in sorted(counts.items()) for x in (k, min(1.0, per_lang / v))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0
-    drawn = may.where(draw < share[F.col("lang")])
-    return map_rows(drawn, ["doc_id", "text", "lang"], SAMPLE, _counts, every=SHUFFLED_EVERY if sum(counts.values()) > per_lang else 1).limit(2 * per_lang * len(counts))
+    """SAMPLE: packed subword counts, as they are and shuffled, of the per_lang texts of each language whose hashes are smallest (all, if fewer), out of all rows that
+    may be learnt from; repeated rows count once. The same rule holds whatever the number of rows, and does not depend on how they fall into tasks."""
+    may = docs.where(~held_out()).where("doc_id is not null and text is not null and lang is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("draw"))
+    # narrow rows; each task leaves out those beyond the limit before they are shuffled by language
+    of_lang = Window.partitionBy("lang").orderBy("draw")
+    least = may.select("lang", "draw").distinct().withColumn("place", F.row_number().over(of_lang)).where(F.col("place") <= per_lang).select("lang", "draw")
+    drawn = may.join(F.broadcast(least), ["lang", "draw"]).dropDuplicates(["lang", "draw"])
+    return map_rows(drawn, ["text", "lang"], SAMPLE, _counts)
 
 
 class Model:
@@ -150,7 +146,8 @@ def train(rows: list, epochs: int = 12, rate: float = 4.0, batch: int = 64, seed
     y = np.array([langs.index(r["lang"]) for r in rows])
 
     def unpacked(i, name=""):
-        return np.frombuffer(rows[i][f"{name}at"], "<u2"), np.frombuffer(rows[i][f"{name}n"], "<u4").astype(np.float64)
+        at, n = (zlib.decompress(b) if name and b else b for b in (rows[i][f"{name}at"], rows[i][f"{name}n"]))
+        return np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4").astype(np.float64)
 
     def dense(which):
         """Subword shares of some texts; those of the whole sample would fill the driver's memory."""
